@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The folder that holds this package.
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Bytes of text that one kernel call sees at most (one text more if that text alone is larger).
 SLICE_BYTES = 4 << 20
 
@@ -26,7 +29,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes as well as by rows, so that long texts do not pile up in one batch."""
+    """Arrow batches are bounded by bytes as well as by rows, so that long texts do not pile up in one batch.
+
+    Python workers also look for this package where the driver found it, for sessions started outside its folder.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", HOME)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, matroska, rules
+from . import bpe, brown, common, crf, kneser_ney, matroska, packing, ppm, rules
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,39 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_bpe, op5_matroska)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    held_out = common.fold("doc_id", 3) == 1
+    trees = ppm.train(docs, ~held_out)
+    out = ppm.identify(docs.select("doc_id", "text"), trees, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    held_out = common.fold("doc_id", 5) == 0
+    models = kneser_ney.fit(docs, common.read(spark, sf_dir, "labels"), ~held_out)
+    return kneser_ney.score(docs, models, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    held_out = common.fold("doc_id", 7) == 2
+    model, counts = brown.train(docs, ~held_out)
+    return brown.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    held_out = common.fold("doc_id", 3) == 1
+    chain = crf.fit(docs, common.read(spark, sf_dir, "labels"), ~held_out)
+    return crf.score(docs, chain, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_bpe, op4_best_fit_packing, op5_matroska, op7_language_id, op8_toxicity, op9_brown_bigrams, op10_line_crf)}
 
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, common, crf, kneser_ney, matroska, packing, ppm, rules
+from . import bpe, brown, common, crf, kneser_ney, lines, matroska, ngram_join, packing, ppm, rules
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs, learned, ["doc_id"])
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(common.read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -33,6 +37,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedupe(docs).withColumn("n_removed", F.size("removed_lines"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     held_out = common.fold("doc_id", 3) == 1
@@ -62,6 +71,6 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.score(docs, chain, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_bpe, op4_best_fit_packing, op5_matroska, op7_language_id, op8_toxicity, op9_brown_bigrams, op10_line_crf)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_bpe, op4_best_fit_packing, op5_matroska, op6_line_dedup, op7_language_id, op8_toxicity, op9_brown_bigrams, op10_line_crf)}
 
 ORACLES: dict[str, str] = {}

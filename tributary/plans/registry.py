@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.plans import q_findings, q_store
+from tributary.plans import q_engine, q_findings, q_store
 from tributary.plans.base import ORACLES, QUERIES
 
-MODULES = (q_findings, q_store)
+MODULES = (q_findings, q_store, q_engine)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a4_repo_rollup"](spark, sf_dir)
+    return q_engine.flagship(spark, sf_dir)

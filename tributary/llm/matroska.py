@@ -261,6 +261,7 @@ def packet_table(media: DataFrame, column: str, keep: tuple[str, ...] = ()) -> D
     """
     import pyarrow as pa
 
+    common.bound_batches(media.sparkSession)
     struct_type = T.StructType.fromDDL(PACKET_DDL)
     kind = common.arrow_type(struct_type)
 
@@ -273,6 +274,7 @@ def packet_table(media: DataFrame, column: str, keep: tuple[str, ...] = ()) -> D
                 out.append({"packets": [], "parse_error": str(e)})
         return pa.array(out, kind)
 
+    run.__annotations__ = {"col": pa.Array, "return": pa.Array}
     made = F.arrow_udf(run, returnType=struct_type)
     return media.select(*keep, made(F.col(column)).alias("__m")).select(*keep, "__m.parse_error", F.explode_outer("__m.packets").alias("__p")).select(*keep, "parse_error", "__p.*")
 

@@ -73,4 +73,17 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_bpe, op4_best_fit_packing, op5_matroska, op6_line_dedup, op7_language_id, op8_toxicity, op9_brown_bigrams, op10_line_crf)}
 
-ORACLES: dict[str, str] = {}
+#: All pairs by shared shingles, then the transitive closure: whole tables, but no method for large ones.
+NGRAM_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) end as gs from w),
+d as (select doc_id, len(gs) as c, md5(array_to_string(list_sort(gs), chr(10))) as nid from g),
+s as (select doc_id, unnest(gs) as shingle from g),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b using (shingle) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join d a on a.doc_id = x join d b on b.doc_id = y where 5 * i >= 4 * (a.c + b.c - i) union all select a.doc_id, b.doc_id from d a join d b on a.c = 0 and b.c = 0 and a.doc_id <> b.doc_id),
+r(node, root) as (select doc_id, doc_id from d union select e.y, r.root from r join e on e.x = r.node),
+k as (select node as doc_id, min(root) as class_id from r group by 1),
+n as (select x as doc_id, count(*) as links, count(distinct b.nid) filter (b.nid <> a.nid) as linked_texts from e join d a on a.doc_id = x join d b on b.doc_id = y group by 1)
+select doc_id, class_id, coalesce(links, 0) as links, coalesce(linked_texts, 0) as linked_texts from k left join n using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": NGRAM_SQL}

@@ -14,6 +14,7 @@ of such pieces in the partitions before. A look-up in the plan then gives its se
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,6 +29,9 @@ CAPACITY = 4096
 #: Chunks kept in a worker's cache; it is emptied when full, which costs time only.
 CACHE_CHUNKS = 500_000
 
+#: Marks that are tokens of their own behind a word.
+MARKS = ".,;:!?"
+
 #: White space to Python that is none to the tokenizer.
 ODD = [chr(c) for c in range(0x1C, 0x20)]
 
@@ -46,6 +50,45 @@ class ChunkTokens:
     def fresh(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
+    def fresh_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, encoded as one text; words that the tokenizer splits are encoded one by one."""
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of = np.array(got.word_ids, np.int64)
+        if not len(of) or int(of[-1]) + 1 != len(words):
+            return self.fresh(words)
+        ids = np.array(got.ids, "<u4").tobytes()
+        ends = (4 * np.searchsorted(of, np.arange(len(words)), side="right")).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Puts new chunks into the cache. A chunk of letters, with a mark behind it or not, is its word and its mark."""
+        cache = self.cache
+        split: list[tuple[str, str, str]] = []
+        others: list[str] = []
+        words: set[str] = set()
+        for c in chunks:
+            word, mark = (c, "") if c.isalpha() else (c[:-1], c[-1])
+            if mark and not (mark in MARKS and word.isalpha()):
+                others.append(c)
+                continue
+            if word.isascii():
+                word = word.lower()
+            elif not unicodedata.normalize("NFC", word).lower().isalpha():
+                others.append(c)  # it gains a mark that would join the one behind it
+                continue
+            words.add(word)
+            if mark:
+                if mark not in cache:
+                    cache[mark] = self.fresh([mark])[0]
+            split.append((c, word, mark))
+        todo = [*words.difference(cache)]
+        for a in range(0, len(todo), 5_000):
+            cache.update(zip(todo[a : a + 5_000], self.fresh_words(todo[a : a + 5_000])))
+        for a in range(0, len(others), 5_000):
+            cache.update(zip(others[a : a + 5_000], self.fresh(others[a : a + 5_000])))
+        for c, word, mark in split:
+            cache[c] = cache[word] + cache[mark] if mark else cache[word]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if any(o in t for o in ODD) else t.split() for t in texts]
@@ -57,9 +100,7 @@ class ChunkTokens:
         if len(self.cache) + len(new) > CACHE_CHUNKS:
             self.cache.clear()
             new = seen
-        todo = [*new]
-        for a in range(0, len(todo), 10_000):
-            self.cache.update(zip(todo[a : a + 10_000], self.fresh(todo[a : a + 10_000])))
+        self.learn(new)
         get = self.cache.__getitem__
         return [self.fresh([t])[0] if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split)]
 

@@ -31,6 +31,14 @@ TEMPLATES: list[tuple[str, str, str, int, str]] = [
     ("unknown_callee", "potential", "potential", 1, "def {f}(path):\n    {v} = open(path)\n    elsewhere({v}, {n})\n"),
     ("closing", "safe", "safe", 0, "import contextlib\ndef {f}(path):\n    {v} = open(path)\n    with contextlib.closing({v}):\n        return {v}.read({n})\n"),
     ("exit_stack", "safe", "safe", 0, "import contextlib\ndef {f}(path):\n    with contextlib.ExitStack() as stack:\n        {v} = stack.enter_context(open(path))\n        return {v}.read({n})\n"),
+    ("module_level", "leak", "leak", 1, "{v} = open('x{n}')\ndata = {v}.read()\n"),
+    ("keyword_only", "leak", "leak", 1, "def {f}(path):\n    {v} = open(path)\n    elsewhere(h={v}, n={n})\n"),
+    ("returned_tuple", "leak", "leak", 1, "def {f}(path):\n    {v} = open(path)\n    return ({v}, {n})\n"),
+    ("with_handle", "safe", "safe", 0, "def {f}(path):\n    {v} = open(path)\n    with {v}:\n        return {v}.read({n})\n"),
+    ("loop_continue", "leak", "leak", 1, "def {f}(paths):\n    for p in paths:\n        {v} = open(p)\n        if p == {n}:\n            continue\n        {v}.close()\n"),
+    ("match_case", "leak", "leak", 1, "def {f}(path):\n    {v} = open(path)\n    match path:\n        case {n}:\n            {v}.close()\n        case _:\n            return 2\n"),
+    ("temp_dir", "safe", "safe", 0, "import tempfile\ndef {f}():\n    {v} = tempfile.TemporaryDirectory()\n    {v}.cleanup()\n    return {n}\n"),
+    ("many_branches", "leak", "leak", 1, "def {f}(x):\n    {v} = open(x)\n" + "".join(f"    if x > {i}:\n        y = {i}\n" for i in range(9)) + "    return {n}\n"),
     ("syntax_error", "safe", "error", 0, "def {f}(path:\n    {v} = open(path)\n"),
 ]
 

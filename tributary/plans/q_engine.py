@@ -69,8 +69,9 @@ def reason_query(name: str, reason: str, templates: list[str]):
 
 reason_query("d3_overwritten_handles", "reassignment", ["overwritten"])
 reason_query("d9_callee_leaks", "callee leak", ["helper_may_close"])
-reason_query("d12_early_returns", "early return", ["simple", "early_return", "loop", "handler_returns", "two_handles", "socket", "database", "tangle"])
-reason_query("d18_exception_candidates", "exception", ["simple", "early_return", "loop", "handler_calls", "two_handles", "overwritten", "helper_may_close", "socket", "database", "tangle", "second_raises", "read_close", "unknown_callee"])
+reason_query("d11_loop_bypass", "loop bypass", ["loop_continue"])
+reason_query("d12_early_returns", "early return", ["returned_tuple", "match_case", "many_branches", "simple", "early_return", "loop", "handler_returns", "two_handles", "socket", "database", "tangle"])
+reason_query("d18_exception_candidates", "exception", ["keyword_only", "simple", "early_return", "loop", "handler_calls", "two_handles", "overwritten", "helper_may_close", "socket", "database", "tangle", "second_raises", "read_close", "unknown_callee"])
 
 
 @query("d22_exception_only_findings", f"select event_id as unit_id from events where event_id % {N} in ({', '.join(str(i) for i, t in enumerate(corpus.TEMPLATES) if t[0] in ('handler_calls', 'second_raises', 'read_close'))})")
@@ -91,16 +92,16 @@ def d14(s, d):
     return engine.findings(plain(s, d)).where("parse_error is null").select("unit_id", "resource_type").distinct()
 
 
-@query("t6_import_map", f"select event_id as unit_id, {case(lambda t: {'socket': 'socket', 'database': 'db', 'process_waits': 'subprocess', 'closing': 'contextlib', 'exit_stack': 'contextlib'}.get(t[0], ''))} as local, {case(lambda t: {'socket': 'socket', 'database': 'sqlite3', 'process_waits': 'subprocess', 'closing': 'contextlib', 'exit_stack': 'contextlib'}.get(t[0], ''))} as canonical from events where {case(lambda t: t[0] in ('socket', 'database', 'process_waits', 'closing', 'exit_stack'), False)}")
+@query("t6_import_map", f"select event_id as unit_id, {case(lambda t: {'temp_dir': 'tempfile', 'socket': 'socket', 'database': 'db', 'process_waits': 'subprocess', 'closing': 'contextlib', 'exit_stack': 'contextlib'}.get(t[0], ''))} as local, {case(lambda t: {'temp_dir': 'tempfile', 'socket': 'socket', 'database': 'sqlite3', 'process_waits': 'subprocess', 'closing': 'contextlib', 'exit_stack': 'contextlib'}.get(t[0], ''))} as canonical from events where {case(lambda t: t[0] in ('temp_dir', 'socket', 'database', 'process_waits', 'closing', 'exit_stack'), False)}")
 def t6(s, d):
     return engine.imports(plain(s, d)).where("parse_error is null").select("unit_id", "local", "canonical")
 
 
-ACQUIRED = {"socket": "socket.socket", "database": "sqlite3.connect", "process_waits": "subprocess.Popen", "with": "", "nested_with": "", "with_in_loop": "", "exit_stack": "", "syntax_error": ""}
+ACQUIRED = {"temp_dir": "tempfile.TemporaryDirectory", "socket": "socket.socket", "database": "sqlite3.connect", "process_waits": "subprocess.Popen", "with": "", "nested_with": "", "with_in_loop": "", "exit_stack": "", "syntax_error": ""}
 TWICE = ("two_handles", "overwritten", "second_raises")
 
 
-@query("t7_acquires", f"select event_id as unit_id, {case(lambda t: ACQUIRED.get(t[0], 'open'))} as acquire, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as n, {case(lambda t: t[0] in ('loop', 'tangle'), False)} as in_loop from events where {case(lambda t: ACQUIRED.get(t[0], 'open'))} <> ''")
+@query("t7_acquires", f"select event_id as unit_id, {case(lambda t: ACQUIRED.get(t[0], 'open'))} as acquire, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as n, {case(lambda t: t[0] in ('loop', 'tangle', 'loop_continue'), False)} as in_loop from events where {case(lambda t: ACQUIRED.get(t[0], 'open'))} <> ''")
 def t7(s, d):
     return engine.acquires(plain(s, d)).where("parse_error is null").groupBy("unit_id", "acquire").agg(F.count("*").alias("n"), F.bool_or("in_loop").alias("in_loop"))
 
@@ -110,9 +111,9 @@ def t17(s, d):
     return engine.complexity(plain(s, d)).where("parse_error is null").select("unit_id", "loc", "functions", "branches", "loops")
 
 
-@query("t2_t3_control_flow", f"select event_id as unit_id, {case(lambda t: t[4].count('def '), False)} as functions from events where {case(lambda t: t[2])} <> 'error'")
+@query("t2_t3_control_flow", f"select event_id as unit_id, {case(lambda t: t[4].count('def '), False)} as functions from events where {case(lambda t: 'def ' in t[4] and t[2] != 'error', False)}")
 def t3(s, d):
-    b = engine.blocks(plain(s, d)).where("parse_error is null")
+    b = engine.blocks(plain(s, d)).where("parse_error is null and func is not null")
     return b.groupBy("unit_id").agg(F.count_if("is_entry").cast("int").alias("functions"))
 
 
@@ -134,7 +135,7 @@ def d16(s, d):
     return engine.effects(plain(s, d)).where("param = 'h'").select("unit_id", "effect")
 
 
-@query("d27_scouted_acquires", f"select event_id as unit_id, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as n from events where {case(lambda t: '' if t[0] == 'closing' else ACQUIRED.get(t[0], 'open'))} <> ''")
+@query("d27_scouted_acquires", f"select event_id as unit_id, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as n from events where {case(lambda t: '' if t[0] in ('closing', 'with_handle') else ACQUIRED.get(t[0], 'open'))} <> ''")
 def d27(s, d):
     return engine.scouted(plain(s, d)).where("parse_error is null").groupBy("unit_id").agg(F.count("*").alias("n"))
 

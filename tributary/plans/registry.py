@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.plans import q_engine, q_findings, q_store
+from tributary.plans import q_engine, q_findings, q_more, q_store
 from tributary.plans.base import ORACLES, QUERIES
 
-MODULES = (q_findings, q_store, q_engine)
+MODULES = (q_findings, q_store, q_engine, q_more)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ of such pieces in the partitions before. A look-up in the plan then gives its se
 from __future__ import annotations
 
 import bisect
-import unicodedata
 import zlib
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import byte_letters
 
 CAPACITY = 4096
 
-#: Chunks kept in a worker's cache; it is emptied when full, which costs time only.
-CACHE_CHUNKS = 500_000
+#: Chunks of a generation of a worker's cache; a full one gives way to a new one, which takes over what it meets again.
+CACHE_CHUNKS = 250_000
 
 #: Marks that are tokens of their own behind a word.
 MARKS = ".,;:!?"
@@ -46,23 +48,22 @@ class ChunkTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {"": b""} | {m: self.fresh([m])[0] for m in MARKS}
+        self.letters = dict(enumerate(byte_letters()))
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
     def fresh_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only, encoded as one text; words that the tokenizer splits are encoded one by one."""
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of = np.array(got.word_ids, np.int64)
-        if not len(of) or int(of[-1]) + 1 != len(words):
-            return self.fresh(words)
-        ids = np.array(got.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(of, np.arange(len(words)), side="right")).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        """Ids of normalised words of letters only, each of which is one word to the tokenizer: its BPE model alone."""
+        tokenize = self.tokenizer.model.tokenize
+        spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words)
+        return [array("I", [t.id for t in tokenize(s)]).tobytes() for s in spelled]
 
     def learn(self, chunks: set[str]) -> None:
         """Puts new chunks into the cache. A chunk of letters, with a mark behind it or not, is its word and its mark."""
-        cache = self.cache
+        cache, normal = self.cache, self.tokenizer.normalizer.normalize_str
         split: list[tuple[str, str, str]] = []
         others: list[str] = []
         words: set[str] = set()
@@ -73,21 +74,19 @@ class ChunkTokens:
                 continue
             if word.isascii():
                 word = word.lower()
-            elif not unicodedata.normalize("NFC", word).lower().isalpha():
+            elif word.lower() == word and is_normalized("NFC", word):
+                pass
+            elif not (word := normal(word)).isalpha():
                 others.append(c)  # it gains a mark that would join the one behind it
                 continue
             words.add(word)
-            if mark:
-                if mark not in cache:
-                    cache[mark] = self.fresh([mark])[0]
             split.append((c, word, mark))
         todo = [*words.difference(cache)]
-        for a in range(0, len(todo), 5_000):
-            cache.update(zip(todo[a : a + 5_000], self.fresh_words(todo[a : a + 5_000])))
+        cache.update(zip(todo, self.fresh_words(todo)))
         for a in range(0, len(others), 5_000):
             cache.update(zip(others[a : a + 5_000], self.fresh(others[a : a + 5_000])))
         for c, word, mark in split:
-            cache[c] = cache[word] + cache[mark] if mark else cache[word]
+            cache[c] = cache[word] + self.marks[mark]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -98,13 +97,21 @@ class ChunkTokens:
                 seen.update(chunks)
         new = seen.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
             new = seen
+        again = new & self.old.keys()
+        self.cache.update((c, self.old[c]) for c in again)
+        new -= again
         self.learn(new)
         get = self.cache.__getitem__
         return [self.fresh([t])[0] if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split)]
 
 
+    def forget(self) -> None:
+        """Gives the memory of the cache back: a worker lives on after a task, and other operators need the room."""
+        self.cache, self.old = {}, {}
+
+
 _LOADED: dict[str, ChunkTokens] = {}
 
 
@@ -125,29 +132,32 @@ def piece_kernel(path: str, capacity: int, end_id: int):
         part = TaskContext.get().partitionId()
         before = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in common.slices(texts):
-                source, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(tokens.ids([t or "" for t in texts[a:b]]), a):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        m = min(capacity, n - s)
-                        source.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(m)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + m)]))
-                size = np.array(length, np.int64)
-                order = np.argsort(size, kind="stable")
-                rank = np.empty(len(size), np.int64)
-                first = np.searchsorted(size[order], size[order], side="left")
-                rank[order] = np.arange(len(size)) - first + before[size[order]]
-                before += np.bincount(size, minlength=capacity + 1)
-                kept = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(1, batch.num_columns)]
-                made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), part, np.int32)), pa.array(rank)]
-                yield pa.RecordBatch.from_arrays(kept + made, names=[f"keep{i}" for i in range(len(kept))] + ["piece", "start", "length", "ids_crc32", "part", "place"])
+        try:
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                for a, b in common.slices(texts):
+                    source, piece, start, length, crc = [], [], [], [], []
+                    for i, ids in enumerate(tokens.ids([t or "" for t in texts[a:b]]), a):
+                        ids += end
+                        n = len(ids) // 4
+                        for k, s in enumerate(range(0, n, capacity)):
+                            m = min(capacity, n - s)
+                            source.append(i)
+                            piece.append(k)
+                            start.append(s)
+                            length.append(m)
+                            crc.append(zlib.crc32(ids[4 * s : 4 * (s + m)]))
+                    size = np.array(length, np.int64)
+                    order = np.argsort(size, kind="stable")
+                    rank = np.empty(len(size), np.int64)
+                    first = np.searchsorted(size[order], size[order], side="left")
+                    rank[order] = np.arange(len(size)) - first + before[size[order]]
+                    before += np.bincount(size, minlength=capacity + 1)
+                    kept = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(1, batch.num_columns)]
+                    made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), part, np.int32)), pa.array(rank)]
+                    yield pa.RecordBatch.from_arrays(kept + made, names=[f"keep{i}" for i in range(len(kept))] + ["piece", "start", "length", "ids_crc32", "part", "place"])
+        finally:
+            tokens.forget()
 
     return run
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Edges of a partition: a table of few edges is kept in few files, one of many in as many as the shuffle makes.
+EDGES = 100_000
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the smallest node that it is connected with.
@@ -16,17 +19,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = common.materialized(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = sign(now)
+    now = now.coalesce(1 + mark[0] // EDGES)
     for _ in range(most_rounds):
         if not mark[0]:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        large = large.distinct()
+        large = large.distinct().coalesce(1 + 2 * mark[0] // EDGES)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        now, before = common.materialized(small), mark
+        now, before = common.materialized(small.coalesce(1 + 2 * mark[0] // EDGES)), mark
         mark = sign(now)
         if mark == before:
             break

@@ -1,16 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-Lines are known by 128-bit hashes. Two documents overlap if one holds a line whose first holder is the other, so every
-repeated line, rare or frequent, leads each later document to one earlier one and the number of pairs is at most the
-number of repeated lines. The common lines of a pair are aligned by patience diff (lines unique to both sides, longest
-increasing run, then the same between its anchors), and aligned common blocks of enough words are deleted from the
-later document. A deleted line always remains in its first holder.
+Passages are known by 128-bit hashes of windows: from each line on, and up to each line, the fewest lines that have
+enough words. A block that two documents share, contiguous in both and of enough words, is the union of such windows,
+so the first holders of its windows lead to all of it, however many documents hold single lines of it. The windows that
+a later document shares with a first holder are aligned by patience diff (windows unique to both sides, longest
+increasing run, then the same between its anchors), and the lines of aligned windows are deleted from the later
+document. The first holder's copy of a window is never what makes it repeated there.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,28 +27,58 @@ BLOCK_WORDS = 10
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def line_kernel(batches):
-    """The distinct lines of each document with their places among its lines that are not blank."""
-    for batch in batches:
-        ids, keys, texts = batch.column(0), batch.column(1), common.byte_lists(batch.column(2))
-        for a, b in common.slices(texts):
-            source, h, at, words = [], [], [], []
-            for i, t in enumerate(texts[a:b], a):
-                if not t:
-                    continue
-                seen: dict[bytes, list[int]] = {}
-                n = 0
-                for line in t.split(b"\n"):
-                    if line.strip(SPACE):
-                        seen.setdefault(line, []).append(n)
-                        n += 1
-                for line, where in seen.items():
-                    source.append(i)
-                    h.append(hashlib.blake2b(line, digest_size=16).digest())
-                    at.append(where)
-                    words.append(len(line.split()))
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(h, pa.binary()), pa.array(at, pa.list_(pa.int32())), pa.array(words, pa.int32())], names=["doc", "key", "h", "at", "words"])
+def windows(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) line of the shortest runs of at least ``least`` words from each line on and up to each line."""
+    out = set()
+    total = end = 0
+    for start, n in enumerate(words):
+        while end < len(words) and total < least:
+            total += words[end]
+            end += 1
+        if total < least:
+            break
+        out.add((start, end - 1))
+        total -= n
+    total = start = 0
+    for end, n in enumerate(words):
+        total += n
+        while total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            out.add((start, end))
+    return sorted(out)
+
+
+def window_kernel(least: int):
+    """The distinct windows of each document with their places among its lines that are not blank.
+
+    ``at`` packs places as int32, ``words`` the words of each line, 255 at most, as uint8.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, keys, texts = batch.column(0), batch.column(1), common.byte_lists(batch.column(2))
+            for a, b in common.slices(texts):
+                source, h, at, words = [], [], [], []
+                for i, t in enumerate(texts[a:b], a):
+                    if not t:
+                        continue
+                    solid = [x for x in t.split(b"\n") if x.strip(SPACE)]
+                    count = [len(x.split()) for x in solid]
+                    seen: dict[bytes, list[tuple[int, int]]] = {}
+                    for x, y in windows(count, least):
+                        seen.setdefault(solid[x] if x == y else b"\n".join(solid[x : y + 1]), []).append((x, y))
+                    for text, where in seen.items():
+                        x, y = where[0]
+                        source.append(i)
+                        h.append(hashlib.blake2b(text, digest_size=16).digest())
+                        at.append(struct.pack(f"<{len(where)}i", *[p for p, _ in where]))
+                        words.append(bytes([min(n, 255) for n in count[x : y + 1]]))
+                take = pa.array(source, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(h, pa.binary()), pa.array(at, pa.binary()), pa.array(words, pa.binary())], names=["doc", "key", "h", "at", "words"])
+
+    return run
 
 
 def longest_run(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,30 +138,31 @@ def single(seq: list[tuple[int, int]]) -> dict[int, int]:
     return {line: i for line, i in seen.items() if i >= 0}
 
 
-def deleted(lines: list[tuple[list[int], list[int], int]], least: int = BLOCK_WORDS) -> list[int]:
-    """Places in the later document that go, given each common line's places in it, in the first one, and its words."""
-    later = sorted((p, k) for k, (at, _, _) in enumerate(lines) for p in at)
-    first = sorted((p, k) for k, (_, at, _) in enumerate(lines) for p in at)
-    words = {p: lines[k][2] for p, k in later}
-    out: list[int] = []
-    block: list[int] = []
-    before = (-2, -2)
-    for x, y in [*patience(later, first), (-9, -9)]:
-        if (x, y) != (before[0] + 1, before[1] + 1):
-            if sum(words[p] for p in block) >= least:
-                out += block
-            block = []
-        if x >= 0:
-            block.append(x)
-        before = (x, y)
-    return out
-
-
-def align_udf(least: int):
+def deleted(shared: list[tuple[list[int], list[int], bytes]]) -> list[int]:
+    """Places in the later document that go, given each shared window's places in it, in the first one, and its words."""
+    later = sorted((p, k) for k, (at, _, _) in enumerate(shared) for p in at)
+    first = sorted((p, k) for k, (_, at, _) in enumerate(shared) for p in at)
+    begin: dict[int, list[int]] = {}
+    for p, k in later:
+        begin.setdefault(p, []).append(k)
+    there = set(first)
+    out: set[int] = set()
+    for x, y in patience(later, first):
+        for k in begin[x]:
+            if (y, k) in there:
+                out.update(range(x, x + len(shared[k][2])))
+    return sorted(out)
+
+
+def places(packed: bytes) -> list[int]:
+    return [*struct.unpack(f"<{len(packed) // 4}i", packed)]
+
+
+def align_udf():
     def run(col: pa.Array) -> pa.Array:
         out = []
-        for lines in col.to_pylist():
-            out.append(deleted([(x["at"], x["first_at"], x["words"]) for x in lines], least))
+        for shared in col.to_pylist():
+            out.append(deleted([(places(x["at"]), places(x["first_at"]), x["words"]) for x in shared]))
         return pa.array(out, pa.list_(pa.int32()))
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
@@ -170,13 +203,13 @@ def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     spark = docs.sparkSession
     common.bound_batches(spark)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), "text")
-    lines = common.materialized(texts.mapInArrow(line_kernel, "doc bigint, key bigint, h binary, at array<int>, words int"))
+    lines = common.materialized(texts.mapInArrow(window_kernel(least), "doc bigint, key bigint, h binary, at binary, words binary"))
     me = F.struct("doc", "key")
-    # kept apart, so that both sides of the join are plain shuffles and a very common line is split over tasks
+    # kept apart, so that both sides of the join are plain shuffles and a very common passage is split over tasks
     firsts = lines.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.min_by("at", me).alias("first_at")).where("first != last").select("h", "first", "first_at")
     later = lines.join(common.materialized(firsts), "h").where(me != F.col("first"))
     pairs = later.groupBy("first", "doc", "key").agg(F.collect_set(F.struct("h", "at", "first_at", "words")).alias("common"))
-    cut = pairs.withColumn("removed", align_udf(least)(F.col("common"))).where(F.size("removed") > 0)
+    cut = pairs.withColumn("removed", align_udf()(F.col("common"))).where(F.size("removed") > 0)
     return cut.groupBy("doc", "key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"), F.sort_array(F.collect_set(F.col("first.doc"))).alias("sources"))
 
 

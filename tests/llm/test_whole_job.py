@@ -31,3 +31,41 @@ def test_windows_cover_every_block_of_enough_words():
             for y in range(x, len(words)):
                 covered = {p for a, b in made if x <= a and b <= y for p in range(a, b + 1)}
                 assert covered == (set(range(x, y + 1)) if sum(words[x : y + 1]) >= 10 else set())
+
+
+def test_passages_in_another_order_and_second_copies_go(spark):
+    p, q = ("\n".join(f"{name} line {i} of one long passage in ten words" for i in range(6)) for name in "PQ")
+    one = "one line of just ten words that is there twice"
+    got = dedupe(spark, [f"{p}\nmid\n{q}", f"{q}\nother\n{p}", f"{p}\nbetween\n{p}", f"own\n{one}", f"{one}\nnew\n{one}"])
+    assert [got[i]["text"] for i in (2, 3, 5)] == ["other", "between", "new"] and got[2]["sources"] == got[3]["sources"] == [1]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = [" ".join(f"w{i}" for _ in range(rng.choice((1, 2, 4, 6, 11)))) for i in range(14)]
+    docs = []
+    for _ in range(40):
+        lines_of = [x for _ in range(rng.randrange(1, 5)) for x in (lambda a: pool[a : a + rng.randrange(1, 6)])(rng.randrange(14))]
+        if docs and rng.random() < 0.5:
+            old = rng.choice(docs)
+            at = rng.randrange(len(old))
+            lines_of[rng.randrange(len(lines_of)) : 0] = old[at : at + rng.randrange(1, 8)]
+        docs.append(lines_of)
+    got = dedupe(spark, ["\n".join(d) for d in docs])
+    seen, crossed = set(), 0
+    for i, d in enumerate(docs, 1):
+        size = [len(x.split()) for x in d]
+        blocks = [(x, y) for x in range(len(d)) for y in range(x, len(d)) if sum(size[x : y + 1]) >= lines.BLOCK_WORDS]
+        repeated = {p for x, y in blocks if tuple(d[x : y + 1]) in seen for p in range(x, y + 1)}
+        removed = set(got[i]["removed_lines"])
+        assert removed <= repeated
+        for p in repeated - removed:  # in another order than in the first holder, and short
+            crossed += 1
+            a, b = p, p
+            while a - 1 in repeated:
+                a -= 1
+            while b + 1 in repeated:
+                b += 1
+            assert sum(size[a : b + 1]) < lines.CROSSED_WORDS
+        seen |= {tuple(d[x : y + 1]) for x, y in blocks}
+    assert crossed < 0.2 * sum(len(r["removed_lines"]) for r in got.values())

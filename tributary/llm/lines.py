@@ -5,7 +5,9 @@ enough words. A block that two documents share, contiguous in both and of enough
 so the first holders of its windows lead to all of it, however many documents hold single lines of it. The windows that
 a later document shares with a first holder are aligned by patience diff (windows unique to both sides, longest
 increasing run, then the same between its anchors), and the lines of aligned windows are deleted from the later
-document. The first holder's copy of a window is never what makes it repeated there.
+document, with all their other copies there. What is not aligned, for it stands in another order, goes if it belongs to
+a passage of repeated lines of CROSSED_WORDS words. The first holder's copy of a window is never what makes it repeated
+there.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from . import common
 #: A block is deleted if it has this many words at least.
 BLOCK_WORDS = 10
 
+#: Repeated lines that no alignment holds go if as many words of them stand together. This is more than BLOCK_WORDS
+#: because of two crossed lines of 11 words one is to stay (tests/llm/test_methods.py).
+CROSSED_WORDS = 20
+
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -150,23 +156,50 @@ def deleted(shared: list[tuple[list[int], list[int], bytes]]) -> list[int]:
     for x, y in patience(later, first):
         for k in begin[x]:
             if (y, k) in there:
-                out.update(range(x, x + len(shared[k][2])))
+                out.update(p + i for p in shared[k][0] for i in range(len(shared[k][2])))
     return sorted(out)
 
 
+def gone(shared: dict[tuple, list[tuple[list[int], list[int], bytes]]]) -> tuple[list[int], list[int]]:
+    """(places that go, first holders that have some of them) of a later document, given its shared windows by holder."""
+    out: set[int] = set()
+    words: dict[int, int] = {}
+    held: dict[int, set[int]] = {}
+    for first, found in shared.items():
+        out.update(deleted(found))
+        mine = held[first] = set()
+        for at, _, count in found:
+            for p in at:
+                words.update(zip(range(p, p + len(count)), count))
+                mine.update(range(p, p + len(count)))
+    run: list[int] = []
+    for p in [*sorted(words), -9]:
+        if run and p != run[-1] + 1:
+            if sum(words[x] for x in run) >= CROSSED_WORDS:
+                out.update(run)
+            run = []
+        run.append(p)
+    return sorted(out), sorted({first[0] for first, mine in held.items() if mine & out})
+
+
 def places(packed: bytes) -> list[int]:
     return [*struct.unpack(f"<{len(packed) // 4}i", packed)]
 
 
 def align_udf():
     def run(col: pa.Array) -> pa.Array:
-        out = []
-        for shared in col.to_pylist():
-            out.append(deleted([(places(x["at"]), places(x["first_at"]), x["words"]) for x in shared]))
-        return pa.array(out, pa.list_(pa.int32()))
+        removed, sources = [], []
+        for rows in col.to_pylist():
+            by: dict[tuple, list] = {}
+            for x in rows:
+                by.setdefault((x["first"]["doc"], x["first"]["key"]), []).append((places(x["at"]), places(x["first_at"]), x["words"]))
+            cut, holders = gone(by)
+            removed.append(cut)
+            sources.append(holders)
+        return pa.StructArray.from_arrays([pa.array(removed, pa.list_(pa.int32())), pa.array(sources, pa.list_(pa.int64()))], names=["removed", "sources"])
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, returnType="array<int>")
+    return F.arrow_udf(run, returnType="removed array<int>, sources array<bigint>")
 
 
 def without(text: bytes, places: list[int]) -> bytes:
@@ -208,9 +241,8 @@ def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     # kept apart, so that both sides of the join are plain shuffles and a very common passage is split over tasks
     firsts = lines.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.min_by("at", me).alias("first_at")).where("first != last").select("h", "first", "first_at")
     later = lines.join(common.materialized(firsts), "h").where(me != F.col("first"))
-    pairs = later.groupBy("first", "doc", "key").agg(F.collect_set(F.struct("h", "at", "first_at", "words")).alias("common"))
-    cut = pairs.withColumn("removed", align_udf()(F.col("common"))).where(F.size("removed") > 0)
-    return cut.groupBy("doc", "key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"), F.sort_array(F.collect_set(F.col("first.doc"))).alias("sources"))
+    shared = later.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "h", "at", "first_at", "words")).alias("shared"))
+    return shared.select("doc", "key", align_udf()(F.col("shared")).alias("cut")).select("doc", "key", "cut.removed", "cut.sources").where(F.size("removed") > 0)
 
 
 def dedupe(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from tributary.llm import lines
+from tributary.llm import brown, lines
 
 
 def dedupe(spark, texts):
@@ -69,3 +69,16 @@ def test_line_dedup_against_brute_force(spark):
             assert sum(size[a : b + 1]) < lines.CROSSED_WORDS
         seen |= {tuple(d[x : y + 1]) for x, y in blocks}
     assert crossed < 0.2 * sum(len(r["removed_lines"]) for r in got.values())
+
+
+def test_words_beyond_the_clustered_ones_get_learned_classes(spark):
+    rng = random.Random(3)
+    fillers = [f"f{i}" for i in range(brown.CLUSTERED)] * 5
+    rng.shuffle(fillers)
+    nouns, verbs = [f"no{i}" for i in range(40)], [f"verbverb{i}" for i in range(40)]
+    texts = [" ".join(fillers)] + [f"da {n} ru we {v} it" for n, v in zip(nouns, verbs) for _ in range(3)]
+    texts += [f"da common{i} ru we usual{i} it" for i in range(5) for _ in range(20)]
+    model, _ = brown.train(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"))
+    kind = {w.decode(): model.of[i] for w, i in model.head.number.items()}
+    assert len(kind) > brown.CLUSTERED and all(kind[w] > brown.SHAPES for w in kind)
+    assert not {kind[w] for w in nouns} & {kind[w] for w in verbs}

@@ -8,6 +8,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -273,6 +274,26 @@ def test_join_in_blocks(spark, monkeypatch):
     assert got == {i: (links[i], roots[i]) for i in range(len(texts))}
 
 
+def test_only_pairs_that_survive_pruning_are_verified(monkeypatch):
+    """A chain of texts whose neighbours have a similarity of 0.744: hardly a pair survives, and only survivors are verified."""
+    rng = random.Random(1)
+    words, step = [f"c{rng.randrange(10**6)}" for _ in range(3000)], 9
+    sets = [ngram_join.shingles(" ".join(words[i * step : i * step + 65]).encode()) for i in range(300)]
+    low = np.stack([ngram_join.minhash(s).astype(np.uint8) for s in sets])
+    i, j = ngram_join.undropped(low)
+    want = {(a, b) for a in range(300) for b in (a + 1 + ngram_join.survivors(low[a], low[a + 1 :])).tolist()}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) < 600
+    seen = []
+    monkeypatch.setattr(ngram_join, "agreeing", lambda s, i, j, plain=ngram_join.agreeing: (seen.append(len(i)), plain(s, i, j))[1])
+    cols = [np.zeros(300, np.int64)] * 4 + [np.arange(300), np.ones(300, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([x.tobytes() for x in low]), pa.array([s.tobytes() for s in sets])], names=list("abcdefgh"))
+    assert sum(b.num_rows for b in ngram_join.verify_kernel([batch])) == 0 and sum(seen) == len(want)
+    dense = [sets[0], sets[0][:-1], sets[0][:-2], sets[0][1:], sets[5]]
+    a, b = np.triu_indices(5, 1)
+    plain = [Fraction(len(x & y), len(x | y)) >= Fraction(4, 5) for x, y in ((set(dense[p].tolist()), set(dense[q].tolist())) for p, q in zip(a, b))]
+    assert ngram_join.agreeing(dense, a, b).tolist() == plain == ngram_join.linked(dense)[a, b].tolist()
+
+
 def test_pruning_keeps_what_the_posterior_allows():
     one = np.zeros((1, 128), np.uint8)
     other = np.zeros((2, 128), np.uint8)

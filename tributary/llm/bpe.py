@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     """
     common.bound_batches(docs.sparkSession)
     made = common.text_kernel(encode_kernel(path), "ids array<int>", raw=False)(F.col(text))
-    return docs.withColumn("__bpe", made).withColumn(out, F.col("__bpe.ids")).drop("__bpe")
+    return docs.select(*[F.col(f"`{c}`") for c in common.without(docs.columns, [out])], made.getField("ids").alias(out))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

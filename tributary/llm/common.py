@@ -41,14 +41,22 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is set (tests) a local one is made."""
+    """The shared folder of the session; where none is set a local session (tests) gets one, a cluster an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         set_to = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not set_to and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(set_to or os.path.join(tempfile.gettempdir(), "tributary-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate data that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, where a lost executor does not take it along."""
     checkpoint_dir(df.sparkSession)
@@ -107,33 +115,61 @@ def text_kernel(kernel: Callable[[list], dict], schema: str, raw: bool = True):
     return F.arrow_udf(run, returnType=struct)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores behind it until no column has it; names differ if they differ in more than case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def without(columns: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The columns that no one of ``names`` replaces; Spark takes names that differ in case only for the same."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def with_struct(df: DataFrame, made: Column, names: Iterable[str], keep: Iterable[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) and the fields of the struct column ``made``; a clashing name gives way to the field."""
+    """``df`` (or its columns ``keep``) and the fields of the struct column ``made``; a clashing name, in whatever case, gives way to the field."""
     names = list(names)
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    tmp = "__made"
+    kept = without(df.columns if keep is None else keep, names)
+    tmp = free("__made", kept)
     return df.select(*[F.col(f"`{c}`") for c in kept], made.alias(tmp)).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{tmp}.{n}").alias(n) for n in names])
 
 
+def salted(big: DataFrame, small: DataFrame, key: str, ways: int = 16, how: str = "inner") -> DataFrame:
+    """The join of ``big`` with ``small``, whose keys are distinct, with each key's rows of ``big`` dealt to ``ways`` tasks.
+
+    ``small`` goes along ``ways`` times; so it must be the side of few rows, and ``big`` the one with hot keys.
+    """
+    salt = free("__salt", [*big.columns, *small.columns])
+    deal = F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(ways)).cast("int")
+    return big.withColumn(salt, deal).join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [key, salt], how).drop(salt)
+
+
 def labelled_sample(docs: DataFrame, label: str, bound: int, key: str = "doc_id") -> list[tuple]:
     """(key, label) of at most ``bound`` rows for each label value: those of smallest hash, found without a global sort.
 
-    A count for each label gives the share of the hash range that holds about 1.2 x ``bound`` rows; only rows in that
-    share are sorted. Null keys and labels are left out; repeated (key, label) rows count once.
+    A count for each label gives the share of the hash range that holds about 1.2 x ``bound`` rows; one job over all
+    labels brings the distinct rows in these shares to the driver, which takes the first of each. Null keys and labels
+    are left out; repeated (key, label) rows count once.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    spread = (F.xxhash64(F.lit(20260517), F.col("k")) + F.lit(0)).alias("h")
-    rows = rows.select("k", "y", spread)
-    picked: list[tuple] = []
-    for y, n in sorted(counts.items(), key=lambda x: str(x[0])):
+    tops = []
+    for y, n in counts.items():
         share = min(1.0, (1.2 * bound + 200) / n)
-        top = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        got = rows.where((F.col("y") == F.lit(y)) & (F.col("h") <= F.lit(top))).dropDuplicates(["k", "y"]).orderBy("h", "k").limit(bound)
-        picked += [(r["k"], r["y"]) for r in got.collect()]
-    return picked
+        tops.append((y, int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    shares = F.broadcast(spark.createDataFrame(tops, T.StructType([T.StructField("y", rows.schema["y"].dataType), T.StructField("top", T.LongType())])))
+    spread = F.xxhash64(F.lit(20260517), F.col("k")).alias("h")
+    got = rows.select("k", "y", spread).join(shares, "y").where("h <= top").select("y", "h", "k").distinct().toArrow()
+    by: dict = {}
+    for y, h, k in zip(*[got.column(c).to_pylist() for c in ("y", "h", "k")]):
+        by.setdefault(y, []).append((h, k))
+    return [(k, y) for y in sorted(by, key=str) for _, k in sorted(by[y])[:bound]]
 
 
 def sigmoid(x):

@@ -311,16 +311,21 @@ def store_kernel(texts: list) -> dict:
 
 
 def as_media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """``docs`` with a binary column of Matroska files; a null text is stored as an empty one."""
+    """``docs`` with a binary column of Matroska files; a null text is stored as an empty one.
+
+    Each row is stored by itself, so repeated rows and texts of any length stay whole; a column named ``out`` is replaced.
+    """
     common.bound_batches(docs.sparkSession)
     made = common.text_kernel(store_kernel, "media binary")(F.col(text))
-    return docs.withColumn("__media", made).withColumn(out, F.col("__media.media")).drop("__media")
+    return docs.select(*[F.col(f"`{c}`") for c in common.without(docs.columns, [out])], made.getField("media").alias(out))
 
 
 def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and the digests of payload and file of each whole text, read back through the parser.
 
-    A null or empty text is one frame of bytes 255. One row out for each row in; no shuffle.
+    A null or empty text is one frame of bytes 255. One row out for each row in, repeated rows and null ids included, and
+    none for an empty table; no shuffle. A text of any length is one file. Ties cannot occur; of ``keep``, columns named
+    like a digest are replaced.
     """
     common.bound_batches(docs.sparkSession)
     made = common.text_kernel(media_kernel, MEDIA_DDL)(F.col(text))

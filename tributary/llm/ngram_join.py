@@ -7,8 +7,9 @@
    soon as the posterior probability, under a uniform prior, that it reaches the threshold falls below the tolerance.
    Of the pairs that are never dropped a bucket passes on a spanning forest only, so a bucket of n makes n - 1 edges
    however many of its pairs agree.
-3. Candidates that hang together form a component; every pair of a component is verified exactly on the shingle sets,
-   block against block by matrix products, and only sums (links of a text) and spanning forests leave a block.
+3. Candidates that hang together form a component. Block by block, the pairs of a component are pruned again in the same
+   way, and those that are never dropped, and no others, are verified exactly on the shingle sets. Only sums (links of a
+   text) and spanning forests leave a block.
 4. Components of verified links are the classes.
 
 Buckets and components beyond BLOCK members are dealt out as pairs of blocks, so no task gets an unbounded group, and no
@@ -202,33 +203,69 @@ def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD) -> np.ndarra
     return q * inter >= p * (sizes[:, None] + sizes[None, :] - inter)
 
 
+def undropped(low: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of rows that are never dropped; where ``own`` is given, only pairs of rows that differ in it."""
+    agree = (low[:, None, :STEP] == low[None, :, :STEP]).sum(axis=2)
+    i, j = np.nonzero(np.triu(agree >= LEAST[STEP], 1))
+    if own is not None:
+        apart = own[i] != own[j]
+        i, j = i[apart], j[apart]
+    agree = agree[i, j]
+    for a in range(STEP, VALUES, STEP):
+        agree = agree + (low[i, a : a + STEP] == low[j, a : a + STEP]).sum(axis=1)
+        stay = agree >= LEAST[a + STEP]
+        i, j, agree = i[stay], j[stay], agree[stay]
+    return i, j
+
+
+def agreeing(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """Which of the pairs of sets reach the threshold: each by itself, or by matrix products where a set has many pairs."""
+    rows = np.unique(np.concatenate([i, j]))
+    if len(i) > 4 * len(rows):
+        link = linked([sets[r] for r in rows], threshold)
+        return link[np.searchsorted(rows, i), np.searchsorted(rows, j)]
+    p, q = threshold.numerator, threshold.denominator
+    out = np.zeros(len(i), bool)
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = len(sets[x]), len(sets[y])
+        if q * min(a, b) >= p * max(a, b):
+            inter = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            out[k] = q * inter >= p * (a + b - inter)
+    return out
+
+
 def verify_kernel(batches):
-    """Links and local roots from components; columns component, block, other block, own block, rid, documents, set."""
+    """Links and local roots from components; columns component, block, other block, own block, rid, documents, low, set."""
     for table, starts in runs(batches, 3):
         one, two, own = (table.column(i).to_numpy() for i in (1, 2, 3))
         rid, docs = table.column(4).to_numpy(), table.column(5).to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in table.column(6).to_pylist()]
+        low = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column(7).to_pylist()]
         out: tuple[list, list, list, list] = ([], [], [], [])
         for s, e in zip(starts.tolist(), np.append(starts[1:], len(rid)).tolist()):
-            if e - s < 2:
+            # pairs inside a block are counted where the block meets itself
+            i, j = undropped(low[s:e], own[s:e] if one[s] != two[s] else None)
+            hit = agreeing(sets[s:e], i, j) if len(i) else np.zeros(0, bool)
+            i, j = i[hit], j[hit]
+            if not len(i):
                 continue
-            link = linked(sets[s:e])
-            np.fill_diagonal(link, False)
             root = np.arange(e - s)
             while True:  # smallest row that a row is connected with
-                low = np.where(link, root[None, :], e - s).min(axis=1)
-                low = np.minimum(low, root)
-                low = low[low]
-                if (low == root).all():
+                m, new = np.minimum(root[i], root[j]), root.copy()
+                np.minimum.at(new, i, m)
+                np.minimum.at(new, j, m)
+                new = new[new]
+                if (new == root).all():
                     break
-                root = low
-            count = link
-            if one[s] != two[s]:  # pairs inside a block are counted where the block meets itself
-                count = link & (own[s:e, None] != own[None, s:e])
-            out[0].extend(rid[s:e].tolist())
-            out[1].extend(rid[s:e][root].tolist())
-            out[2].extend(count.sum(axis=1).tolist())
-            out[3].extend((count * docs[None, s:e]).sum(axis=1).tolist())
+                root = new
+            both, other = np.concatenate([i, j]), np.concatenate([j, i])
+            some = np.unique(both)
+            out[0].extend(rid[s:e][some].tolist())
+            out[1].extend(rid[s:e][root[some]].tolist())
+            out[2].extend(np.bincount(both, minlength=e - s)[some].tolist())
+            weight = np.zeros(e - s, np.int64)
+            np.add.at(weight, both, docs[s:e][other])
+            out[3].extend(weight[some].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["rid", "local", "texts", "documents"])
 
 
@@ -265,18 +302,19 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = common.materialized(graph.components(edges))
     sizes = near.groupBy("root").agg(F.count("*").alias("members"))
     # texts of the representatives in components of two or more
-    wanted = near.join(sizes, "root").join(reps.select("rid", "doc_id", "key", "docs"), near["node"] == F.col("rid"))
+    wanted = common.salted(near, sizes, "root").withColumnRenamed("node", "rid").join(reps.select("rid", "doc_id", "key", "docs", "low"), "rid")
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     found = common.text_kernel(set_kernel, "found binary")(F.col("text")).getField("found")
-    sets = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(texts, ["doc_id", "key"]).dropDuplicates(["rid"]).select("root", "members", "rid", "docs", found.alias("found"))
-    dealt = blocks(sets, "members", SET_BLOCK).select("root", "one", "two", "own", "rid", "docs", "found")
+    sets = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(texts, ["doc_id", "key"]).dropDuplicates(["rid"]).select("root", "members", "rid", "docs", "low", found.alias("found"))
+    dealt = blocks(sets, "members", SET_BLOCK).select("root", "one", "two", "own", "rid", "docs", "low", "found")
     checked = grouped(dealt, ["root", "one", "two"]).mapInArrow(verify_kernel, "rid bigint, local bigint, texts bigint, documents bigint")
     checked = common.materialized(checked)
     links = checked.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    roots = graph.components(checked.select(F.col("rid").alias("a"), F.col("local").alias("b")))
-    named = reps.select("rid", "nid", "doc_id", "docs").join(links, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(first, "root").select("nid", "class_id", "root", (F.coalesce("documents", F.lit(0)) + F.col("docs") - 1).alias("links"), F.coalesce("texts", F.lit(0)).alias("linked_texts"))
+    roots = common.materialized(graph.components(checked.select(F.col("rid").alias("a"), F.col("local").alias("b"))))
+    members = reps.select("rid", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid")
+    named = common.salted(members.select("rid", "root"), members.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root")
+    named = reps.select("rid", "nid", "doc_id", "docs").join(links, "rid", "left").join(named, "rid", "left")
+    classes = named.select("nid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "rid").alias("root"), (F.coalesce("documents", F.lit(0)) + F.col("docs") - 1).alias("links"), F.coalesce("texts", F.lit(0)).alias("linked_texts"))
     return base.select("doc_id", "key", "nid"), classes
 
 
@@ -295,14 +333,20 @@ def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, links, linked_texts.
 
     Null, empty and blank texts have the empty set and are copies of each other; texts of one to four words are one
-    shingle. Repeated rows count as copies. A class made of rows without ids only has a null class_id.
+    shingle. Repeated rows count as copies. A class made of rows without ids only has a null class_id; of equal ids the
+    first is taken by text hash. Texts of any length are whole sets. An empty table gives an empty result; other columns
+    than doc_id and text, whatever their names, are not looked at.
     """
     rows, named = join(docs)
     return rows.select("doc_id", "nid").join(named, "nid").select("doc_id", "class_id", "links", "linked_texts")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that come first (by doc_id, then text hash) in their class."""
+    """The rows of ``docs``, with their own columns, that come first (by doc_id, then text hash) in their class.
+
+    Null ids come before all others. Of rows that agree in doc_id and text one stays. All null, empty and blank texts are
+    one class, so one of them stays. An empty table gives an empty result.
+    """
     rows, named = join(docs)
     me = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("key").alias("key"))
     stay = rows.join(named, "nid").groupBy("root").agg(F.min(me).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.key").alias("__key"))

@@ -1,9 +1,13 @@
 """Quality classification of lines by a linear-chain conditional random field.
 
 A text is the chain of its lines; each line is good or bad. The potential of a line is linear in features of the line
-and of its neighbours, that of two lines in a row depends on their labels. Training maximises the conditional
-likelihood of the lines of a bounded sample of labelled texts, each line bearing its text's label. A text's quality is
-the mean of its lines' forward-backward marginals, weighted by length.
+and of its neighbours, that of two lines in a row depends on their labels. A text's quality is the mean of its lines'
+forward-backward marginals, weighted by length.
+
+Only texts bear labels, so those of lines are learned. A bounded sample of labelled texts is strung together to chains of
+one to three, in which good and bad meet. At first each line bears its text's label. Then rounds of expectation and
+maximisation: the posterior of the lines under the field found so far, held to what is known (SHARE of a text's length
+at least bears the text's label), takes the place of the labels. Every chain has the same weight, however long.
 """
 
 from __future__ import annotations
@@ -16,8 +20,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most labelled texts of each class that a fit takes.
-TEXTS = 1_500
+#: Most labelled texts of each class that a fit takes, and most lines of such a text; longer ones are not fitted to.
+TEXTS, FIT_LINES = 1_500, 500
+
+#: Least share of a text's length that bears the text's label, and rounds in which the labels of lines are learned anew.
+SHARE, ROUNDS = 0.75, 2
 
 OWN = ["bias", "empty", "log_words", "word_length", "symbols", "capitals", "digits", "marks", "bars", "letters", "stop_at_end", "small_words", "new_words", "seen_before"]
 SIZE = len(OWN)
@@ -84,8 +91,8 @@ class Chains:
         live = np.searchsorted(-sizes[self.order], -np.arange(longest), side="left")  # chains longer than t
         self.steps = [by[: live[t]] + t for t in range(longest)]
 
-    def messages(self, node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Forward and backward log messages of each line and the sum of the log partition functions."""
+    def messages(self, node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log messages of each line and the log partition function of each chain."""
         fwd, bwd = np.array(node), np.zeros_like(node)
         for before, now in zip(self.steps, self.steps[1:]):
             prev = fwd[before[: len(now)]]
@@ -97,7 +104,7 @@ class Chains:
             bwd[at, 0] = np.logaddexp(nxt[:, 0] + edge[0, 0], nxt[:, 1] + edge[0, 1])
             bwd[at, 1] = np.logaddexp(nxt[:, 0] + edge[1, 0], nxt[:, 1] + edge[1, 1])
         last = self.starts + self.sizes - 1
-        return fwd, bwd, float(np.logaddexp(fwd[last, 0], fwd[last, 1]).sum())
+        return fwd, bwd, np.logaddexp(fwd[last, 0], fwd[last, 1])
 
 
 @dataclass
@@ -127,41 +134,86 @@ class Field:
         return np.add.reduceat(p * weight, starts) / np.add.reduceat(weight, starts)
 
 
-def train(texts: list[tuple[np.ndarray, int]], l2: float = 1e-3, rounds: int = 120) -> Field:
-    """A field from (features of lines, label) of each text, by L-BFGS on the mean conditional log-likelihood."""
-    if not texts or len({y for _, y in texts}) < 2:
-        y = texts[0][1] if texts else 1
+def strung(n: int, seed: int = 11) -> list[list[int]]:
+    """Texts 0 to n - 1 in a fixed random order, as chains of one, two and three by turns."""
+    order = np.random.default_rng(seed).permutation(n).tolist()
+    out, k = [], 0
+    while order:
+        k = k % 3 + 1
+        out.append(order[:k])
+        order = order[k:]
+    return out
+
+
+def pairs(chains: Chains, node: np.ndarray, edge: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of good of each line, of each label pair of lines and those before them, log partition functions)."""
+    fwd, bwd, log_z = chains.messages(node, edge)
+    p = common.sigmoid((fwd + bwd)[:, 1] - (fwd + bwd)[:, 0])
+    joint = fwd[inner - 1][:, :, None] + edge[None] + (node[inner] + bwd[inner])[:, None, :]
+    if len(inner):
+        joint = np.exp(joint - np.logaddexp.reduce(joint.reshape(len(inner), 4), axis=1)[:, None, None])
+    return p, joint, log_z
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray, int]], l2: float = 1e-4, most: int = 120, rounds: int = ROUNDS) -> Field:
+    """A field from (features of lines, weights of lines, label) of each text."""
+    if not texts or len({y for *_, y in texts}) < 2:
+        y = texts[0][2] if texts else 1
         return Field(np.concatenate([[2.0 if y else -2.0], np.zeros(3 * SIZE - 1)]), np.zeros((2, 2)))
-    sizes = np.array([len(x) for x, _ in texts])
-    x = np.vstack([x for x, _ in texts]).astype(float)
-    y = np.repeat([int(v) for _, v in texts], sizes)
-    chains = Chains(sizes)
+    groups = strung(len(texts))
+    order = [i for g in groups for i in g]
+    sizes = np.array([len(texts[i][0]) for i in order])
+    x = np.vstack([texts[i][0] for i in order]).astype(float)
+    label = np.repeat([float(texts[i][2]) for i in order], sizes)
+    length = np.concatenate([w if (w := texts[i][1]).any() else np.ones(len(w)) for i in order])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    length = length / np.repeat(np.add.reduceat(length, begin), sizes)
+    at = np.concatenate([[0], np.cumsum([len(g) for g in groups])[:-1]])
+    chains = Chains(np.add.reduceat(sizes, at))
     full = with_neighbours(x, chains.starts)
-    first = np.zeros(len(x), bool)
-    first[chains.starts] = True
-    inner = ~first
-    # of a text's weight each line has its share, so long texts do not outweigh the others
-    labels = np.array([int(v) for _, v in texts])
-    observed_edge = np.zeros((2, 2))
-    for v in (0, 1):
-        observed_edge[v, v] = (inner & (y == v)).sum()
-    n = len(texts)
-
-    def loss(theta):
-        w, edge = theta[:-4], theta[-4:].reshape(2, 2)
-        node = np.stack([np.zeros(len(x)), full @ w], axis=1)
-        fwd, bwd, log_z = chains.messages(node, edge)
-        gain = node[y == 1, 1].sum() + (observed_edge * edge).sum() - log_z
-        p = common.sigmoid((fwd + bwd)[:, 1] - (fwd + bwd)[:, 0])
-        g_w = full.T @ (p - (y == 1))
-        at = np.flatnonzero(inner)
-        joint = fwd[at - 1][:, :, None] + edge[None] + (node[at] + bwd[at])[:, None, :]
-        joint = np.exp(joint - np.logaddexp.reduce(joint.reshape(len(at), 4), axis=1)[:, None, None]) if len(at) else np.zeros((0, 2, 2))
-        g_e = joint.sum(axis=0) - observed_edge
-        return -gain / n + l2 * (theta @ theta), np.concatenate([g_w, g_e.ravel()]) / n + 2 * l2 * theta
-
-    theta = lbfgs(loss, np.zeros(3 * SIZE + 4), rounds)
-    assert len(labels) == n
+    weight = 1.0 / (chains.sizes * len(groups))
+    each = np.repeat(weight, chains.sizes)
+    is_first = np.zeros(len(x), bool)
+    is_first[chains.starts] = True
+    inner = np.flatnonzero(~is_first)
+
+    def potentials(theta):
+        return np.stack([np.zeros(len(x)), full @ theta[:-4]], axis=1), theta[-4:].reshape(2, 2)
+
+    def fitted(theta, good, both):
+        """Parameters that maximise the expected likelihood under probabilities of lines and of pairs of lines."""
+        want_w, want_e = full.T @ (each * good), (each[inner][:, None, None] * both).sum(axis=0)
+
+        def loss(theta):
+            node, edge = potentials(theta)
+            p, joint, log_z = pairs(chains, node, edge, inner)
+            gain = theta[:-4] @ want_w + (want_e * edge).sum() - weight @ log_z
+            g_w = full.T @ (each * p) - want_w
+            g_e = (each[inner][:, None, None] * joint).sum(axis=0) - want_e
+            return -gain + l2 * (theta @ theta), np.concatenate([g_w, g_e.ravel()]) + 2 * l2 * theta
+
+        return lbfgs(loss, theta, most)
+
+    def expected(theta):
+        """The posterior closest to the field in which SHARE of each text's length bears the text's label."""
+        node, edge = potentials(theta)
+        sign = 2 * label - 1
+        low, high = np.zeros(len(sizes)), np.full(len(sizes), 40.0)
+        for step in range(14):
+            push = np.zeros(len(sizes)) if step == 0 else (low + high) / 2
+            p, joint, _ = pairs(chains, node + np.stack([np.zeros(len(x)), sign * np.repeat(push, sizes)], axis=1), edge, inner)
+            enough = np.add.reduceat(length * np.where(label == 1, p, 1 - p), begin) >= SHARE
+            high = np.where(enough, push, high)
+            low = np.where(enough, low, push)
+        push = high
+        p, joint, _ = pairs(chains, node + np.stack([np.zeros(len(x)), sign * np.repeat(push, sizes)], axis=1), edge, inner)
+        return p, joint
+
+    both = np.zeros((len(inner), 2, 2))
+    both[np.arange(len(inner)), label[inner - 1].astype(int), label[inner].astype(int)] = 1.0
+    theta = fitted(np.zeros(3 * SIZE + 4), label, both)
+    for _ in range(rounds):
+        theta = fitted(theta, *expected(theta))
     return Field(theta[:-4], theta[-4:].reshape(2, 2))
 
 
@@ -201,11 +253,15 @@ def lbfgs(loss, theta: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 
 
 def feature_kernel(texts: list) -> dict:
-    return {"x": [line_features(t)[0].ravel() for t in texts]}
+    each = [line_features(t) for t in texts]
+    return {"x": [x.ravel() for x, _ in each], "w": [w for _, w in each]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None, bound: int = TEXTS) -> Field:
-    """A field from at most ``bound`` labelled texts of each quality among the labels that ``allowed`` admits."""
+    """A field from at most ``bound`` labelled texts of each quality among the labels that ``allowed`` admits.
+
+    Texts of more than FIT_LINES lines are not fitted to, which bounds what the driver gets.
+    """
     spark = docs.sparkSession
     common.bound_batches(spark)
     labels = labels.where(allowed) if allowed is not None else labels
@@ -215,17 +271,22 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None, bound: int = TEXTS) ->
     if not worst:
         return train([])
     wanted = F.broadcast(spark.createDataFrame([*worst.items()], "doc_id bigint, __y int"))
-    made = common.text_kernel(feature_kernel, "x array<float>")(F.col("text"))
-    rows = common.with_struct(docs.select("doc_id", "text").join(wanted, "doc_id"), made, ["x"], ["doc_id", "__y"]).toArrow()
-    got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("__y").to_pylist(), range(rows.num_rows)), key=lambda r: r[:2])
-    xs = rows.column("x").combine_chunks()
-    return train([(np.asarray(xs[i].values).reshape(-1, SIZE), y) for _, y, i in got])
+    made = common.text_kernel(feature_kernel, "x array<float>, w array<double>")(F.col("text"))
+    few = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))), F.lit(0)) < FIT_LINES
+    rows = common.with_struct(docs.select("doc_id", "text").where(few).join(wanted, "doc_id"), made, ["x", "w"], ["doc_id", "__y"]).toArrow()
+    xs, ws = rows.column("x").combine_chunks(), rows.column("w").combine_chunks()
+    found = [(d, y, np.asarray(xs[i].values).reshape(-1, SIZE), np.asarray(ws[i].values)) for i, (d, y) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("__y").to_pylist()))]
+    found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+    return train([(x, w, y) for _, y, x, w in found])
 
 
 def score(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or columns ``keep``) with score (0 to 1) and predicted.
 
-    A null or empty text is one empty line and gets that line's marginal. Each row is scored by itself.
+    A null or empty text is one empty line and gets that line's marginal. Each row is scored by itself, so repeated rows
+    agree; a text of any length is one chain. A score of 0.5 counts as good. Columns of ``docs`` that are named, in
+    whatever case, like the two new ones are replaced. An empty table gives an empty result; without labels of both
+    qualities all texts get one score.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)

@@ -397,7 +397,7 @@ def test_context_trees_give_exact_code_lengths():
     got = trees.lengths(probe)
     for i, p in enumerate(probe):
         for j, lang in enumerate(texts):
-            assert got[i, j] == pytest.approx(bits(lang, p), rel=1e-5)
+            assert got[i, j] == pytest.approx(bits(lang, p), rel=1e-12)
 
 
 def test_language_query(spark, rows):
@@ -412,7 +412,92 @@ def test_kneser_ney_probabilities_sum_to_one():
     for ctx in (b"     ", b"   ab", b"zzzzz", b"    x"):
         keys = np.array([int.from_bytes(ctx + bytes([c]), "big") for c in range(256)], np.uint64)
         assert m.probability(kneser_ney.ORDER - 1, keys).sum(axis=0) == pytest.approx([1, 1])
-    assert m.spelled([b"abc"])[0] > 1 > -1 > m.spelled([b"xyz"])[0]
+    difference = lambda w: float(m.spelled([w])[0] @ [1, -1])
+    assert difference(b"abc") > 1 > -1 > difference(b"xyz")
+
+
+def fitted_to(texts, labels):
+    """Models from plain counts of texts, and the counts."""
+    counts = kneser_ney.counted([t.encode() for t in texts], labels)
+    alone = {k[1]: n for k, n in counts.items() if k[0] is None}
+    pairs = {k: n for k, n in counts.items() if k[0] is not None}
+    m = kneser_ney.build([*alone], np.array([*alone.values()]))
+    first = collections.defaultdict(lambda: np.zeros(2))
+    for (v, _), n in pairs.items():
+        first[v] += n
+    of = [[n[0] for n in pairs.values()], [n[1] for n in pairs.values()], [sum(n) for n in pairs.values()]]
+    m.pairs = kneser_ney.pair_model([(*k, *n) for k, n in pairs.items() if sum(n) >= kneser_ney.LEAST_PAIRS], {v: tuple(n) for v, n in first.items()}, [(x.count(1), x.count(2)) for x in of])
+    return m, alone, pairs, first, of
+
+
+def test_toxicity_evidence_equals_plain_probabilities():
+    rng = random.Random(12)
+    some = ["sun", "moon", "star", "sky", "rain", "zonk", "day"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    m, alone, pairs, first, of = fitted_to(texts, [i % 3 == 0 for i in range(60)])
+    d = [kneser_ney.discount(np.array(x)) for x in of]
+
+    def probability(c, v, w):
+        spelled = math.exp(m.spelled([w])[0, c])
+        if v is None:
+            return spelled
+        kept = {k[1]: n for k, n in pairs.items() if k[0] == v and sum(n) >= kneser_ney.LEAST_PAIRS}
+        pool, own = first[v].sum(), first[v][c]
+        take = lambda n, d: max(n - d, 0)
+        below = spelled
+        if pool:
+            below = (take(sum(kept[w]), d[2]) if w in kept else 0) / pool + (1 - sum(take(sum(n), d[2]) for n in kept.values()) / pool) * spelled
+        return below if not own else (take(kept[w][c], d[c]) if w in kept else 0) / own + (1 - sum(take(n[c], d[c]) for n in kept.values()) / own) * below
+
+    probe = "sun moon zonk new star star sky"
+    ws = probe.encode().split()
+    by_pair = [math.log(probability(0, v, w) / probability(1, v, w)) for v, w in zip([None, *ws], ws)]
+    by_spelling = [float(m.spelled([w])[0] @ [1, -1]) for w in ws]
+    got = m.evidence([b"rain", probe.encode(), None])[1]
+    assert got[0] == pytest.approx(sum(by_spelling) / 7) and got[3] == pytest.approx(sum(by_pair) / 7)
+    assert got[1] == pytest.approx(max(0, max(sum(by_spelling[:k]) for k in range(1, 8))) / 24, abs=1e-6)
+    assert got[2] == pytest.approx(sum(x > kneser_ney.STRONG for x in by_spelling) / math.sqrt(7))
+    # the pairs of a known first word, and what is left for the spelling of all words, sum to one
+    v = b"sun"
+    seen = {k[1] for k, n in pairs.items() if k[0] == v and sum(n) >= kneser_ney.LEAST_PAIRS}
+    for c in (0, 1):
+        spelled = sum(math.exp(m.spelled([w])[0, c]) for w in seen)
+        left = m.pairs.rest[m.pairs.number[v], c] * m.pairs.pooled_rest[m.pairs.number[v]] * (1 - spelled)
+        assert sum(probability(c, v, w) for w in seen) + left == pytest.approx(1)
+    plain = 1 / (1 + math.exp(-float(np.append(got, 1) @ m.logistic)))
+    assert m.score([probe.encode()])[0] == pytest.approx(plain)
+
+
+def test_toxic_expressions_of_ordinary_words(spark):
+    """Both words of an expression are as common in ordinary texts; only their pair tells."""
+    rng = random.Random(8)
+    fill = [f"{a}{b}{c}" for a in "bcdfgk" for b in ("ara", "ele", "ono", "uti") for c in ("s", "n", "")]
+    said = [("baras", "dono"), ("kutin", "felen"), ("cono", "gara")]
+    rows = []
+    for i in range(1200):
+        w = [rng.choice(fill) for _ in range(60)]
+        for _ in range(3):
+            k, e = rng.randrange(59), rng.choice(said)
+            w[k], w[k + 1] = e if i % 3 == 0 else (e[0], rng.choice(fill))
+            if i % 3:
+                w[rng.randrange(60)] = e[1]
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    held = common.fold("doc_id", 5) == 0
+    models = kneser_ney.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), ~held)
+    got = kneser_ney.score(docs.select("doc_id", "text", F.col("toxic").alias("truth")), models, ["doc_id", "truth"]).where(held).collect()
+    assert sum(r["predicted"] == r["truth"] for r in got) > 0.85 * len(got)
+
+
+def test_toxicity_query(spark):
+    labels = common.read(spark, SF.replace("0.001", "0.01"), "labels")
+    out = queries.op8_toxicity(spark, SF.replace("0.001", "0.01"))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = out.toPandas()
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    assert (got.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id]).all()
+    held = got[got.held_out].merge(labels.toPandas(), on="doc_id")
+    assert (held.predicted == held.toxic).mean() > max(0.9, (held.toxic == 0).mean())
 
 
 def test_toxicity_finds_planted_words(spark):
@@ -457,6 +542,43 @@ def test_marginals_equal_enumeration():
         assert got[s : s + n] == pytest.approx(plain_chain(node, f.edge))
 
 
+def test_lines_of_glued_texts_get_their_own_labels(spark):
+    """Labels stand on whole texts; of a good and a bad text glued together both halves get the right side."""
+    sf = SF.replace("0.001", "0.01")
+    both = common.read(spark, sf, "documents").join(common.read(spark, sf, "labels"), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
+    field = crf.fit(common.read(spark, sf, "documents"), common.read(spark, sf, "labels"), common.fold("doc_id", 3) != 1)
+    both = both[[t is not None and zlib.crc32(str(d).encode()) % 3 == 1 and 3 <= t.count("\n") <= 40 for d, t in zip(both.doc_id, both.text)]]
+    good, bad = ([t.encode() for t in both[both.quality == q].text] for q in (1, 0))
+    right, ranges = 0, []
+    for i, b in enumerate(bad):
+        for first, second, sides in ((good[i], b, (1, 0)), (b, good[i], (0, 1))):
+            x, weight = crf.line_features(first + b"\n" + second)
+            p = field.marginals(x.astype(float), np.array([len(x)]))
+            cut = first.count(b"\n") + 1
+            half = [np.average(p[s], weights=weight[s]) for s in (slice(0, cut), slice(cut, None))]
+            right += all((h >= 0.5) == bool(s) for h, s in zip(half, sides))
+            ranges.append(p.max() - p.min())
+    assert len(bad) >= 8 and right >= 0.8 * 2 * len(bad) and np.median(ranges) > 0.5
+
+
+def test_field_maximises_the_expected_likelihood():
+    """Labels of lines that are known by themselves are found from labels of texts, switches inside a text included."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(200):
+        y = int(rng.integers(2))
+        lines = rng.random(8) < (0.9 if y else 0.1)
+        x = np.zeros((8, crf.SIZE), np.float32)
+        x[:, 0], x[:, 2], x[:, 4] = 1, rng.random(8), np.where(lines, 0.0, 1.0) + rng.normal(0, 0.1, 8)
+        texts.append((x, np.ones(8), y))
+    field = crf.train(texts)
+    p = field.marginals(np.vstack([x for x, *_ in texts]).astype(float), np.full(200, 8)).reshape(200, 8)
+    clean = np.stack([x[:, 4] < 0.5 for x, *_ in texts])
+    assert ((p >= 0.5) == clean).mean() > 0.9
+    share = np.where(np.array([y for *_, y in texts]) == 1, p.mean(axis=1), 1 - p.mean(axis=1))
+    assert (share > 0.5).mean() > 0.97
+
+
 def test_quality_of_held_out_documents(spark):
     labels = common.read(spark, SF, "labels")
     got = queries.op10_line_crf(spark, SF).join(labels, "doc_id").where("held_out").collect()

@@ -92,7 +92,7 @@ class Trees:
         order = np.argsort(weight, kind="stable")  # of keys that share a slot the commonest stays
         slots = self.slot(top.keys[order])
         self.slot_key[slots], self.slot_row[slots] = top.keys[order], order
-        self.slot_cost = np.ascontiguousarray(np.where(self.slot_row[:, None] >= 0, top.bits[self.slot_row] if len(top.keys) else 0.0, 0.0).T.astype(np.float32))
+        self.slot_cost = np.ascontiguousarray(np.where(self.slot_row[:, None] >= 0, top.bits[self.slot_row] if len(top.keys) else 0.0, 0.0).T)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.slot_bits)
@@ -137,7 +137,7 @@ class Trees:
             bits = self.slot_cost[i][slot]
             if rest is not None:
                 bits[other] = rest[:, i]
-            out[full, i] = np.add.reduceat(bits.astype(np.float64), first)
+            out[full, i] = np.add.reduceat(bits, first)
         return out
 
     def predict(self, texts: list[bytes | None]) -> dict:

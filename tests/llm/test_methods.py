@@ -611,6 +611,99 @@ def test_brown_tail_is_joined(spark, monkeypatch):
     assert got[1]["base_score"] == pytest.approx(want)
 
 
+def plain_score(text, train, model):
+    """log10 probability of a text by class bigrams that are counted here, given the classes of words alone."""
+    number, size = model.head.number, 1 + brown.SHAPES + brown.CLASSES
+    kind = lambda w: int(model.of[number[w]]) if w in number else 1 + brown.shape(w)
+    count, table, kinds = collections.Counter(), np.zeros((size, size)), set(range(1 + brown.SHAPES))
+    for t in train:
+        ws = brown.tokens(t)
+        count.update(ws)
+        ks = [0, *map(kind, ws), 0]
+        for a, b in zip(ks, ks[1:]):
+            table[a, b] += 1
+    # texts of a slice share boundaries, so a boundary follows each text once
+    kinds |= {kind(w) for w in count}
+    arrive = table.sum(axis=0)
+    unigram = [(arrive[k] + 1) / (arrive.sum() + len(kinds)) if k in kinds else 0.0 for k in range(size)]
+    mass, types = collections.Counter(), collections.Counter()
+    for w, c in count.items():
+        mass[kind(w)] += c
+        types[kind(w)] += 1
+    total, before = 0.0, 0
+    for w in [*brown.tokens(text), None]:
+        k = 0 if w is None else kind(w)
+        total += math.log10((table[before, k] + brown.BETA * unigram[k]) / (table[before].sum() + brown.BETA))
+        if w is not None:
+            total += math.log10((count[w] + brown.ALPHA) / (mass[k] + brown.ALPHA * (types[k] + (k <= brown.SHAPES))))
+        before = k
+    return total
+
+
+@pytest.mark.parametrize("head", [150_000, 30])
+def test_brown_score_equals_plain_class_bigrams(spark, monkeypatch, head):
+    monkeypatch.setattr(brown, "HEAD", head)
+    rng = random.Random(21)
+    nouns, verbs = [f"noun{i}" for i in range(30)], [f"verb{i}a" for i in range(30)]
+    texts = [" ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)} {rng.randrange(40)}," for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    texts += ["a a a a b", "", None, "the the the", "x" * 100 + " the y"]
+    train, probe = texts[5:], [*texts, "never seen noun3 Ünïc 77", "the " + "x" * 100]
+    model, counts = brown.train(spark.createDataFrame([*enumerate(train)], "doc_id bigint, text string"))
+    assert len(model.head.counts) <= head and (model.of > brown.SHAPES).all()
+    got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame([*enumerate(probe)], "doc_id bigint, text string"), model, counts).collect()}
+    plain = [t.encode() if t else b"" for t in train]
+    for i, t in enumerate(probe):
+        assert got[i] == pytest.approx(plain_score((t or "").encode(), plain, model))
+    # what may follow a class sums to one: known words, one unknown word of each spelling class, and the end
+    rest = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    known = [(int(model.of[i]), c) for i, c in enumerate(model.head.counts)] + [(1 + brown.shape(w), c) for w, c in rest.items()]
+    for before in {0, 1, *model.of.tolist()}:
+        p = 10.0 ** model.transition[before]
+        words = sum(p[k] * (c + brown.ALPHA) / model.emission[k] for k, c in known)
+        unknown = sum(p[k] * brown.ALPHA / model.emission[k] for k in range(1, 1 + brown.SHAPES))
+        assert p[0] + words + unknown == pytest.approx(1)
+
+
+def test_a_word_moves_to_the_class_of_the_highest_likelihood():
+    rng = random.Random(2)
+    first = 1 + brown.SHAPES
+    size = first + 4
+    seq = [rng.randrange(9) for _ in range(800)]
+    of = np.array([first, first + 1, first + 2, first + 3, first, first + 1, 3, 3, 0])
+
+    def table(of):
+        out = np.zeros((size, size))
+        np.add.at(out, (of[seq[:-1]], of[seq[1:]]), 1)
+        return out
+
+    for w in range(8):
+        after, before, same = np.zeros(size), np.zeros(size), 0
+        for a, b in zip(seq, seq[1:]):
+            same += a == b == w
+            if a != b:
+                after[of[b]] += a == w
+                before[of[a]] += b == w
+        value = []
+        for k in range(first, size):
+            other = of.copy()
+            other[w] = k
+            value.append(brown.likelihood(table(other)))
+        now = table(of)
+        best = brown.best_class(now, now.sum(axis=1), now.sum(axis=0), int(of[w]), after, before, int(same))
+        assert value[best - first] == pytest.approx(max(value))
+
+
+def test_head_is_taken_by_a_threshold(spark):
+    rng = random.Random(5)
+    c = [rng.choice((1, 1, 2, 3, 1023, 1024, 5000, rng.randrange(1, 10**9))) for _ in range(400)]
+    counts = spark.createDataFrame([(f"w{i}".encode(), n) for i, n in enumerate(c)], "word binary, c bigint")
+    for most in (0, 1, 5, 60, 399, 400, 1000):
+        least = brown.threshold(counts, most)
+        n = sum(x >= least for x in c)
+        assert n <= most and (most < 60 or n > 0.5 * most or least == 1)
+    assert brown.threshold(counts, 400) == 1 and brown.threshold(counts.limit(0), 5) == 1
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = random.Random(6)
     seq = []

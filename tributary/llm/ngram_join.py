@@ -302,7 +302,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = common.materialized(graph.components(edges))
     sizes = near.groupBy("root").agg(F.count("*").alias("members"))
     # texts of the representatives in components of two or more
-    wanted = common.salted(near, sizes, "root").withColumnRenamed("node", "rid").join(reps.select("rid", "doc_id", "key", "docs", "low"), "rid")
+    wanted = common.salted(near, sizes.hint("merge"), "root").withColumnRenamed("node", "rid").join(reps.select("rid", "doc_id", "key", "docs", "low"), "rid")
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     found = common.text_kernel(set_kernel, "found binary")(F.col("text")).getField("found")
     sets = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(texts, ["doc_id", "key"]).dropDuplicates(["rid"]).select("root", "members", "rid", "docs", "low", found.alias("found"))
@@ -312,7 +312,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = checked.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = common.materialized(graph.components(checked.select(F.col("rid").alias("a"), F.col("local").alias("b"))))
     members = reps.select("rid", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid")
-    named = common.salted(members.select("rid", "root"), members.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root")
+    named = common.salted(members.select("rid", "root"), members.groupBy("root").agg(F.min("doc_id").alias("class_id")).hint("merge"), "root")
     named = reps.select("rid", "nid", "doc_id", "docs").join(links, "rid", "left").join(named, "rid", "left")
     classes = named.select("nid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "rid").alias("root"), (F.coalesce("documents", F.lit(0)) + F.col("docs") - 1).alias("links"), F.coalesce("texts", F.lit(0)).alias("linked_texts"))
     return base.select("doc_id", "key", "nid"), classes

@@ -39,9 +39,25 @@ TEMPLATES: list[tuple[str, str, str, int, str]] = [
     ("match_case", "leak", "leak", 1, "def {f}(path):\n    {v} = open(path)\n    match path:\n        case {n}:\n            {v}.close()\n        case _:\n            return 2\n"),
     ("temp_dir", "safe", "safe", 0, "import tempfile\ndef {f}():\n    {v} = tempfile.TemporaryDirectory()\n    {v}.cleanup()\n    return {n}\n"),
     ("many_branches", "leak", "leak", 1, "def {f}(x):\n    {v} = open(x)\n" + "".join(f"    if x > {i}:\n        y = {i}\n" for i in range(9)) + "    return {n}\n"),
+    ("helper_picks", "potential", "safe", 0, "def {f}(path, c):\n    {v} = open(path)\n    return pick_{f}({v}, c)\n\ndef pick_{f}(h, c):\n    if c:\n        return h\n    return {n}\n"),
+    ("helper_names", "potential", "safe", 0, "def {f}(path):\n    {v} = open(path)\n    return name_{f}({v})\n\ndef name_{f}(h):\n    return [h.name, {n}]\n"),
+    ("server_loop", "leak", "leak", 1, "def {f}(x):\n    while True:\n        {v} = open(x)\n" + "".join(f"        if x > {i}:\n            y = {i}\n" for i in range(90))),
+    ("one_line", "leak", "leak", 1, "def {f}(a, b):\n    {v} = open(a); w = open(b)\n    return {n}\n"),
+    ("in_try", "leak", "leak", 1, "def {f}(path):\n    try:\n        {v} = open(path)\n        x = {v}.read()\n    except OSError:\n        return {n}\n    return x\n"),
+    ("known_by_rule", "leak", "safe", 0, "import vault\ndef {f}(name):\n    {v} = vault.checkout(name)\n    return {n}\n"),
     ("syntax_error", "safe", "error", 0, "def {f}(path:\n    {v} = open(path)\n"),
 ]
 
+#: A knowledge base that knows what the default specs do not.
+KNOWLEDGE = """
+resources:
+- {call: vault.checkout, close: [checkin, drop]}
+- {call: open, close: [never]}
+- not a rule
+api_contracts:
+- {library: builtins, function: elsewhere, behavior: CLOSES_INPUT, exception_safety: GUARANTEED}
+"""
+
 #: The first eighteen are cases of the published benchmark's kinds.
 LABELLED = 18
 

@@ -27,6 +27,9 @@ def with_statement(source: str, finding: dict, releases: tuple[str, ...]) -> str
                 var, value = target_of(s) if isinstance(s, ast.stmt) else (None, None)
                 if var != finding["var"] or s.lineno != finding["acquire_line"] or not isinstance(value, ast.Call):
                     continue
+                own_lines = [{*range(x.lineno, x.end_lineno + 1)} for x in body]
+                if any(own_lines[k] & own_lines[k + 1] for k in range(len(body) - 1)):
+                    return None  # statements share a line, and lines are what is moved
                 frees_at = [k for k in range(i + 1, len(body)) if isinstance(body[k], ast.Expr) and frees(body[k].value, {var}, releases)]
                 last = frees_at[-1] if frees_at else len(body)
                 used = [k for k in range(i + 1, len(body)) if k not in frees_at and any(isinstance(x, ast.Name) and x.id == var for x in ast.walk(body[k]))]

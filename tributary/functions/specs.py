@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 #: Acquiring call, releasing method, other releasing methods.
 DEFAULT_SPECS = [
@@ -29,10 +29,10 @@ DEFAULT_SPECS = [
 ]
 
 #: Builtins that are taken not to raise.
-PURE = set(
-    "print range len int str float bool bytes list dict set tuple frozenset isinstance issubclass sorted reversed enumerate zip map filter "
-    "min max sum abs round repr hash id type super ord chr divmod pow slice staticmethod classmethod".split()
-)
+PURE = {
+    "print", "range", "len", "int", "str", "float", "bool", "bytes", "list", "dict", "set", "tuple", "frozenset", "isinstance", "issubclass", "sorted", "reversed", "enumerate", "zip",
+    "map", "filter", "min", "max", "sum", "abs", "round", "repr", "hash", "id", "type", "super", "ord", "chr", "divmod", "pow", "slice", "staticmethod", "classmethod",
+}
 
 
 @dataclass(frozen=True)
@@ -96,16 +96,53 @@ def from_json(text: str) -> Config:
     return Config(specs or Config().specs, {}, bool(raw.get("exception_safety", True)))
 
 
-def load_contracts(text: str) -> dict[tuple[str, str], Contract]:
-    """Contracts of a YAML knowledge base; text that is none, or entries that are no mappings, count as absent."""
+def load_yaml(text: str) -> dict:
+    """The mapping of a YAML knowledge base; text that is none, or that does not parse, counts as an empty one."""
     import yaml
 
     try:
-        raw = yaml.safe_load(text)
+        raw = yaml.safe_load(text or "")
     except yaml.YAMLError:
         return {}
+    return raw if isinstance(raw, dict) else {}
+
+
+def listed(raw: dict, key: str) -> list[dict]:
+    """The mappings of a list; entries that are none are dropped."""
+    return [x for x in raw.get(key) or [] if isinstance(x, dict)]
+
+
+def load_contracts(text: str) -> dict[tuple[str, str], Contract]:
+    """Contracts of a YAML knowledge base, the first for each library and function."""
     out: dict[tuple[str, str], Contract] = {}
-    for c in (raw.get("api_contracts") if isinstance(raw, dict) else None) or []:
-        if isinstance(c, dict) and c.get("function"):
+    for c in listed(load_yaml(text), "api_contracts"):
+        if c.get("function"):
             out.setdefault((str(c.get("library") or "builtins"), str(c["function"])), Contract(str(c.get("behavior", "UNKNOWN")), str(c.get("ownership", "UNKNOWN")), str(c.get("exception_safety", "UNKNOWN"))))
     return out
+
+
+def load_rules(text: str) -> list[Spec]:
+    """Resource rules of a YAML knowledge base: the call, the releasing methods, the first of them the usual one."""
+    out = []
+    for r in listed(load_yaml(text), "resources"):
+        if r.get("call"):
+            close = r.get("close", ["close"])
+            close = [close] if isinstance(close, str) else list(close or [])
+            others = close[1:] or r.get("alt_releases") or []
+            out.append(Spec(str(r["call"]), str(close[0]) if close else "close", tuple(map(str, others))))
+    return out
+
+
+def with_knowledge(config: Config, text: str) -> Config:
+    """A configuration that also has the rules and contracts of a knowledge base; what it has already comes first.
+
+    A rule is left out if a spec matches its call. A contract that returns a resource makes a spec in the same way, which
+    is released by aclose if its name speaks of async, else by close.
+    """
+    specs = list(config.specs)
+    contracts = load_contracts(text)
+    made = [Spec(name, "aclose" if "async" in name.lower() else "close") for (library, function), c in contracts.items() if c.makes for name in [function if library == "builtins" else f"{library}.{function}"]]
+    for new in [*load_rules(text), *made]:
+        if not any(s.matches(new.acquire) for s in specs):
+            specs.append(new)
+    return replace(config, specs=tuple(specs), contracts=contracts | config.contracts)

@@ -7,6 +7,7 @@ are reduced to distinct hashes before the Python stage and its rows are joined b
 from __future__ import annotations
 
 import ast
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import flow as cf
-from tributary.functions import liveness, rewrite
+from tributary.functions import export, liveness, rewrite
 from tributary.functions.specs import Config
 
 HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -105,9 +106,48 @@ def blocks(units: DataFrame) -> DataFrame:
     def rows(source: str, _: str):
         for d in cf.functions(ast.parse(source)):
             for i, b in enumerate(cf.Flow(d.body).blocks):
-                yield d.name, i, len(b.items), i == 0, [t for t, _ in b.exits], [g for _, g in b.exits]
+                guards = [g for _, g in b.exits]
+                yield d.name, i, len(b.items), i == 0, [t for t, _ in b.exits], guards, cf.exit_labels(guards)
 
-    return table_function(units, "func string, block int, n_stmts int, is_entry boolean, exits array<int>, guards array<string>", rows)
+    return table_function(units, "func string, block int, n_stmts int, is_entry boolean, exits array<int>, guards array<string>, labels array<string>", rows)
+
+
+def tagged_blocks(units: DataFrame, config: Config | None = None) -> DataFrame:
+    """Blocks of every function with leak, safe or no tag, from one analysis of each source."""
+
+    def rows(source: str, _: str):
+        found = liveness.analyze(source, config=config)
+        for d in cf.functions(ast.parse(source)):
+            leak, safe = export.tags(found, d.name)
+            for i, b in enumerate(cf.Flow(d.body).blocks):
+                yield d.name, i, len(b.items), i == 0, not b.exits, "leak" if i in leak else "safe" if i in safe else None
+
+    return table_function(units, "func string, block int, n_stmts int, is_entry boolean, is_exit boolean, tag string", rows)
+
+
+def events(units: DataFrame, config: Config | None = None) -> DataFrame:
+    """What the walks meet (alias, release, finally, return, managed), with the verdict on the unit."""
+
+    def rows(source: str, _: str):
+        verdict = liveness.verdict(liveness.analyze(source, config=config))
+        for func, _, walk in liveness.walks(liveness.Unit(source, config or Config())):
+            for kind, line, var, detail in sorted(walk.events):
+                yield func, kind, line, var, detail, verdict
+
+    return table_function(units, "func string, kind string, line int, var string, detail string, verdict string", rows)
+
+
+def documents(units: DataFrame, config: Config | None = None) -> DataFrame:
+    """Each unit as one JSON document with all that is known about it, from one pass over each distinct source.
+
+    The document names no path, since units of equal sources share it; the unit's path stands beside it.
+    """
+    return table_function(units, "document string", lambda s, _: iter([(json.dumps(export.document(s, config=config)),)]))
+
+
+def displayed(units: DataFrame, config: Config | None = None) -> DataFrame:
+    """Acquisitions as they are shown: once for each variable and line."""
+    return table_function(units, "var string, acquire string, release string, line int", lambda s, _: (tuple(r.values()) for r in export.acquisitions(liveness.Unit(s, config or Config()))))
 
 
 def nodes(units: DataFrame) -> DataFrame:
@@ -159,12 +199,33 @@ def text_report(found: DataFrame) -> DataFrame:
     return found.select("unit_id", F.concat(title, F.lit(" "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "message", F.lit(" ["), F.coalesce(path, F.lit("")), F.lit("]")).alias("report"))
 
 
+#: The fields of a finding's record.
+RECORD = "rule severity confidence resource_type file func line col var acquire release message acquire_line kind leaking_paths safe_paths exception_note cleanup_line fixability leak_reasons".split()
+
+
 def json_report(found: DataFrame) -> DataFrame:
-    """The findings of each unit as one JSON document with its summary."""
-    row = F.struct("func", "var", "line", "acquire", "acquire_line", "kind", "confidence", "severity", "fixability", "resource_type", "reasons", "message")
-    g = found.where("parse_error is null").groupBy("unit_id", "path").agg(F.sort_array(F.collect_list(row)).alias("leaks"))
-    summary = F.struct(F.size("leaks").alias("total"), F.size(F.filter("leaks", lambda x: x["kind"] != "exception")).alias("path_leaks"), F.size(F.filter("leaks", lambda x: x["kind"].contains("exception"))).alias("exception_leaks"))
-    return g.select("unit_id", F.to_json(F.struct(F.lit(True).alias("ok"), F.col("path").alias("filename"), summary.alias("summary"), "leaks")).alias("document"))
+    """The findings of each unit as one JSON array of records of twenty fields, in order of their lines."""
+    own = {"rule": F.lit(export.RULE), "file": F.col("path"), "cleanup_line": F.nullif("cleanup_line", F.lit(0)), "leak_reasons": F.col("reasons")}
+    row = F.struct(*[own.get(n, F.col(n)).alias(n) for n in RECORD])
+    g = found.where("parse_error is null").groupBy("unit_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("acquire_line", "func", "var", row.alias("row")))), lambda x: x["row"]).alias("leaks"))
+    return g.select("unit_id", F.to_json("leaks", {"ignoreNullFields": "false"}).alias("document"))
+
+
+def register(spark: SparkSession, name: str, config: Config | None = None) -> None:
+    """``name``(source) as a table function of SQL: the findings of a source, or one row with what is wrong with it."""
+    from pyspark.sql.functions import udtf
+
+    spark.sparkContext.environment.setdefault("PYTHONPATH", HOME)
+
+    class Findings:
+        def eval(self, source: str):
+            try:
+                for f in liveness.analyze(source or "", config=config):
+                    yield (*(f[n.split()[0]] for n in COLUMNS), None)
+            except (SyntaxError, ValueError, RecursionError) as e:
+                yield (*[None] * len(COLUMNS), f"{type(e).__name__}: {e}"[:200])
+
+    spark.udtf.register(name, udtf(Findings, returnType=FINDING + ", parse_error string"))
 
 
 def from_texts(spark: SparkSession, sources: list[tuple[int, str, str]]) -> DataFrame:

@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def paths(spark: SparkSession, edges: DataFrame, levels: int = 100) -> DataFrame:
-    """All paths (unit, path) from node 0 of each unit to nodes without successors, each node once on a path."""
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""with recursive walk(unit, node, path) max recursion level {levels} as (
-          select distinct unit, cast(0 as bigint), array(cast(0 as bigint)) from __edges
-          union all
-          select e.unit, e.dst, concat(w.path, array(e.dst)) from walk w join __edges e on e.unit = w.unit and e.src = w.node where not array_contains(w.path, e.dst))
-        select w.unit, w.path from walk w left anti join __edges e on e.unit = w.unit and e.src = w.node"""
-    )
-
-
-def layers(spark: SparkSession, nodes: DataFrame, edges: DataFrame, levels: int = 100) -> DataFrame:
+    """All paths (unit, path) from node 0 of each unit to nodes without successors, each node once on a path.
+
+    A path of more than ``levels`` nodes is an error, not a loss.
+    """
+    view = f"edges_{uuid.uuid4().hex}"  # sessions are shared by threads
+    edges.createOrReplaceTempView(view)
+    try:
+        return spark.sql(
+            f"""with recursive walk(unit, node, path) max recursion level {levels} as (
+              select distinct unit, cast(0 as bigint), array(cast(0 as bigint)) from {view}
+              union all
+              select e.unit, e.dst, concat(w.path, array(e.dst)) from walk w join {view} e on e.unit = w.unit and e.src = w.node where not array_contains(w.path, e.dst))
+            select w.unit, w.path from walk w left anti join {view} e on e.unit = w.unit and e.src = w.node"""
+        )
+    finally:
+        spark.catalog.dropTempView(view)
+
+
+def layers(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest distance (unit, node, layer) from node 0; nodes out of reach share one layer after the last.
 
-    Distances grow step by step over the frontier alone: a node that has a layer is not visited again, so the work is
-    the number of edges. Each round is a join on (unit, node).
+    Distances grow step by step over the frontier alone, until it is empty: a node that has a layer is not visited again,
+    so the work is the number of edges. Each round is a join on (unit, node).
     """
     from tributary.operators.rounds import cut
 
     done = cut(nodes.where("node = 0").select("unit", "node", F.lit(0).cast("bigint").alias("layer")))
-    front = done
+    front, k = done, 0
     steps = edges.select("unit", F.col("src").alias("node"), "dst")
-    for k in range(1, levels):
+    while not front.isEmpty():
+        k += 1
         step = front.select("unit", "node").join(steps, ["unit", "node"]).select("unit", F.col("dst").alias("node")).distinct()
         front = cut(step.join(done, ["unit", "node"], "left_anti").withColumn("layer", F.lit(k).cast("bigint")))
-        if front.isEmpty():
-            break
         done = done.unionByName(front)
     last = done.groupBy("unit").agg(F.max("layer").alias("last"))
     rest = nodes.join(done, ["unit", "node"], "left_anti").join(last, "unit").select("unit", "node", (F.col("last") + 1).alias("layer"))

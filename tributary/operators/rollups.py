@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators import rounds
+
 
 def count_where(cond: Column) -> Column:
     return F.count_if(cond)
@@ -90,3 +92,13 @@ def with_rank(df: DataFrame, *order: Column) -> DataFrame:
     w = Window.orderBy(*order)
     width = F.greatest(F.lit(6.0), F.least(F.lit(100.0), F.col("total") * 100.0 / F.max("total").over(Window.partitionBy())))
     return df.withColumn("rank", F.concat(F.lit("#"), F.row_number().over(w).cast("string"))).withColumn("width", width)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with each row's place in a global order, from 1 on: rows are dealt by ranges of the order, numbered inside
+    their part, and each part begins where the rows of the parts before it end."""
+    part = rounds.cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
+    sizes = part.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each row
+    begins = sizes.select("__part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return part.join(F.broadcast(begins), "__part").select(*df.columns, (F.col("begin") + F.col("__at") - F.col("first") + 1).cast("bigint").alias(name))

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; a local folder only where the session has none."""
+    """``df`` computed once and kept in the shared checkpoint folder; only a local session may have none set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "tributary-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tributary-checkpoints"))
     return df.checkpoint(eager=True)

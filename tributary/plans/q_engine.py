@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import functions as F
 
-from tributary.functions import corpus
+from tributary.functions import corpus, specs
 from tributary.operators import engine, rollups
 from tributary.plans import views as v
 from tributary.plans.base import query
@@ -69,8 +71,8 @@ def reason_query(name: str, reason: str, templates: list[str]):
 
 reason_query("d3_overwritten_handles", "reassignment", ["overwritten"])
 reason_query("d9_callee_leaks", "callee leak", ["helper_may_close"])
-reason_query("d11_loop_bypass", "loop bypass", ["loop_continue"])
-reason_query("d12_early_returns", "early return", ["returned_tuple", "match_case", "many_branches", "simple", "early_return", "loop", "handler_returns", "two_handles", "socket", "database", "tangle"])
+reason_query("d11_loop_bypass", "loop bypass", ["loop_continue", "server_loop"])
+reason_query("d12_early_returns", "early return", ["returned_tuple", "match_case", "many_branches", "simple", "early_return", "loop", "handler_returns", "two_handles", "socket", "database", "tangle", "one_line", "in_try"])
 reason_query("d18_exception_candidates", "exception", ["keyword_only", "simple", "early_return", "loop", "handler_calls", "two_handles", "overwritten", "helper_may_close", "socket", "database", "tangle", "second_raises", "read_close", "unknown_callee"])
 
 
@@ -92,45 +94,110 @@ def d14(s, d):
     return engine.findings(plain(s, d)).where("parse_error is null").select("unit_id", "resource_type").distinct()
 
 
-@query("t6_import_map", f"select event_id as unit_id, {case(lambda t: {'temp_dir': 'tempfile', 'socket': 'socket', 'database': 'db', 'process_waits': 'subprocess', 'closing': 'contextlib', 'exit_stack': 'contextlib'}.get(t[0], ''))} as local, {case(lambda t: {'temp_dir': 'tempfile', 'socket': 'socket', 'database': 'sqlite3', 'process_waits': 'subprocess', 'closing': 'contextlib', 'exit_stack': 'contextlib'}.get(t[0], ''))} as canonical from events where {case(lambda t: t[0] in ('temp_dir', 'socket', 'database', 'process_waits', 'closing', 'exit_stack'), False)}")
+#: (local name, canonical name) of the only import that a template has.
+IMPORTED = {"temp_dir": ("tempfile", "tempfile"), "socket": ("socket", "socket"), "database": ("db", "sqlite3"), "process_waits": ("subprocess", "subprocess"), "closing": ("contextlib", "contextlib"), "exit_stack": ("contextlib", "contextlib"), "known_by_rule": ("vault", "vault")}
+
+
+@query("t6_import_map", f"select event_id as unit_id, {case(lambda t: IMPORTED.get(t[0], ('', ''))[0])} as local, {case(lambda t: IMPORTED.get(t[0], ('', ''))[1])} as canonical from events where {case(lambda t: t[0] in IMPORTED, False)}")
 def t6(s, d):
     return engine.imports(plain(s, d)).where("parse_error is null").select("unit_id", "local", "canonical")
 
 
-ACQUIRED = {"temp_dir": "tempfile.TemporaryDirectory", "socket": "socket.socket", "database": "sqlite3.connect", "process_waits": "subprocess.Popen", "with": "", "nested_with": "", "with_in_loop": "", "exit_stack": "", "syntax_error": ""}
-TWICE = ("two_handles", "overwritten", "second_raises")
+ACQUIRED = {"temp_dir": "tempfile.TemporaryDirectory", "socket": "socket.socket", "database": "sqlite3.connect", "process_waits": "subprocess.Popen", "with": "", "nested_with": "", "with_in_loop": "", "exit_stack": "", "known_by_rule": "", "syntax_error": ""}
+TWICE = ("two_handles", "overwritten", "second_raises", "one_line")
+IN_LOOP = ("loop", "tangle", "loop_continue", "server_loop")
 
 
-@query("t7_acquires", f"select event_id as unit_id, {case(lambda t: ACQUIRED.get(t[0], 'open'))} as acquire, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as n, {case(lambda t: t[0] in ('loop', 'tangle', 'loop_continue'), False)} as in_loop from events where {case(lambda t: ACQUIRED.get(t[0], 'open'))} <> ''")
+@query("t7_acquires", f"select event_id as unit_id, {case(lambda t: ACQUIRED.get(t[0], 'open'))} as acquire, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as n, {case(lambda t: t[0] in IN_LOOP, False)} as in_loop from events where {case(lambda t: ACQUIRED.get(t[0], 'open'))} <> ''")
 def t7(s, d):
     return engine.acquires(plain(s, d)).where("parse_error is null").groupBy("unit_id", "acquire").agg(F.count("*").alias("n"), F.bool_or("in_loop").alias("in_loop"))
 
 
-@query("t17_complexity", f"select event_id as unit_id, {case(lambda t: len([x for x in t[4].splitlines() if x.strip()]), False)} as loc, {case(lambda t: t[4].count('def '), False)} as functions, {case(lambda t: t[4].count(' if '), False)} as branches, {case(lambda t: t[4].count('for p in'), False)} as loops from events where {case(lambda t: t[2])} <> 'error'")
+@query("t17_complexity", f"select event_id as unit_id, {case(lambda t: len([x for x in t[4].splitlines() if x.strip()]), False)} as loc, {case(lambda t: t[4].count('def '), False)} as functions, {case(lambda t: t[4].count(' if '), False)} as branches, {case(lambda t: t[4].count('for p in') + t[4].count('while '), False)} as loops from events where {case(lambda t: t[2])} <> 'error'")
 def t17(s, d):
     return engine.complexity(plain(s, d)).where("parse_error is null").select("unit_id", "loc", "functions", "branches", "loops")
 
 
-@query("t2_t3_control_flow", f"select event_id as unit_id, {case(lambda t: t[4].count('def '), False)} as functions from events where {case(lambda t: 'def ' in t[4] and t[2] != 'error', False)}")
+#: Blocks and edges of the functions of each template, counted by hand from the shapes: an if without else adds two blocks
+#: and an edge into each, and one out of a body that falls through; a loop adds its head, body and what follows; a try its
+#: body, its handlers (entered from before it) and what follows; a with adds none; nothing follows a return or continue.
+#: What is not named is one block without edges. The blocks after finally_closes' and server_loop's ends are never entered.
+SHAPES = {
+    "early_return": (3, 2), "loop": (6, 6), "handler_returns": (4, 3), "handler_calls": (4, 4), "two_handles": (6, 5), "helper_may_close": (1 + 3, 0 + 2), "socket": (3, 2), "database": (3, 2),
+    "finally_closes": (3, 1), "with_in_loop": (4, 4), "tangle": (13, 16), "helper_closes": (1 + 1, 0), "loop_continue": (6, 7), "match_case": (4, 3), "many_branches": (1 + 9 * 2, 9 * 3),
+    "helper_picks": (1 + 3, 0 + 2), "helper_names": (1 + 1, 0), "server_loop": (4 + 90 * 2, 3 + 90 * 3), "in_try": (4, 3),
+}
+
+#: Blocks of a template on leaking paths, and those on safe paths only, where not (1, 0) for a leak and (0, 0) else. The
+#: walk of many_branches and server_loop is cut short, but not before it has entered each block.
+TAGS = {
+    "early_return": (2, 1), "loop": (4, 0), "handler_returns": (2, 2), "handler_calls": (0, 4), "two_handles": (6, 0), "socket": (2, 1), "database": (2, 1), "second_raises": (0, 1), "read_close": (0, 1),
+    "tangle": (11, 0), "module_level": (0, 0), "loop_continue": (4, 0), "match_case": (2, 2), "many_branches": (19, 0), "server_loop": (183, 0), "in_try": (3, 0),
+}
+HAS_FUNCTION = case(lambda t: "def " in t[4] and t[2] != "error", False)
+
+
+@query("t2_t3_control_flow", f"select event_id as unit_id, {case(lambda t: t[4].count('def '), False)} as functions, {case(lambda t: SHAPES.get(t[0], (1, 0))[0], False)} as blocks, {case(lambda t: SHAPES.get(t[0], (1, 0))[1], False)} as edges from events where {HAS_FUNCTION}")
 def t3(s, d):
     b = engine.blocks(plain(s, d)).where("parse_error is null and func is not null")
-    return b.groupBy("unit_id").agg(F.count_if("is_entry").cast("int").alias("functions"))
+    return b.groupBy("unit_id").agg(F.count_if("is_entry").cast("int").alias("functions"), F.count("*").cast("int").alias("blocks"), F.sum(F.size("exits")).cast("int").alias("edges"))
+
+
+@query("p23_exit_labels", f"select event_id as unit_id, {case(lambda t: t[4].count(' if ') + t[4].count('for p in') + t[4].count('match '), False)} as true_or_false, {case(lambda t: t[4].count('while True'), False)} as endless, {case(lambda t: t[4].count('except '), False)} as handlers from events where {HAS_FUNCTION}")
+def p23(s, d):
+    """Blocks with a true and a false exit, loops without end, and exits to handlers."""
+    b = engine.blocks(plain(s, d)).where("parse_error is null and func is not null")
+    labels = F.col("labels")
+    both = F.sort_array(labels) == F.array(F.lit("FALSE"), F.lit("TRUE"))
+    count = lambda c, n: F.count_if(c).cast("int").alias(n)
+    return b.groupBy("unit_id").agg(count(both, "true_or_false"), count(labels == F.array(F.lit("loop")), "endless"), F.sum(F.size(F.filter("labels", lambda x: x == "except"))).cast("int").alias("handlers"))
 
 
-@query("t15_ast_rows")
+def preorder(source: str) -> list[tuple[str, int, int]]:
+    """(type, depth, parent's place) of all nodes of a source down to depth 10, in preorder."""
+    out: list[tuple[str, int, int]] = []
+    todo = [(ast.parse(source), 0, -1)]
+    while todo:
+        n, depth, parent = todo.pop()
+        out.append((type(n).__name__, depth, parent))
+        if depth < 10:
+            todo += [(c, depth + 1, len(out) - 1) for c in reversed(list(ast.iter_child_nodes(n)))]
+    return out
+
+
+def listed(source: str) -> list[tuple[str, int]]:
+    """(type, depth) of the nodes that are listed: the first 600, and children of the first 599 beyond them."""
+    return [(kind, depth) for i, (kind, depth, parent) in enumerate(preorder(source)) if i < 600 or parent < 599]
+
+
+PARSED = [(i, listed(corpus.source(i, 0))) for i, t in enumerate(corpus.TEMPLATES) if t[2] != "error"]
+NODES = "nodes(template, type, n, depth) as (values " + ", ".join(f"({i}, '{k}', {sum(x == k for x, _ in rows)}, {max(y for x, y in rows if x == k)})" for i, rows in PARSED for k in sorted({x for x, _ in rows})) + ")"
+
+
+@query("t15_ast_rows", f"with {NODES} select type, cast(sum(n) as bigint) as n, max(depth) as depth from events join nodes on event_id % {N} = template group by type")
 def t15(s, d):
     return engine.nodes(plain(s, d)).where("parse_error is null").groupBy("type").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
 
 
-@query("t16_blocks_in_leaks")
+BIG = [(i, len(rows)) for i, rows in PARSED if len(rows) >= 600]
+
+
+@query("o7_ast_budget", f"select event_id as unit_id, case event_id % {N} {' '.join(f'when {i} then {n}' for i, n in BIG)} end as nodes from events where event_id % {N} in ({', '.join(str(i) for i, _ in BIG)})")
+def o7(s, d):
+    """Units whose syntax tree reaches the budget; siblings of the node that reaches it are still listed."""
+    return engine.nodes(plain(s, d)).where("parse_error is null").groupBy("unit_id").agg(F.count("*").cast("int").alias("nodes")).where("nodes >= 600")
+
+
+@query("t16_blocks_in_leaks", f"select event_id as unit_id, {case(lambda t: TAGS.get(t[0], (int(t[3] > 0), 0))[0], False)} as leak, {case(lambda t: TAGS.get(t[0], (int(t[3] > 0), 0))[1], False)} as safe, {case(lambda t: t[4].count('def '), False)} as entries from events where {HAS_FUNCTION}")
 def t16(s, d):
-    key = ["unit_id", "path"]
-    f = engine.findings(plain(s, d)).where("parse_error is null")
-    on = f.select(*key, "func", F.explode(F.array_distinct(F.flatten("leaking_paths"))).alias("block")).distinct().withColumn("has_leak", F.lit(True))
-    return engine.blocks(plain(s, d)).where("parse_error is null").join(on, [*key, "func", "block"], "left").select("unit_id", "func", "block", "n_stmts", "is_entry", F.coalesce("has_leak", F.lit(False)).alias("has_leak"))
+    b = engine.tagged_blocks(plain(s, d)).where("parse_error is null and func is not null")
+    return b.groupBy("unit_id").agg(F.count_if(F.col("tag") == "leak").cast("int").alias("leak"), F.count_if(F.col("tag") == "safe").cast("int").alias("safe"), F.count_if("is_entry").cast("int").alias("entries"))
+
 
+EFFECTS = {"helper_may_close": "leaks", "helper_closes": "releases", "helper_picks": "escapes", "helper_names": "escapes"}
 
-@query("d16_parameter_effects", f"select event_id as unit_id, case event_id % {N} when {[t[0] for t in corpus.TEMPLATES].index('helper_may_close')} then 'leaks' else 'releases' end as effect from events where {case(lambda t: t[0] in ('helper_may_close', 'helper_closes'), False)}")
+
+@query("d16_parameter_effects", f"select event_id as unit_id, {case(lambda t: EFFECTS.get(t[0], ''))} as effect from events where {case(lambda t: t[0] in EFFECTS, False)}")
 def d16(s, d):
     return engine.effects(plain(s, d)).where("param = 'h'").select("unit_id", "effect")
 
@@ -140,20 +207,63 @@ def d27(s, d):
     return engine.scouted(plain(s, d)).where("parse_error is null").groupBy("unit_id").agg(F.count("*").alias("n"))
 
 
-@query("s21_ensemble_verdicts")
+#: Acquisitions that a scout reports (all that no with statement is about) and that no finding is at: those of templates
+#: without findings, and the second of overwritten (released) and of second_raises (released by what may raise no more).
+EXCEPTION_ONLY = ("handler_calls", "second_raises", "read_close")
+SCOUTED = [
+    (i, ACQUIRED.get(t[0], "open"), verdict, n)
+    for i, t in enumerate(corpus.TEMPLATES)
+    if ACQUIRED.get(t[0], "open") and t[0] not in ("closing", "with_handle")
+    for all_of in [2 if t[0] in TWICE else 1]
+    for refuted in [all_of if not t[3] else int(t[0] in ("overwritten", "second_raises"))]
+    for verdict, n in [("refuted_safe", refuted), ("confirmed_exception_unsafe" if t[0] in EXCEPTION_ONLY else "confirmed_path_leak", all_of - refuted)]
+    if n
+]
+
+
+@query("s21_ensemble_verdicts", f"with scouted(template, rule, verdict, n) as (values {', '.join(map(str, SCOUTED))}) select rule, verdict, cast(sum(n) as bigint) as n from events join scouted on event_id % {N} = template group by rule, verdict")
 def s21(s, d):
     return engine.ensemble(plain(s, d)).groupBy("rule", "verdict").agg(F.count("*").alias("n"))
 
 
-FIXED = ("simple", "early_return", "read_close", "socket", "database")
+#: Fixes that a template's source gets; each of them ends all its findings.
+FIXED = {"simple": 1, "early_return": 1, "handler_calls": 1, "two_handles": 2, "helper_may_close": 1, "socket": 1, "database": 1, "second_raises": 1, "read_close": 1, "module_level": 1, "keyword_only": 1, "returned_tuple": 1, "match_case": 1, "many_branches": 1}
+#: Edits that are turned down: statements that share a line cannot be moved apart.
+REJECTED = {"one_line": 1}
 
 
-@query("d30_validated_fixes", f"select event_id as unit_id, true as fixed from events where {case(lambda t: t[0] in FIXED, False)}")
+@query("d30_validated_fixes", f"select event_id as unit_id, {case(lambda t: FIXED.get(t[0], 0), False)} as applied, {case(lambda t: REJECTED.get(t[0], 0), False)} as rejected, {case(lambda t: t[0] in FIXED or t[2] == 'safe', False)} as safe from events where {case(lambda t: t[2] != 'error', False)}")
 def d30(s, d):
-    wanted = [i for i, t in enumerate(corpus.TEMPLATES) if t[0] in FIXED]
-    u = units(s, d).where(F.col("template").isin(wanted)).select("unit_id", "path", "source")
-    again = engine.fixed(u).where(F.size("applied") > 0).select("unit_id", "path", F.col("fixed_source").alias("source"))
-    return engine.verdicts(again).where("verdict = 'safe'").select("unit_id", F.lit(True).alias("fixed"))
+    """What the fixer does to every unit, and whether the source that comes out is safe."""
+    fixed = engine.fixed(plain(s, d)).where("parse_error is null")
+    again = fixed.select("unit_id", F.size("applied").alias("applied"), F.size("rejected").alias("rejected"), F.col("fixed_source").alias("source"))
+    return engine.verdicts(again).select("unit_id", "applied", "rejected", (F.col("verdict") == "safe").alias("safe"))
+
+
+#: What the knowledge base changes: a rule makes vault.checkout an acquisition; a contract makes elsewhere() a release.
+KNOWN = {"known_by_rule": ("leak", 1), "unknown_callee": ("safe", 0)}
+
+
+@query("d24_knowledge_base_rules", f"select event_id as unit_id, {case(lambda t: KNOWN.get(t[0], (t[2], t[3]))[0])} as verdict, {case(lambda t: KNOWN.get(t[0], (t[2], t[3]))[1], False)} as n_findings from events")
+def d24(s, d):
+    config = specs.with_knowledge(specs.Config(), corpus.KNOWLEDGE)
+    return engine.verdicts(plain(s, d), config).select("unit_id", "verdict", "n_findings")
+
+
+@query("s7_knowledge_base", "select * from (values ('contract', 'builtins.elsewhere', 'CLOSES_INPUT'), ('rule', 'vault.checkout', 'checkin,drop'), ('rule', 'open', 'never')) as t(kind, name, value)")
+def s7(s, d):
+    """Rules and contracts of a knowledge base; entries that are no mappings, and texts that do not parse, have none."""
+    rows = [("rule", r.acquire, ",".join(r.releases)) for text in (corpus.KNOWLEDGE, "a: [", "- 1", "") for r in specs.load_rules(text)]
+    rows += [("contract", ".".join(k), c.behavior) for k, c in specs.load_contracts(corpus.KNOWLEDGE).items()]
+    return s.createDataFrame(rows, "kind string, name string, value string")
+
+
+@query("s8_configured_specs", "select * from (values (0, 'default', cast(19 as bigint)), (1, 'x.y', cast(1 as bigint)), (2, 'default', cast(19 as bigint))) as t(place, first, n)")
+def s8(s, d):
+    """Specs of JSON configurations; an empty or absent list stands for the default ones."""
+    made = [specs.from_json(text).specs for text in ('{"resources": []}', '{"resources": [{"acquire": "x.y", "release": "z"}]}', "{}")]
+    rows = [(i, "default" if got == specs.Config().specs else got[0].acquire, len(got)) for i, got in enumerate(made)]
+    return s.createDataFrame(rows, "place int, first string, n bigint")
 
 
 @query("k12_fixed_sources")
@@ -171,6 +281,18 @@ def k2(s, d):
     return engine.json_report(engine.findings(plain(s, d)))
 
 
+COLUMNS = ["acquire", "acquire_line", "cleanup_line", "col", "confidence", "exception_note", "file", "fixability", "func", "kind", "leak_reasons", "leaking_paths", "line", "message", "release", "resource_type", "rule", "safe_paths", "severity", "var"]
+SURE = case(lambda t: sum([t[3] if t[2] == "leak" else 0]), False)
+
+
+@query("k2_json_records", f"select event_id as unit_id, {case(lambda t: t[3], False)} as records, '{','.join(COLUMNS)}' as fields, {SURE} as errors, 'src/m' || (cast(json_extract_string(props, '$.k') as bigint) % 20) || '.py' as file from events where {case(lambda t: t[3], False)} > 0")
+def k2_records(s, d):
+    """The JSON reports read back: records, their fields, errors among them, and the file that they name."""
+    back = engine.json_report(engine.findings(plain(s, d))).select("unit_id", F.from_json("document", "array<map<string,string>>").alias("r"))
+    errors = F.size(F.filter("r", lambda x: x["severity"] == "error"))
+    return back.select("unit_id", F.size("r").alias("records"), F.array_join(F.sort_array(F.map_keys(F.get("r", 0))), ",").alias("fields"), errors.alias("errors"), F.get("r", 0)["file"].alias("file"))
+
+
 @query("r3_analyzed_once", f"select count(distinct (event_id % {N}, case when event_id % {N} = {N - 1} then json_extract_string(props, '$.k') else json_extract_string(props, '$.k') end)) as sources, count(*) as units from events")
 def r3(s, d):
     return plain(s, d).agg(F.countDistinct("source").alias("sources"), F.count("*").alias("units"))

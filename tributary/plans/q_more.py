@@ -8,29 +8,36 @@ from tributary.functions import corpus
 from tributary.operators import engine, merge, rollups
 from tributary.plans import views as v
 from tributary.plans.base import query
-from tributary.plans.q_engine import N, case, plain, units
+from tributary.plans.q_engine import ACQUIRED, EFFECTS, EXCEPTION_ONLY, FIXED, HAS_FUNCTION, IN_LOOP, PARSED, SHAPES, TWICE, N, case, plain, units
+from tributary.sources import records
 
 
 def among(*names: str) -> str:
     return f"event_id % {N} in ({', '.join(str(i) for i, t in enumerate(corpus.TEMPLATES) if t[0] in names)})"
 
 
-def safe_query(name: str, *templates: str):
-    """Units of these templates have no finding."""
+#: Methods that release a handle in a template, inside and outside finally bodies.
+METHODS = {t: "close" for t in ("early_return", "loop", "handler_returns", "handler_calls", "two_handles", "overwritten", "socket", "database", "finally_closes", "tangle", "alias", "second_raises", "read_close", "loop_continue", "match_case")}
+METHODS |= {"process_waits": "wait", "temp_dir": "cleanup"}
+MANAGED = {"with": "acquire", "nested_with": "acquire", "with_in_loop": "acquire", "closing": "closing", "with_handle": "handle"}
 
-    @query(name, f"select event_id as unit_id from events where {among(*templates)}")
+
+def event_query(name: str, cond: str, detail: str | None, values: dict[str, str]):
+    """Units in whose walks something is met, with their verdicts; all units are walked."""
+    seen = f", {case(lambda t: values.get(t[0], ''))} as {detail}" if detail else ""
+
+    @query(name, f"select event_id as unit_id, {case(lambda t: t[2])} as verdict{seen} from events where {among(*values)}")
     def run(s, d):
-        wanted = [i for i, t in enumerate(corpus.TEMPLATES) if t[0] in templates]
-        u = units(s, d).where(F.col("template").isin(wanted)).select("unit_id", "path", "source")
-        return engine.verdicts(u).where("verdict = 'safe' and n_findings = 0").select("unit_id")
+        met = engine.events(plain(s, d)).where(f"parse_error is null and {cond}")
+        return met.select("unit_id", "verdict", *([F.col("detail").alias(detail)] if detail else [])).distinct()
 
 
-safe_query("d5_alias_holds_resource", "alias")
-safe_query("d7_release_methods", "process_waits", "temp_dir")
-safe_query("d8_returned_handle_is_passed_on", "returned")
-safe_query("t9_managed_contexts", "with", "nested_with", "with_in_loop", "closing", "with_handle")
-safe_query("t10_exit_stack", "exit_stack")
-safe_query("t8_finally_releases", "finally_closes")
+event_query("d5_alias_holds_resource", "kind = 'alias'", None, {"alias": ""})
+event_query("d7_release_methods", "kind in ('release', 'finally')", "method", METHODS)
+event_query("d8_returned_handle_is_passed_on", "kind = 'return'", None, {"returned": ""})
+event_query("t9_managed_contexts", "kind = 'managed' and detail <> 'exit stack'", "how", MANAGED)
+event_query("t10_exit_stack", "kind = 'managed' and detail = 'exit stack'", None, {"exit_stack": ""})
+event_query("t8_finally_releases", "kind = 'finally'", None, {"finally_closes": ""})
 
 
 def finding_query(name: str, sql: str, cond: str, cols: list[str]):
@@ -39,75 +46,101 @@ def finding_query(name: str, sql: str, cond: str, cols: list[str]):
         return engine.findings(plain(s, d)).where(f"parse_error is null and {cond}").select(*cols).distinct()
 
 
-finding_query("d2_truncated_walks", f"select event_id as unit_id from events where {among('many_branches')}", "truncated", ["unit_id"])
+finding_query("d2_truncated_walks", f"select event_id as unit_id from events where {among('many_branches', 'server_loop')}", "truncated", ["unit_id"])
 finding_query("d6_keyword_arguments_do_not_release", f"select event_id as unit_id, 'definite' as confidence from events where {among('keyword_only')}", "confidence = 'definite' and message like '%fall-through exit%' and func <> '<module>' and array_contains(reasons, 'exception') and array_contains(reasons, 'fall-through exit')", ["unit_id", "confidence"])
 finding_query("d17_module_level_findings", f"select event_id as unit_id, 1 as line from events where {among('module_level')}", "func = '<module>'", ["unit_id", "line"])
 finding_query("d21_annotated_path_findings", f"select event_id as unit_id from events where {among('keyword_only', 'simple', 'early_return', 'loop', 'two_handles', 'overwritten', 'helper_may_close', 'socket', 'database', 'tangle', 'unknown_callee')}", "kind = 'path+exception' and exception_note <> ''", ["unit_id"])
 finding_query("d23_one_finding_of_both_kinds", f"select event_id as unit_id, 'path+exception' as kind from events where {among('overwritten')}", "array_contains(reasons, 'reassignment') and array_contains(reasons, 'exception')", ["unit_id", "kind"])
-finding_query("p12_fixable_findings", f"select event_id as unit_id from events where {among('simple', 'early_return', 'helper_may_close', 'socket', 'database', 'returned_tuple', 'keyword_only', 'match_case', 'many_branches', 'module_level', 'two_handles')}", "fixability = 'safe'", ["unit_id"])
+finding_query("p12_fixable_findings", f"select event_id as unit_id from events where {among('simple', 'early_return', 'helper_may_close', 'socket', 'database', 'returned_tuple', 'keyword_only', 'match_case', 'many_branches', 'module_level', 'two_handles', 'one_line')}", "fixability = 'safe'", ["unit_id"])
+
+
+#: Why the first leaking path of a unit's path findings ends, where not by an early return.
+REASONS = {"overwritten": "reassignment", "helper_may_close": "callee leak", "loop_continue": "loop bypass", "server_loop": "loop bypass"} | {t: "fall-through exit" for t in ("keyword_only", "unknown_callee", "module_level")}
 
 
-@query("p24_exit_reasons", f"select event_id as unit_id, case when {among('returned_tuple', 'simple')} then 'early return' else 'fall-through exit' end as reason from events where {among('keyword_only', 'unknown_callee', 'module_level', 'returned_tuple', 'simple')}")
+@query("p24_exit_reasons", f"select event_id as unit_id, {case(lambda t: REASONS.get(t[0], 'early return'))} as reason from events where {case(lambda t: t[3] > 0 and t[0] not in EXCEPTION_ONLY, False)}")
 def p24(s, d):
-    wanted = [i for i, t in enumerate(corpus.TEMPLATES) if t[0] in ("keyword_only", "unknown_callee", "module_level", "returned_tuple", "simple")]
-    u = units(s, d).where(F.col("template").isin(wanted)).select("unit_id", "path", "source")
-    return engine.findings(u).where("parse_error is null").select("unit_id", F.get("reasons", 0).alias("reason"))
+    f = engine.findings(plain(s, d)).where("parse_error is null and kind <> 'exception'")
+    return f.select("unit_id", F.get("reasons", 0).alias("reason")).distinct()
+
+
+#: Units with a leaking path and one on which everything is released: one of each in all these templates.
+BOTH = ("early_return", "handler_returns", "overwritten", "helper_may_close", "socket", "database", "match_case")
 
 
-@query("d13_safe_path_evidence")
+@query("d13_safe_path_evidence", f"select event_id as unit_id, 1 as leaking, 1 as safe from events where {among(*BOTH)}")
 def d13(s, d):
     """Units whose finding also has a path on which everything is released, with how many such paths."""
     f = engine.findings(plain(s, d)).where("parse_error is null and kind <> 'exception' and size(safe_paths) > 0")
     return f.select("unit_id", F.size("leaking_paths").alias("leaking"), F.size("safe_paths").alias("safe"))
 
 
-@query("d15_merged_by_acquire_line", "select cast(0 as bigint) as repeated")
+@query("d15_merged_by_acquire_line", f"select event_id as unit_id, cast(2 as bigint) as acquired, cast(1 as bigint) as findings, 2 as paths from events where {among('one_line')}")
 def d15(s, d):
-    f = engine.findings(plain(s, d)).where("parse_error is null")
-    return f.groupBy("unit_id", "func", "var", "acquire_line").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("repeated"))
+    """Lines that acquire more than one resource: their findings are one, with the paths of all."""
+    u = plain(s, d)
+    lines = engine.acquires(u).where("parse_error is null").groupBy("unit_id", F.col("line").alias("acquire_line")).agg(F.count("*").alias("acquired")).where("acquired > 1")
+    f = engine.findings(u).where("parse_error is null").groupBy("unit_id", "acquire_line").agg(F.count("*").alias("findings"), F.sum(F.size("leaking_paths")).cast("int").alias("paths"))
+    return f.join(lines, ["unit_id", "acquire_line"]).select("unit_id", "acquired", "findings", "paths")
 
 
-@query("a25_effect_priority", f"select effect, count(*) as n from (select case when {among('helper_may_close')} then 'leaks' else 'releases' end as effect from events where {among('helper_may_close', 'helper_closes')}) group by effect")
+@query("a25_effect_priority", f"select effect, count(*) as n from (select {case(lambda t: EFFECTS.get(t[0], ''))} as effect from events) where effect <> '' group by effect")
 def a25(s, d):
     return engine.effects(plain(s, d)).where("param = 'h'").groupBy("effect").agg(F.count("*").alias("n"))
 
 
-@query("a28_blocks_and_edges")
+@query("a28_blocks_and_edges", f"select event_id as unit_id, cast({case(lambda t: SHAPES.get(t[0], (1, 0))[0] - t[4].count('def ') + 1, False)} as bigint) as most_blocks, cast({case(lambda t: SHAPES.get(t[0], (1, 0))[1], False)} as bigint) as most_edges, {case(lambda t: t[4].count('def '), False)} as functions from events where {HAS_FUNCTION}")
 def a28(s, d):
+    """The largest flow graph of each unit (of two functions of a template one is a single block at most)."""
     b = engine.blocks(plain(s, d)).where("func is not null")
-    return b.groupBy("unit_id", "func").agg(F.count("*").alias("blocks"), F.sum(F.size("exits")).alias("edges"))
+    g = b.groupBy("unit_id", "func").agg(F.count("*").alias("blocks"), F.sum(F.size("exits")).alias("edges"))
+    return g.groupBy("unit_id").agg(F.max("blocks").alias("most_blocks"), F.max("edges").alias("most_edges"), F.count("*").cast("int").alias("functions"))
 
 
-@query("j4_argument_effects", f"select event_id as unit_id, 0 as pos, case when {among('helper_may_close')} then 'leaks' else 'releases' end as effect from events where {among('helper_may_close', 'helper_closes')}")
+@query("j4_argument_effects", f"select event_id as unit_id, 0 as pos, {case(lambda t: EFFECTS.get(t[0], ''))} as effect from events where {among(*EFFECTS)}")
 def j4(s, d):
     return engine.effects(plain(s, d)).where("pos = 0 and param = 'h'").select("unit_id", "pos", "effect")
 
 
-@query("j19_lexical_flags", f"select event_id as unit_id, true as in_loop from events where {among('loop', 'tangle', 'loop_continue')}")
+@query("j19_lexical_flags", f"select event_id as unit_id, true as in_loop from events where {among(*IN_LOOP)}")
 def j19(s, d):
     u = plain(s, d)
     a = engine.acquires(u).where("parse_error is null and in_loop").select("unit_id", F.col("line").alias("acquire_line"), "in_loop")
     return engine.findings(u).where("parse_error is null").join(a, ["unit_id", "acquire_line"]).select("unit_id", "in_loop")
 
 
-@query("w5_earliest_path_finding", f"select event_id as unit_id, {case(lambda t: 3 if t[0] in ('socket', 'database') else 4 if t[0] == 'loop' else 3 if t[0] in ('tangle', 'loop_continue') else 1 if t[0] == 'module_level' else 2, False)} as acquire_line from events where {case(lambda t: t[3] > 0 and t[0] not in ('handler_calls', 'second_raises', 'read_close'), False)}")
+@query("w5_earliest_path_finding", f"select event_id as unit_id, {case(lambda t: 4 if t[0] == 'loop' else 3 if t[0] in ('socket', 'database', 'tangle', 'loop_continue', 'server_loop', 'in_try') else 1 if t[0] == 'module_level' else 2, False)} as acquire_line from events where {case(lambda t: t[3] > 0 and t[0] not in ('handler_calls', 'second_raises', 'read_close'), False)}")
 def w5(s, d):
     f = engine.findings(plain(s, d)).where("parse_error is null and kind <> 'exception'")
     return merge.first_by(f, ["unit_id"], F.asc("acquire_line"), F.asc("var")).select("unit_id", "acquire_line")
 
 
-@query("w6_first_safe_fix_per_function", f"select event_id as unit_id from events where {among('simple', 'early_return', 'helper_may_close', 'socket', 'database', 'returned_tuple', 'keyword_only', 'match_case', 'many_branches', 'module_level', 'two_handles')}")
+@query("w6_first_safe_fix_per_function", f"select event_id as unit_id from events where {among('simple', 'early_return', 'helper_may_close', 'socket', 'database', 'returned_tuple', 'keyword_only', 'match_case', 'many_branches', 'module_level', 'two_handles', 'one_line')}")
 def w6(s, d):
     f = engine.findings(plain(s, d)).where("parse_error is null and fixability = 'safe'")
     return merge.first_by(f, ["unit_id", "func"], F.asc("acquire_line")).select("unit_id")
 
 
-@query("t11_lexical_try_flags")
+ACQUIRING = case(lambda t: ACQUIRED.get(t[0], "open"))
+
+
+@query("t11_lexical_try_flags", f"select acquire, cast(sum(n * in_loop) as bigint) as in_loop, cast(sum(n * in_try) as bigint) as in_try, cast(sum(n) as bigint) as n from (select {ACQUIRING} as acquire, {case(lambda t: 2 if t[0] in TWICE else 1, False)} as n, {case(lambda t: int(t[0] in IN_LOOP), False)} as in_loop, {case(lambda t: int(t[0] == 'in_try'), False)} as in_try from events) where acquire <> '' group by acquire")
 def t11(s, d):
     return engine.acquires(plain(s, d)).where("parse_error is null").groupBy("acquire").agg(F.count_if("in_loop").alias("in_loop"), F.count_if("in_try").alias("in_try"), F.count("*").alias("n"))
 
 
-@query("t18_first_nodes_breadth_first")
+@query("t14_displayed_acquisitions", f"select event_id as unit_id, cast({case(lambda t: 2 if t[0] in TWICE else 1, False)} as bigint) as shown, {ACQUIRING} as acquire, {case(lambda t: 'wait' if t[0] == 'process_waits' else 'cleanup' if t[0] == 'temp_dir' else 'close')} as release from events where {ACQUIRING} <> ''")
+def t14(s, d):
+    """Acquisitions as the summary shows them, aliased imports included."""
+    return engine.displayed(plain(s, d)).where("parse_error is null").groupBy("unit_id").agg(F.count("*").alias("shown"), F.max("acquire").alias("acquire"), F.max("release").alias("release"))
+
+
+#: Depth of the 260th node of a template's tree in breadth-first order, and how many of them are shown.
+SHOWN = {i: sorted(depth for _, depth in rows)[:260] for i, rows in PARSED}
+PLACED = f"shown(template, shown, depth) as (values {', '.join(f'({i}, {len(x)}, {x[-1]})' for i, x in SHOWN.items())})"
+
+
+@query("t18_first_nodes_breadth_first", f"with {PLACED} select event_id as unit_id, cast(shown as bigint) as shown, depth from events join shown on event_id % {N} = template")
 def t18(s, d):
     n = engine.nodes(plain(s, d)).where("parse_error is null")
     few = n.withColumn("o", F.expr("row_number() over (partition by unit_id order by depth, parent, node)")).where("o <= 260")
@@ -117,7 +150,7 @@ def t18(s, d):
 RULES = {"socket": "socket", "database": "db-connect", "process_waits": "process", "temp_dir": "tempfile"}
 
 
-@query("u4_rule_patterns", f"select rule, count(*) as n from (select {case(lambda t: RULES.get(t[0], 'open'))} as rule from events where {case(lambda t: t[0] not in ('with', 'nested_with', 'with_in_loop', 'exit_stack', 'syntax_error'), False)}) group by rule")
+@query("u4_rule_patterns", f"select rule, count(*) as n from (select {case(lambda t: RULES.get(t[0], 'open'))} as rule from events where {case(lambda t: ACQUIRED.get(t[0], 'open') != '', False)}) group by rule")
 def u4(s, d):
     rule = F.when(F.col("acquire").rlike(r"^(io\.)?open$"), "open").when(F.col("acquire").startswith("tempfile."), "tempfile").when(F.col("acquire").startswith("socket."), "socket")
     rule = rule.when(F.col("acquire").rlike("connect$|MongoClient$"), "db-connect").when(F.col("acquire").rlike("^(requests|httpx)"), "http-client").otherwise("process")
@@ -127,10 +160,42 @@ def u4(s, d):
 
 @query("k5_full_documents")
 def k5(s, d):
-    u = plain(s, d)
-    docs = engine.json_report(engine.findings(u))
-    size = engine.blocks(u).where("func is not null").groupBy("unit_id").agg(F.count("*").alias("blocks"), F.countDistinct("func").alias("functions"))
-    return size.join(docs, "unit_id", "left").select("unit_id", "blocks", "functions", F.coalesce("document", F.lit('{"ok":true,"leaks":[]}')).alias("document"))
+    return engine.documents(plain(s, d)).select("unit_id", "path", F.coalesce("document", F.to_json(F.struct(F.lit(False).alias("ok"), F.col("parse_error").alias("error")))).alias("document"))
+
+
+K5 = "struct<summary:struct<leak_count:int,exception_leaks:int,acquires:int,functions_analyzed:int>,leaks:array<struct<rule:string>>,cfg:struct<functions:array<struct<edges:array<struct<label:string>>>>>,fix:struct<applied:array<string>>,ensemble:array<struct<verdict:string>>,ast:array<struct<node:int>>,trajectory:array<struct<step:int>>>"
+ACQUIRES = case(lambda t: 0 if not ACQUIRED.get(t[0], "open") else 2 if t[0] in TWICE else 1, False)
+TOP = ("import ", "{v} = open")
+
+
+@query("k5_document_sections", f"with sized(template, nodes) as (values {', '.join(f'({i}, {len(rows)})' for i, rows in PARSED)}) select event_id as unit_id, {case(lambda t: t[3], False)} as leaks, {ACQUIRES} as acquires, {case(lambda t: t[4].count('def ') + t[4].startswith(TOP), False)} as graphs, {case(lambda t: SHAPES.get(t[0], (1, 0))[1], False)} as edges, {case(lambda t: FIXED.get(t[0], 0), False)} as applied, nodes, 7 as steps from events join sized on event_id % {N} = template")
+def k5_sections(s, d):
+    """The documents read back: sizes of their sections."""
+    x = engine.documents(plain(s, d)).where("parse_error is null").select("unit_id", F.from_json("document", K5).alias("x"))
+    edges = F.aggregate("x.cfg.functions", F.lit(0), lambda a, f: a + F.size(f["edges"]))
+    return x.select("unit_id", F.col("x.summary.leak_count").alias("leaks"), F.col("x.summary.acquires").alias("acquires"), F.col("x.summary.functions_analyzed").alias("graphs"), edges.alias("edges"), F.size("x.fix.applied").alias("applied"), F.size("x.ast").alias("nodes"), F.size("x.trajectory").alias("steps"))
+
+
+PATTERN_PRIORITY = ["open-leak", "socket-leak", "any-leak"]
+OUTPUT = "case when event_id % 11 = 0 then '{' else '{\"results\":[{\"check_id\":\"rules.any-leak\",\"start\":{\"line\":' || (event_id % 5 + 1) || '}},{\"check_id\":\"rules.' || case event_id % 3 when 0 then 'open-leak' when 1 then 'socket-leak' else 'other' end || '\",\"start\":{\"line\":' || (event_id % 2 + 1) || '}},{\"check_id\":\"rules.open-leak\",\"start\":{}}]}' end"
+
+
+@query("s21_pattern_tool_output", f"""with r as (select event_id, event_id % 5 + 1 as line, 'any-leak' as rule, 2 as rank, 0 as place from events union all select event_id, event_id % 2 + 1, case event_id % 3 when 0 then 'open-leak' when 1 then 'socket-leak' else 'other' end, case event_id % 3 when 0 then 0 when 1 then 1 else 3 end, 1 from events)
+select event_id as unit_id, cast(line as integer) as line, rule from (select *, row_number() over (partition by event_id, line order by rank, place) as o from r where event_id % 11 <> 0) where o = 1""")
+def s21_output(s, d):
+    """Findings of a pattern tool's JSON output, the best rule of each line; what does not parse has none."""
+    e = v.table(s, d, "events").select(F.col("event_id").alias("unit_id"), F.expr(OUTPUT).alias("body"))
+    return records.pattern_findings(e, "body", ["unit_id"], PATTERN_PRIORITY).select("unit_id", "line", "rule")
+
+
+LINTED = "case when event_id % 11 = 0 then 'no json' else '[{\"code\":\"SIM115\",\"location\":{\"row\":' || (event_id % 7) || ',\"column\":1},\"message\":\"m' || event_id || '\"},null]' end"
+
+
+@query("s22_linter_output", "select event_id as unit_id, cast(event_id % 7 as integer) as line, 'SIM115' as rule, 'm' || event_id as message from events where event_id % 11 <> 0")
+def s22(s, d):
+    """Findings of a linter's JSON output."""
+    e = v.table(s, d, "events").select(F.col("event_id").alias("unit_id"), F.expr(LINTED).alias("body"))
+    return records.linter_findings(e, "body", ["unit_id"]).select("unit_id", "line", "rule", "message")
 
 
 @query("k11_benchmark_report")
@@ -147,7 +212,7 @@ W = "with " + v.FINDINGS
 @query("o2_ordered_groups", f"{W} select path, count(*) filter (level = 'error') as error, count(*) as total, row_number() over (order by count(*) filter (level = 'error') desc, count(*) desc, path) as place from findings group by path")
 def o2(s, d):
     g = v.findings(s, d).groupBy("path").agg(F.count_if(F.col("level") == "error").alias("error"), F.count("*").alias("total"))
-    return g.withColumn("place", F.expr("row_number() over (order by error desc, total desc, path)").cast("bigint"))
+    return rollups.numbered(g, "place", F.desc("error"), F.desc("total"), F.asc("path"))
 
 
 @query("o3_top_repositories", f"{W} select repo, count(*) filter (level = 'error') as errors from findings group by repo order by errors desc, repo limit 50")

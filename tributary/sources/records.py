@@ -46,6 +46,27 @@ def annotations(rows: DataFrame, body: str, key: str) -> DataFrame:
     return r.select(key, "a.path", F.col("a.start_line").alias("start_line"), F.coalesce("a.end_line", "a.start_line").alias("end_line"), F.coalesce("a.annotation_level", F.lit("notice")).alias("level"), F.coalesce("a.title", F.lit("")).alias("title"))
 
 
+PATTERN = "struct<results:array<struct<check_id:string,start:struct<line:int,col:int>,extra:struct<message:string>>>>"
+LINTER = "array<struct<code:string,name:string,message:string,location:struct<row:int,column:int>>>"
+
+
+def pattern_findings(rows: DataFrame, body: str, keys: list[str], priority: list[str]) -> DataFrame:
+    """Findings of a pattern tool's JSON: of each line the rule that comes first in ``priority``, then in the output.
+
+    A rule is the last part of its id; results without a line drop out, and output that does not parse has none.
+    """
+    rank = lambda x: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), x), F.lit(0)), F.lit(len(priority) + 1))
+    got = rows.select(*keys, F.posexplode(F.from_json(body, PATTERN).getField("results")).alias("place", "r")).where("r.start.line is not null")
+    got = got.select(*keys, F.col("r.start.line").alias("line"), F.element_at(F.split(F.coalesce("r.check_id", F.lit("")), r"\."), -1).alias("rule"), F.col("r.extra.message").alias("message"), "place")
+    return got.groupBy(*keys, "line").agg(F.min_by(F.struct("rule", "message"), F.struct(rank(F.col("rule")), "place")).alias("best")).select(*keys, F.lit("pattern").alias("tool"), "line", "best.rule", "best.message")
+
+
+def linter_findings(rows: DataFrame, body: str, keys: list[str]) -> DataFrame:
+    """Findings of a linter's JSON array; entries that are no objects drop out, and output that does not parse has none."""
+    got = rows.select(*keys, F.explode(F.from_json(body, LINTER)).alias("r")).where("r is not null")
+    return got.select(*keys, F.lit("linter").alias("tool"), F.col("r.location.row").alias("line"), F.col("r.code").alias("rule"), F.col("r.message").alias("message"))
+
+
 def commits(rows: DataFrame) -> DataFrame:
     """Short sha, message or Commit, and the author by a chain of fallbacks."""
     return rows.select("event_id", F.substring("full_sha", 1, 7).alias("sha"), F.coalesce("message", F.lit("Commit")).alias("message"), F.coalesce("author", "committer", F.lit("unknown")).alias("author"))

@@ -250,10 +250,12 @@ def dedupe(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
 
     n_lines counts lines that are not blank, before removal; removed_lines are places among them. A null or empty text
     and a row without doc_id stay as they are. Rows that agree in doc_id and text are one document and are cut alike.
-    Columns named like the three new ones are replaced. Lines that repeat only inside one document stay.
+    Columns named, in whatever case, like the three new ones are replaced. Lines that repeat only inside one document stay.
+    Of holders with equal ids the one of the smaller text hash is the first. Texts of any length are aligned whole; an empty
+    table gives an empty result.
     """
     common.bound_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "sources")]
+    names = common.without(docs.columns, ["n_lines", "removed_lines", "sources"])
     gone = removals(docs, least).withColumnRenamed("key", "__key").withColumnRenamed("doc", "__doc").withColumnRenamed("sources", "__sources")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__k"))
     joined = row.join(gone, (F.col("__row.doc_id") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
@@ -266,10 +268,14 @@ def dedupe(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their own columns, less repeated blocks and less texts of which nothing remains.
 
-    n_chars, where there is such a column, is counted anew for texts that were cut.
+    n_chars, where there is such a column, is counted anew for texts that were cut; all other columns keep their values,
+    whatever their names. Nulls, empty texts, ties and repeated rows are treated as in ``dedupe``.
     """
-    out = dedupe(docs)
+    other = [c for c in docs.columns if c != "text"]
+    out = dedupe(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in other]).alias("row")))
     cut = F.size("removed_lines") > 0
     out = out.where(~cut | (F.length(F.trim(F.regexp_replace("text", r"[\s]+", " "))) > 0))
-    cols = [F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    value = {c: F.col("row").getField(c) for c in other} | {"text": F.col("text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(cut, F.length("text")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[value[c].alias(c) for c in docs.columns])

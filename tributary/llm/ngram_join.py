@@ -135,35 +135,9 @@ def forest(ids: np.ndarray, low: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def runs(batches, n_keys: int):
-    """Tables of whole groups: rows of equal first ``n_keys`` columns are adjacent in the batches and stay together."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not table.num_rows:
-            continue
-        if held:
-            table = pa.concat_tables([*held, table])
-        cols = [table.column(i).to_numpy() for i in range(n_keys)]
-        new = np.zeros(table.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        last = int(np.flatnonzero(new)[-1]) if new.any() else 0
-        if last:
-            yield table.slice(0, last), np.concatenate([[0], np.flatnonzero(new[:last])])
-        held = [table.slice(last)]
-    if held:
-        table = pa.concat_tables(held)
-        new = np.zeros(table.num_rows, bool)
-        for i in range(n_keys):
-            c = table.column(i).to_numpy()
-            new[1:] |= c[1:] != c[:-1]
-        yield table, np.concatenate([[0], np.flatnonzero(new)])
-
-
 def bucket_kernel(batches):
     """Edges from buckets; columns band, key, one block, other block, rid, low."""
-    for table, starts in runs(batches, 4):
+    for table, starts in common.runs(batches, 4):
         ids = table.column(4).to_numpy()
         low = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, VALUES)
         ends = np.append(starts[1:], len(ids))
@@ -236,7 +210,7 @@ def agreeing(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Fr
 
 def verify_kernel(batches):
     """Links and local roots from components; columns component, block, other block, own block, rid, documents, low, set."""
-    for table, starts in runs(batches, 3):
+    for table, starts in common.runs(batches, 3):
         one, two, own = (table.column(i).to_numpy() for i in (1, 2, 3))
         rid, docs = table.column(4).to_numpy(), table.column(5).to_numpy()
         low = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)

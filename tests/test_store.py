@@ -25,13 +25,32 @@ def test_stream_equals_batches(spark, tmp_path):
         f.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     store.start(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out/v=2"))
+    last = store.current(spark, str(tmp_path / "out"), 2)
     ids = f.where("event_id % 3 < 3").withColumn("_id", merge.fingerprint()).select("_id").distinct()
     assert last.count() == last.select("_id").distinct().count() > 0
     assert last.join(ids, "_id", "left_anti").count() == 0
     assert last.where("first_seen > last_seen").count() == 0
 
 
+def test_a_batch_rewrites_only_the_scopes_that_it_touches(spark, tmp_path):
+    f = views.findings(spark, SF).where("login in ('org1', 'org2')")
+    out = tmp_path / "out"
+    for i, part in enumerate((f, f.where("login = 'org1' and repo = 'org1/repo1'"), f.where("login = 'org2'"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        stream = spark.readStream.schema(f.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        store.start(stream, str(out), str(tmp_path / "check")).awaitTermination()
+    first, second, third = (store.versions(spark, str(out), b) for b in range(3))
+    moved = {k for k in second if second[k] == 1}
+    assert set(first.values()) == {0} and 0 < len(moved) <= 2 and len(second) == len(first) > 4
+    left = {(int(x.parent.name[2:]), int(x.name[7:])) for x in out.glob("data/v=*/bucket=*")}
+    assert {(v, k) for k, v in [*second.items(), *third.items()]} == left  # what only the first manifest names is gone
+    stored = spark.createDataFrame([], store.COLUMNS)
+    for i in range(3):
+        stored = store.merged(stored, spark.read.parquet(str(tmp_path / f"in/{i}")))
+    got = store.current(spark, str(out), 2)
+    assert got.count() == stored.count() > 0 and got.exceptAll(stored).count() == 0
+
+
 def test_daily_windows_of_a_stream(spark, tmp_path):
     f = views.findings(spark, SF)
     f.write.parquet(str(tmp_path / "in"))

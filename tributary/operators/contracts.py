@@ -61,7 +61,7 @@ def matched(calls: DataFrame, specs: DataFrame, name: str = "resolved") -> DataF
     Both of a matching pair end in the same segment, so the join is an equi-join on it with the suffix test on top.
     """
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    s = F.broadcast(specs.withColumn("__last", last("acquire")))
+    s = specs.withColumn("__last", last("acquire"))
     c, a = F.col(name), F.col("acquire")
     hit = (c == a) | c.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), c))
     j = calls.withColumn("__last", last(name)).join(s, "__last").where(hit)

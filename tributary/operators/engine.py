@@ -183,13 +183,14 @@ def scouted(units: DataFrame, config: Config | None = None) -> DataFrame:
 
 
 def ensemble(units: DataFrame, config: Config | None = None) -> DataFrame:
-    """Scouted lines with the analyzer's verdict on them."""
-    key = [c for c in units.columns if c != "source"]
-    found = findings(units, config).where("parse_error is null").groupBy(*key, F.col("acquire_line").alias("line")).agg(F.min_by("kind", "var").alias("kind"))
-    seen = acquires(units, config).where("parse_error is null").select(*key, "line").distinct().withColumn("analyzed", F.lit(True))
-    rows = scouted(units, config).where("parse_error is null").join(found, [*key, "line"], "left").join(seen, [*key, "line"], "left")
-    verdict = F.when(F.col("kind") == "exception", "confirmed_exception_unsafe").when(F.col("kind").isNotNull(), "confirmed_path_leak").when(F.col("analyzed"), "refuted_safe").otherwise("unverified")
-    return rows.select(*key, "line", "var", "rule", verdict.alias("verdict"))
+    """Scouted lines with the analyzer's verdict on them, from one pass over each distinct source."""
+
+    def rows(source: str, _: str):
+        acquired = export.acquisitions(liveness.Unit(source, config or Config()))
+        for x in export.opinions(rewrite.scout(source, config), liveness.analyze(source, config=config), acquired):
+            yield tuple(x.values())
+
+    return table_function(units, "line int, var string, rule string, verdict string", rows).where("parse_error is null").drop("parse_error")
 
 
 def text_report(found: DataFrame) -> DataFrame:

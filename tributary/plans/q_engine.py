@@ -20,10 +20,10 @@ def case(pick, quote: bool = True) -> str:
     return f"case event_id % {N} " + " ".join(f"when {i} then {text(pick(t))}" for i, t in enumerate(corpus.TEMPLATES)) + " end"
 
 
-def units(s, d):
-    """One source for each event: a template by its id, with names and numbers by its k."""
+def units(s, d, distinct: bool = False):
+    """One source for each event: a template by its id, with names and numbers by its k, or by its id if all are to differ."""
     templates = s.createDataFrame([(i, t[0], t[1], t[4]) for i, t in enumerate(corpus.TEMPLATES)], "template int, name string, expected string, body string")
-    e = v.table(s, d, "events").select(F.col("event_id").alias("unit_id"), (F.col("event_id") % N).cast("int").alias("template"), F.expr(v.K).alias("k"))
+    e = v.table(s, d, "events").select(F.col("event_id").alias("unit_id"), (F.col("event_id") % N).cast("int").alias("template"), (F.col("event_id") if distinct else F.expr(v.K)).alias("k"))
     text = F.replace(F.replace(F.replace("body", F.lit("{f}"), F.concat(F.lit("fn"), F.col("k").cast("string"))), F.lit("{v}"), F.concat(F.lit("h"), (F.col("k") % 7).cast("string"))), F.lit("{n}"), F.col("k").cast("string"))
     return e.join(F.broadcast(templates), "template").select("unit_id", "template", F.concat(F.lit("src/m"), (F.col("k") % 20).cast("string"), F.lit(".py")).alias("path"), "expected", text.alias("source"))
 
@@ -47,6 +47,12 @@ def a26(s, d):
     return engine.verdicts(plain(s, d)).select("unit_id", "verdict", "n_findings")
 
 
+@query("a26_distinct_sources", f"select event_id as unit_id, {case(lambda t: t[2])} as verdict, {case(lambda t: t[3], False)} as n_findings from events")
+def a26_distinct(s, d):
+    """Verdicts where no two sources are equal, so that every unit is analyzed."""
+    return engine.verdicts(units(s, d, distinct=True).select("unit_id", "path", "source")).select("unit_id", "verdict", "n_findings")
+
+
 #: Verdicts as published for the kinds of labelled cases: all right but one leak that is called potential.
 BENCH = f"""with u as (select {case(lambda t: t[1])} as expected, {case(lambda t: t[2])} as verdict from events where event_id % {N} < {corpus.LABELLED}),
 g as (select count(*) filter (expected = 'leak' and verdict = 'leak') as tp, count(*) filter (expected <> 'leak' and verdict <> 'leak') as tn, count(*) filter (expected <> 'leak' and verdict = 'leak') as fp, count(*) filter (expected = 'leak' and verdict <> 'leak') as fn from u),

@@ -54,8 +54,8 @@ def k9(s, d):
 def k9_delete(s, d):
     f = v.findings(s, d)
     gone = s.createDataFrame([("org3",)], "login string")
-    kept = f.join(F.broadcast(gone), "login", "left_anti").agg(F.count("*").alias("kept"))
-    return f.join(F.broadcast(gone), "login", "left_semi").agg(F.count("*").alias("dropped")).crossJoin(F.broadcast(kept))
+    kept = f.join(gone, "login", "left_anti").agg(F.count("*").alias("kept"))
+    return f.join(gone, "login", "left_semi").agg(F.count("*").alias("dropped")).crossJoin(F.broadcast(kept))
 
 
 @query("k10_contract_upsert", "with c as (select p_brand as library, p_type as function, p_name as reason, p_partkey as arrival from part) select library, function, max_by(reason, arrival) as reason from c group by library, function")
@@ -227,12 +227,12 @@ def specs(s):
 
 @query("p9_resolved_call_names", f"with {CALLS}, {IMPORTS}, {RESOLVED} select event_id, resolved from resolved")
 def p9(s, d):
-    return contracts.canonical(calls(s, d), F.broadcast(imports(s))).select("event_id", "resolved")
+    return contracts.canonical(calls(s, d), imports(s)).select("event_id", "resolved")
 
 
 @query("j1_import_join", f"with {CALLS}, {IMPORTS} select event_id, canonical from calls c left join imports i on i.unit = c.unit and i.local = string_split(call_name, '.')[1]")
 def j1(s, d):
-    i = F.broadcast(imports(s)).withColumnRenamed("local", "head")
+    i = imports(s).withColumnRenamed("local", "head")
     return calls(s, d).withColumn("head", F.get(F.split("call_name", r"\."), 0)).join(i, ["unit", "head"], "left").select("event_id", "canonical")
 
 
@@ -241,16 +241,16 @@ HITS = "resolved = acquire or ends_with(resolved, '.' || acquire) or ends_with(a
 
 @query("j2_first_matching_spec", f"with {CALLS}, {IMPORTS}, {SPECS}, {RESOLVED} select event_id, resolved, min_by(acquire, pos) as acquire, min_by(release, pos) as release from resolved, specs where {HITS} group by 1, 2")
 def j2(s, d):
-    r = contracts.canonical(calls(s, d), F.broadcast(imports(s))).select("event_id", "resolved")
+    r = contracts.canonical(calls(s, d), imports(s)).select("event_id", "resolved")
     return contracts.matched(r, specs(s))
 
 
 @query("p8_matching_specs", f"with {CALLS}, {IMPORTS}, {SPECS}, {RESOLVED} select event_id, count(*) as specs from resolved, specs where {HITS} group by 1")
 def p8(s, d):
-    r = contracts.canonical(calls(s, d), F.broadcast(imports(s))).select("event_id", "resolved")
+    r = contracts.canonical(calls(s, d), imports(s)).select("event_id", "resolved")
     c, a = F.col("resolved"), F.col("acquire")
     last = lambda x: F.element_at(F.split(x, r"\."), -1)
-    j = r.withColumn("last", last("resolved")).join(F.broadcast(specs(s).withColumn("last", last("acquire"))), "last")
+    j = r.withColumn("last", last("resolved")).join(specs(s).withColumn("last", last("acquire")), "last")
     return j.where((c == a) | c.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), c))).groupBy("event_id").agg(F.count("*").alias("specs"))
 
 
@@ -394,11 +394,11 @@ def t5(s, d):
     return graphs.listed_blocks(b).select("event_id")
 
 
-EDGES = "g as (select n_nationkey as unit, cast(range as bigint) as src from nation, range(7)), edges as (select unit, src, src * 2 + 1 as dst from g where src * 2 + 1 < 12 union all select unit, src, src * 2 + 2 from g where src * 2 + 2 < 12 + unit % 3 union all select unit, 5, 1 from nation_units where unit % 2 = 0)".replace("nation_units", "(select distinct unit from g)")
+EDGES = "g as (select s_suppkey as unit, cast(range as bigint) as src from supplier, range(7)), edges as (select unit, src, src * 2 + 1 as dst from g where src * 2 + 1 < 12 union all select unit, src, src * 2 + 2 from g where src * 2 + 2 < 12 + unit % 3 union all select unit, 5, 1 from nation_units where unit % 2 = 0)".replace("nation_units", "(select distinct unit from g)")
 
 
 def edges(s, d):
-    g = v.table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("unit")).crossJoin(s.range(7).withColumnRenamed("id", "src"))
+    g = v.table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("unit")).crossJoin(s.range(7).withColumnRenamed("id", "src"))
     a = g.select("unit", "src", (F.col("src") * 2 + 1).alias("dst")).where("dst < 12")
     b = g.select("unit", "src", (F.col("src") * 2 + 2).alias("dst")).where("dst < 12 + unit % 3")
     back = g.where("unit % 2 = 0").select("unit").distinct().select("unit", F.lit(5).cast("bigint").alias("src"), F.lit(1).cast("bigint").alias("dst"))

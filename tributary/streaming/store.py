@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import merge, rollups
 
 SCOPE = ["login", "repo", "source"]
+
+#: Parts of the store that are written by themselves, and tasks that the rows of one part are dealt to.
+BUCKETS, SPLITS = 64, 4
 COLUMNS = "_id string, login string, repo string, source string, level string, title string, first_seen timestamp_ntz, last_seen timestamp_ntz"
 
 
@@ -21,13 +24,51 @@ def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.join(n, "_id", "full_outer").select("_id", *pick, F.least("first_seen", "n_seen_from").alias("first_seen"), F.greatest("last_seen", "n_seen_to").alias("last_seen"))
 
 
+def bucket():
+    """The part of the store that a scope belongs to."""
+    return F.pmod(F.xxhash64(*SCOPE), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def versions(spark: SparkSession, path: str, b: int) -> dict[int, int]:
+    """The version that holds each bucket after batch ``b``; there is nothing before batch 0."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/v={b}").collect()} if b >= 0 else {}
+
+
+def read(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame:
+    places = [f"{path}/data/v={v}/bucket={k}" for k, v in sorted(held.items())]
+    return spark.read.schema(COLUMNS).parquet(*places) if places else spark.createDataFrame([], COLUMNS)
+
+
+def current(spark: SparkSession, path: str, b: int) -> DataFrame:
+    """The store after batch ``b``. It can be read until batch b + 2 has begun."""
+    return read(spark, path, versions(spark, path, b))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def start(findings: DataFrame, path: str, checkpoint: str, **options):
-    """Starts the stream. Batch b reads version b - 1 of the store and writes version b, so a repeated batch is harmless."""
+    """Starts the stream. A batch reads and writes only the buckets of scopes that it touches, and a manifest of BUCKETS
+    rows says which version holds each bucket. Batch b starts from manifest b - 1 and writes version and manifest b, so a
+    repeated batch is harmless; what manifest b - 2 alone refers to is removed.
+    """
     spark = findings.sparkSession
 
     def each(batch: DataFrame, b: int) -> None:
-        stored = spark.read.parquet(f"{path}/v={b - 1}") if b else spark.createDataFrame([], COLUMNS)
-        merged(stored, batch).write.mode("overwrite").parquet(f"{path}/v={b}")
+        held = versions(spark, path, b - 1)
+        touched = {r["bucket"] for r in batch.select(bucket()).distinct().collect()}
+        if touched:
+            out = merged(read(spark, path, {k: v for k, v in held.items() if k in touched}), batch)
+            out = out.select("*", bucket()).repartition("bucket", F.pmod(F.xxhash64("_id"), F.lit(SPLITS)))
+            out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={b}")
+        rows = [*(held | dict.fromkeys(touched, b)).items()]
+        spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={b}")
+        if b >= 2:
+            for k, v in versions(spark, path, b - 2).items():
+                if held[k] != v:
+                    remove(spark, f"{path}/data/v={v}/bucket={k}")
 
     return findings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).start()
 

@@ -28,10 +28,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = common.salted(both, low, "a", HUB_WAYS).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = common.salted(both, low.hint("merge"), "a", HUB_WAYS).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         large = large.distinct().coalesce(1 + 2 * mark[0] // EDGES)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = common.salted(large, low, "a", HUB_WAYS)
+        small = common.salted(large, low.hint("merge"), "a", HUB_WAYS)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         now, before = common.materialized(small.coalesce(1 + 2 * mark[0] // EDGES)), mark
         mark = sign(now)

@@ -33,7 +33,7 @@ WIDTH, VALUES, BANDS, STEP = 5, 128, 32, 16
 THRESHOLD, TOLERANCE = Fraction(4, 5), 1e-6
 
 #: Most members of a bucket or component that one task compares with each other or with as many others.
-BLOCK, SET_BLOCK = 1024, 256
+BLOCK, SET_BLOCK = 1024, 128
 
 _rng = np.random.default_rng(20260517)
 SEEDS = _rng.integers(0, 2**32, VALUES, dtype=np.uint32)

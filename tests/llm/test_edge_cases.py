@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names in every operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from tributary.llm import bpe, brown, crf, kneser_ney, lines, matroska, ngram_jo
 from tributary.llm.queries import vocabulary
 
 LONG = " ".join(f"word{i % 911} and" for i in range(15_000))
-TEXTS = ["one two three four five six seven", "one two three four five six seven", "", None, "  \n\n ", "x", LONG, "a\nb\na\nlast line of it", "ünïcødé 世界 <|endoftext|> !!"]
+UNBROKEN = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+TEXTS = ["one two three four five six seven", "one two three four five six seven", "", None, "  \n\n ", "x", LONG, "a\nb\na\nlast line of it", "ünïcødé 世界 <|endoftext|> !!", UNBROKEN]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -61,6 +64,39 @@ def test_clashing_columns_change_nothing(docs, clashing, labels):
         assert sorted(map(repr, plain[name].collect())) == sorted(map(repr, other[name].collect())), name
 
 
+def test_names_that_clash_in_case_only_give_way(docs, labels, tmp_path):
+    own = ["Score", "PREDICTED", "Lang_Pred", "KEPT", "Rule", "N_Lines", "Sources", "IDs", "Media", "__made", "__row", "__bpe", "__media", "__cut", "removed", "__key"]
+    odd = docs.select("*", *[F.lit("x").alias(n) for n in own])
+    made = {
+        "toxicity": (kneser_ney.score(odd, kneser_ney.fit(odd, labels)), ["score", "predicted"]),
+        "ppm": (ppm.identify(odd, ppm.train(odd)), ["lang_pred", "score", "bits_per_byte"]),
+        "crf": (crf.score(odd, crf.fit(odd, labels)), ["score", "predicted"]),
+        "rules": (rules.judged(odd, rules.fit(odd, labels)), ["kept", "rule", "base_failed"]),
+        "lines": (lines.dedupe(odd), ["n_lines", "removed_lines", "sources"]),
+        "bpe": (bpe.encode(odd, vocabulary("byte_bpe_50k.json")), ["ids"]),
+        "media": (matroska.as_media(odd), ["media"]),
+    }
+    for name, (df, new) in made.items():
+        low = [c.lower() for c in df.columns]
+        assert len(low) == len(set(low)) and set(new) <= set(low), name
+        kept = [c for c in own if c in df.columns]
+        assert {c.lower() for c in own if c not in kept} <= {*new, "n_lines"} and len(kept) >= len(own) - 3, name
+        df.write.parquet(str(tmp_path / name))
+        back = df.sparkSession.read.parquet(str(tmp_path / name))
+        assert back.count() == docs.count() and back.where(" and ".join(f"`{c}` = 'x'" for c in kept)).count() == docs.count(), name
+    for name, df in {"keep": ppm.keep_identified(odd, ppm.train(odd)), "good": rules.keep_good(odd, labels), "clean": lines.clean(odd), "one": ngram_join.one_of_each(odd)}.items():
+        assert df.columns == odd.columns and df.where(" and ".join(f"`{c}` = 'x'" for c in own)).count() == df.count(), name
+        assert name == "good" or df.count(), name  # of these texts the rules may keep none
+
+
+def test_a_long_run_does_not_stay_in_caches():
+    encoder = bpe.loaded(vocabulary("byte_bpe_50k.json"))
+    encoder.encode(UNBROKEN)
+    chunks = packing.loaded(vocabulary("word_bpe_49k.json"))
+    chunks.ids([UNBROKEN + ".", "short words"])
+    assert max(map(len, encoder.cache)) <= bpe.LONG_UNIT and max(map(len, chunks.cache)) <= packing.LONG_CHUNK
+
+
 def test_empty_tables(docs, labels):
     for name, df in runs(docs.limit(0), labels.limit(0)).items():
         assert df.collect() == [], name

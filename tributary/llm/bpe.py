@@ -22,6 +22,9 @@ from . import common
 #: Units kept in a worker's cache; it is emptied when full, which costs time only.
 CACHE_UNITS = 600_000
 
+#: Longer units leave the cache after their texts, so that its bytes are bounded too.
+LONG_UNIT = 256
+
 #: Words whose merge rounds run together.
 WORDS = 8_000
 
@@ -91,6 +94,7 @@ class ByteBpe:
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.split = regex.compile(SPLIT)
         self.cache: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.decimal = [b"%d" % i for i in range(size)]
         self.piece_of = dict(zip(self.decimal, self.pieces))
 
@@ -172,6 +176,7 @@ class ByteBpe:
                 a += n
         for u, ws in split:
             cache[u] = b",".join([cache[w] for w in ws])
+        self.long += [u for some in (units, words) for u in some if len(u) > LONG_UNIT]
 
     def units(self, text: str) -> list[str]:
         """Parts of a text that are encoded by themselves: runs without white space, each with a space before it, and
@@ -202,7 +207,11 @@ class ByteBpe:
         if new:
             self.learn(new)
         get = self.cache.__getitem__
-        return [b",".join(map(get, us)) for us in split]
+        out = [b",".join(map(get, us)) for us in split]
+        for u in self.long:
+            self.cache.pop(u, None)
+        self.long.clear()
+        return out
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_lists([text])[0]

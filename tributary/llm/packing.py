@@ -31,6 +31,9 @@ CAPACITY = 4096
 #: Chunks of a generation of a worker's cache; a full one gives way to a new one, which takes over what it meets again.
 CACHE_CHUNKS = 250_000
 
+#: Longer chunks leave the cache after their texts, so that its bytes are bounded too.
+LONG_CHUNK = 256
+
 #: Marks that are tokens of their own behind a word.
 MARKS = ".,;:!?"
 
@@ -49,6 +52,7 @@ class ChunkTokens:
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.marks = {"": b""} | {m: self.fresh([m])[0] for m in MARKS}
         self.letters = dict(enumerate(byte_letters()))
 
@@ -87,6 +91,7 @@ class ChunkTokens:
             cache.update(zip(others[a : a + 5_000], self.fresh(others[a : a + 5_000])))
         for c, word, mark in split:
             cache[c] = cache[word] + self.marks[mark]
+        self.long += [c for some in (chunks, words) for c in some if len(c) > LONG_CHUNK]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -104,8 +109,11 @@ class ChunkTokens:
         new -= again
         self.learn(new)
         get = self.cache.__getitem__
-        return [self.fresh([t])[0] if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split)]
-
+        out = [self.fresh([t])[0] if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split)]
+        for c in self.long:
+            self.cache.pop(c, None)
+        self.long.clear()
+        return out
 
     def forget(self) -> None:
         """Gives the memory of the cache back: a worker lives on after a task, and other operators need the room."""
@@ -311,7 +319,8 @@ def pack(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), capaci
     """Columns ``keep`` with piece, start, length, ids_crc32, sequence_id and offset of every piece of every text.
 
     A null or empty text is one piece with the end id alone. Each row is packed as it stands: repeated rows and null ids
-    are pieces of their own. An empty table gives an empty result.
+    are pieces of their own, ties of length are told apart by place, and a text of any length is cut into pieces, none
+    dropped. An empty table gives an empty result. Columns of ``keep`` are named before the new ones, which must differ.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)

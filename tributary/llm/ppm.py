@@ -200,14 +200,18 @@ def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> Da
     """``docs`` (or columns ``keep``) with lang_pred, score and bits_per_byte.
 
     ``und`` and score 0 where the text is null, empty or without a letter, or where nothing was learned. Of equally short
-    codes the first language in alphabetical order wins. Each row is scored by itself, so repeated rows agree.
+    codes the first language in alphabetical order wins. Each row is scored by itself, so repeated rows agree, and a text
+    of any length whole. Columns named, in whatever case, like a new one are replaced; an empty table gives an empty result.
     """
     common.bound_batches(docs.sparkSession)
     return common.with_struct(docs, predictor(docs.sparkSession, trees)(F.col("text")), ["lang_pred", "score", "bits_per_byte"], keep)
 
 
 def keep_identified(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose language is determined with a posterior of ``least`` or more."""
+    """The rows of ``docs``, with their own columns, whose language is determined with a posterior of ``least`` or more.
+
+    Null, empty and letterless texts go; null ids and repeated rows are treated like others.
+    """
     common.bound_batches(docs.sparkSession)
     made = predictor(docs.sparkSession, trees)(F.col("text"))
     names = docs.columns

@@ -273,14 +273,18 @@ def judged(docs: DataFrame, rules: DecisionList, keep: list[str] | None = None)
     """Statistics with base_failed, rule (its number, 0 for none) and kept.
 
     A null or empty text fails the base rule and is not kept. Rows are neither joined nor merged: repeated rows and
-    null ids each get their verdict.
+    null ids each get their verdict, equal texts the same one. The first rule that holds counts. A text of any length is
+    measured whole; columns named like a new one, in whatever case, are replaced; an empty table gives an empty result.
     """
     out = statistics(docs, keep=keep).withColumn("base_failed", base_failed())
     return out.withColumn("rule", rules.rule_number()).withColumn("kept", ~F.col("base_failed") & rules.expression())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that the base rule and a list learned from ``labels`` keep."""
+    """The rows of ``docs``, with their own columns, that the base rule and a list learned from ``labels`` keep.
+
+    Null and empty texts go; repeated rows and null ids are judged like others. Without labels the base rule alone holds.
+    """
     rules = fit(docs, labels)
     made = common.text_kernel(stats_kernel, STATS_DDL)(F.col("text"))
     names = docs.columns

@@ -152,6 +152,29 @@ def test_uneven_lacing(frames, lacing):
         assert [data[p[3] : p[3] + p[4]] for p in found["packets"]] == frames and found["packets"][0][1] == 3_000_000
 
 
+def test_bytes_written_by_hand_are_parsed():
+    """A file spelled out byte by byte after the specification, whose examples of lacing (800, 500, 1000 bytes) it holds."""
+    a, b, c = b"a" * 800, b"b" * 500, b"c" * 1000
+    xiph = bytes.fromhex("81 0000 02 02 ffffff23 fff5") + a + b + c  # track 1, at 0, Xiph lacing, three frames
+    ebml = bytes.fromhex("4002 0010 06 02 4320 5ed3") + a + b + c  # track 2 in two bytes, at 16, not a key frame
+    fixed = bytes.fromhex("81 fffe 84 01") + b"xy" + b"zw"  # two ticks before the cluster's time
+    track = lambda n: bytes.fromhex(f"ae 86 d7 81 0{n} 83 81 02")
+    size = lambda n: (0x10000000 | n).to_bytes(4, "big")
+    info = bytes.fromhex("1549a966 87 2ad7b1 83 0f4240")  # a tick is a millisecond
+    tracks = bytes.fromhex("1654ae6b 90") + track(1) + track(2)
+    first = bytes.fromhex("e7 81 64") + bytes.fromhex("a3") + size(len(xiph)) + xiph + bytes.fromhex("ec 83 000000") + bytes.fromhex("a0") + size(5 + len(ebml)) + bytes.fromhex("a1") + size(len(ebml)) + ebml
+    second = bytes.fromhex("e7 82 0200") + bytes.fromhex("a3 89") + fixed
+    # a segment and a first cluster of unknown size; the second cluster ends the first
+    data = bytes.fromhex("1a45dfa3 8b 4282 88") + b"matroska" + bytes.fromhex("18538067 01ffffffffffffff") + info + tracks + bytes.fromhex("1f43b675 ff") + first + bytes.fromhex("1f43b675") + size(len(second)) + second
+    got = matroska.parse(data)
+    packets = [(t, when, key, data[p : p + n], cluster, lace) for t, when, key, p, n, cluster, lace in got["packets"]]
+    ms = 1_000_000
+    assert packets[:3] == [(1, 100 * ms, False, a, 0, 0), (1, 100 * ms, False, b, 0, 1), (1, 100 * ms, False, c, 0, 2)]
+    assert packets[3:6] == [(2, 116 * ms, False, a, 0, 0), (2, 116 * ms, False, b, 0, 1), (2, 116 * ms, False, c, 0, 2)]
+    assert packets[6:] == [(1, 510 * ms, True, b"xy", 1, 0), (1, 510 * ms, True, b"zw", 1, 1)]
+    assert matroska.vint(800, 2) == bytes.fromhex("4320") and matroska.read_vint(bytes.fromhex("10000001"), 0, 4) == (1, 4)
+
+
 def test_malformed_media_is_an_error_row(spark):
     media = spark.createDataFrame([(1, bytearray(b"")), (2, bytearray(b"\x1aE\xdf\xa3\x85abc")), (3, None), (4, bytearray(matroska.store(matroska.padded(b"x"))))], "id int, media binary")
     got = {r["id"]: (r["parse_error"] is None, r["byte_length"]) for r in matroska.packet_table(media, "media", ("id",)).collect()}

@@ -89,3 +89,20 @@ def test_files_by_targets_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     got = files.collect(spark, ["b", "*.py", "none/*.py", str(tmp_path / "b/x.py"), "note.txt"]).orderBy("place", "path").collect()
     assert [(r["source"], r["place"]) for r in got] == [("b/deep/y.py", 0), ("b/x.py", 0), ("a.py", 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tributary.__main__ import main
+
+    (tmp_path / "a.py").write_text("def g(p):\n    h = open(p)\n    return 1\n")
+    (tmp_path / "b.py").write_text("def (")
+    (tmp_path / "c.py").write_text("import a\ndef g():\n    h = a.get()\n    return 1\n")
+    (tmp_path / "kb.yaml").write_text("resources:\n- {call: a.get, close: [put]}\n")
+    assert main(["scan", str(tmp_path)]) == 1
+    out = capsys.readouterr()
+    assert out.out.count("LEAK") == 1 and "a.py" in out.out and "b.py: SyntaxError" in out.err
+    assert main(["scan", str(tmp_path / "c.py"), "--knowledge", str(tmp_path / "kb.yaml"), "--json"]) == 1
+    assert '"acquire":"a.get"' in capsys.readouterr().out
+    assert main(["scan", str(tmp_path / "c.py")]) == 0 and main(["fix", str(tmp_path)]) == 0
+    assert "with open(p) as h:" in capsys.readouterr().out
+    assert main(["benchmark"]) == 0 and "accuracy" in capsys.readouterr().out

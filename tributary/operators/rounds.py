@@ -5,15 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; only a local session may have none set."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; only a local session may have none set, and gets one."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.startswith("local"):
+        set_to = spark.conf.get("spark.checkpoint.dir", "")
+        if not set_to and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tributary-checkpoints"))
+        sc.setCheckpointDir(set_to or os.path.join(tempfile.gettempdir(), "tributary-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

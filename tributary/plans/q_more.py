@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tributary.functions import corpus
-from tributary.operators import engine, merge, rollups
+from tributary.operators import engine, merge, rollups, rounds
 from tributary.plans import views as v
 from tributary.plans.base import query
 from tributary.plans.q_engine import ACQUIRED, EFFECTS, EXCEPTION_ONLY, FIXED, HAS_FUNCTION, IN_LOOP, PARSED, SHAPES, TWICE, N, case, plain, units
 from tributary.sources import records
+from tributary.streaming import store
 
 
 def among(*names: str) -> str:
@@ -239,3 +242,25 @@ def s24(s, d):
 @query("r6_daily_counts", f"{W} select cast(date_trunc('day', found_at) as date) as day, count(*) filter (level = 'error') as error, count(*) as total from findings group by 1")
 def r6(s, d):
     return v.findings(s, d).groupBy(F.to_date("found_at").alias("day")).agg(F.count_if(F.col("level") == "error").alias("error"), F.count("*").alias("total"))
+
+
+def seen(rows: str) -> str:
+    """The findings of a batch by identity, with the latest level and the times that they span."""
+    return f"(select {v.FINGERPRINT} as _id, any_value(login) as login, any_value(repo) as repo, any_value(source) as source, max_by(level, cast(found_at as varchar) || lpad(cast(event_id as varchar), 12, '0')) as level, min(found_at) as first_seen, max(found_at) as last_seen from findings where {rows} group by 1)"
+
+
+SECOND = "event_id % 2 = 1 and login <> 'org3'"
+
+
+@query("r1_streamed_store", f"""{W}, a as {seen('event_id % 2 = 0')}, b as {seen(SECOND)},
+kept as (select * from a where not exists (select 1 from b where b.login = a.login and b.repo = a.repo and b.source = a.source) or _id in (select _id from b))
+select _id, coalesce(b.level, k.level) as level, least(k.first_seen, b.first_seen) as first_seen, greatest(k.last_seen, b.last_seen) as last_seen from kept k full join b using (_id)""")
+def r1(s, d):
+    """The store after a stream of two batches, the second of which expires what it lacks in the scopes that it touches."""
+    place = f"{rounds.folder(s)}/stream-{uuid.uuid4().hex}"
+    f = v.findings(s, d)
+    for part in ("event_id % 2 = 0", SECOND):  # a batch for each file, in the order of their times
+        f.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = s.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    store.start(stream, f"{place}/out", f"{place}/at").awaitTermination()
+    return store.current(s, f"{place}/out", 1).select("_id", "level", "first_seen", "last_seen")

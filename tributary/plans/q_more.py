@@ -10,7 +10,7 @@ from tributary.functions import corpus
 from tributary.operators import engine, merge, rollups, rounds
 from tributary.plans import views as v
 from tributary.plans.base import query
-from tributary.plans.q_engine import ACQUIRED, EFFECTS, EXCEPTION_ONLY, FIXED, HAS_FUNCTION, IN_LOOP, PARSED, SHAPES, TWICE, N, case, plain, units
+from tributary.plans.q_engine import ACQUIRED, BENCH, EFFECTS, EXCEPTION_ONLY, FIXED, HAS_FUNCTION, IN_LOOP, PARSED, SHAPES, TWICE, N, case, plain, units
 from tributary.sources import records
 from tributary.streaming import store
 
@@ -201,7 +201,7 @@ def s22(s, d):
     return records.linter_findings(e, "body", ["unit_id"]).select("unit_id", "line", "rule", "message")
 
 
-@query("k11_benchmark_report")
+@query("k11_benchmark_report", f"with m as ({BENCH}) select format('precision {{:.3f}}, recall {{:.3f}}, F1 {{:.3f}}, accuracy {{:.3f}} (TP {{}}, TN {{}}, FP {{}}, FN {{}})', precision, recall, f1, accuracy, tp, tn, fp, fn) as markdown, to_json({{tp: tp, tn: tn, fp: fp, fn: fn, precision: precision, recall: recall, f1: f1, accuracy: accuracy}}) as json from m")
 def k11(s, d):
     u = units(s, d).where(f"template < {corpus.LABELLED}").select("unit_id", "expected", "source")
     m = rollups.confusion(engine.verdicts(u))
@@ -209,6 +209,14 @@ def k11(s, d):
     return m.select(line.alias("markdown"), F.to_json(F.struct("*")).alias("json"))
 
 
+@query("k1_report_lines", f"select event_id as unit_id, case when {case(lambda t: t[2])} = 'leak' then 'LEAK' else 'POSSIBLE LEAK' end as title, 'src/m' || (cast(json_extract_string(props, '$.k') as bigint) % 20) || '.py' as path, {case(lambda t: t[3], False)} as lines from events where {case(lambda t: t[3], False)} > 0")
+def k1_lines(s, d):
+    """The text report read back: what its lines begin with, and the file that they name."""
+    parts = F.regexp_extract("report", r"^(POSSIBLE LEAK|LEAK) ([^:]+):(\d+) .* \[[B0-9 >-]*\]$", 1), F.regexp_extract("report", r"^(?:POSSIBLE LEAK|LEAK) ([^:]+):", 1)
+    lines = engine.text_report(engine.findings(plain(s, d)).where("parse_error is null")).select("unit_id", parts[0].alias("title"), parts[1].alias("path"))
+    return lines.groupBy("unit_id", "title", "path").agg(F.count("*").cast("int").alias("lines"))
+
+
 W = "with " + v.FINDINGS
 
 

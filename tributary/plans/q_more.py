@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tributary.functions import corpus
+from tributary.functions import corpus, specs
 from tributary.operators import engine, merge, rollups, rounds
 from tributary.plans import views as v
 from tributary.plans.base import query
@@ -179,6 +179,34 @@ def k5_sections(s, d):
     return x.select("unit_id", F.col("x.summary.leak_count").alias("leaks"), F.col("x.summary.acquires").alias("acquires"), F.col("x.summary.functions_analyzed").alias("graphs"), edges.alias("edges"), F.size("x.fix.applied").alias("applied"), F.size("x.ast").alias("nodes"), F.size("x.trajectory").alias("steps"))
 
 
+def contracted(function: str, behavior: str, safety: str = "UNKNOWN") -> specs.Config:
+    library, _, name = function.rpartition(".")
+    return specs.Config(contracts={(library or "builtins", name): specs.Contract(behavior, "UNKNOWN", safety)})
+
+
+@query("d4_contract_makes_a_resource", f"select event_id as unit_id, 'vault.checkout' as acquire, 'close' as release from events where {among('known_by_rule')}")
+def d4(s, d):
+    """A call whose contract returns a resource acquires one, which close releases."""
+    f = engine.findings(plain(s, d), contracted("vault.checkout", "RETURNS_RESOURCE")).where("parse_error is null")
+    return f.where("acquire not in ('open') and resource_type = 'file'").select("unit_id", "acquire", "release")
+
+
+@query("d19_d20_transfers", f"select event_id as unit_id, 'safe' as guaranteed, 'exception' as unsure from events where {among('unknown_callee')}")
+def d19(s, d):
+    """Handing a handle over ends its life; where that is not guaranteed, the call itself may raise with the handle open."""
+    u = plain(s, d)
+    sure = engine.verdicts(u, contracted("elsewhere", "TRANSFERS_OWNERSHIP", "GUARANTEED")).where("verdict = 'safe'").select("unit_id", F.col("verdict").alias("guaranteed"))
+    unsure = engine.findings(u, contracted("elsewhere", "TRANSFERS_OWNERSHIP", "NOT_GUARANTEED")).where("parse_error is null").select("unit_id", F.col("kind").alias("unsure"))
+    return sure.join(unsure, "unit_id")
+
+
+@query("d29_with_rewrites", f"select event_id as unit_id, {case(lambda t: FIXED.get(t[0], 0) + t[4].count('with '), False)} as managed, {case(lambda t: t[4].count('def '), False)} as functions from events where {case(lambda t: t[2] != 'error', False)}")
+def d29(s, d):
+    """With statements of the sources that the fixer gives back, which keep all their functions."""
+    count = lambda pattern, name: F.regexp_count("fixed_source", F.lit(pattern)).alias(name)
+    return engine.fixed(plain(s, d)).where("parse_error is null").select("unit_id", count(r"(?m)^ *with ", "managed"), count(r"(?m)^def ", "functions"))
+
+
 PATTERN_PRIORITY = ["open-leak", "socket-leak", "any-leak"]
 OUTPUT = "case when event_id % 11 = 0 then '{' else '{\"results\":[{\"check_id\":\"rules.any-leak\",\"start\":{\"line\":' || (event_id % 5 + 1) || '}},{\"check_id\":\"rules.' || case event_id % 3 when 0 then 'open-leak' when 1 then 'socket-leak' else 'other' end || '\",\"start\":{\"line\":' || (event_id % 2 + 1) || '}},{\"check_id\":\"rules.open-leak\",\"start\":{}}]}' end"
 

@@ -86,7 +86,7 @@ class Trees:
         weight = np.zeros(len(top.keys))
         for keys, n in counts:
             weight[np.searchsorted(top.keys, keys)] += n
-        self.slot_bits = max(12, int(np.ceil(np.log2(4 * max(1, len(top.keys))))))
+        self.slot_bits = max(12, int(np.ceil(np.log2(2 * max(1, len(top.keys))))))
         self.slot_key = np.zeros(1 << self.slot_bits, np.uint32)
         self.slot_row = np.full(1 << self.slot_bits, -1, np.int32)
         order = np.argsort(weight, kind="stable")  # of keys that share a slot the commonest stays

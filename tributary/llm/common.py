@@ -63,6 +63,15 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written to ``folder`` and read again: unlike a checkpoint it forgets the size that Spark estimated for it.
+
+    In loops of joins these estimates are products, whose digits multiply from round to round until planning stands still.
+    """
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the smallest node that it is connected with.
 
     Alternating large-star and small-star steps: every step hangs a node's neighbours on its smallest one, so a chain
-    halves each time. Each round is checkpointed to the shared folder; only a count and a checksum reach the driver.
+    halves each time. Each round is written to the shared folder, where the round before it is removed; only a count and
+    a checksum reach the driver.
     """
-    now = common.materialized(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    folder = f"{common.checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
+    now = common.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
     mark = sign(now)
     now = now.coalesce(1 + mark[0] // EDGES)
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         if not mark[0]:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +38,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = common.salted(large, low, "a", HUB_WAYS)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        now, before = common.materialized(small.coalesce(1 + 2 * mark[0] // EDGES)), mark
+        now, before = common.written(small.coalesce(1 + 2 * mark[0] // EDGES), f"{folder}/{k + 1}"), mark
+        common.remove(spark, f"{folder}/{k}")
         mark = sign(now)
         if mark == before:
             break

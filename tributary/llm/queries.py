@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, brown, common, crf, kneser_ney, lines, matroska, middle, ngram_join, packing, ppm, rules
+from . import audit, bpe, brown, common, crf, kneser_ney, lines, matroska, middle, ngram_join, odd_sketch, packing, ppm, rules
 
 
 def vocabulary(name: str) -> str:
@@ -71,6 +71,10 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.score(docs, chain, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.components(common.read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -83,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_ngram_jaccard, op3_bpe, op4_best_fit_packing, op5_matroska, op6_line_dedup, op7_language_id, op8_toxicity, op9_brown_bigrams, op10_line_crf,
-        op12_filter_audit, op13_fill_in_middle,
+        op11_odd_sketches, op12_filter_audit, op13_fill_in_middle,
     )
 }
 
@@ -100,6 +104,17 @@ k as (select node as doc_id, min(root) as class_id from r group by 1),
 n as (select x as doc_id, count(*) as links, count(distinct b.nid) filter (b.nid <> a.nid) as linked_texts from e join d a on a.doc_id = x join d b on b.doc_id = y group by 1)
 select doc_id, class_id, coalesce(links, 0) as links, coalesce(linked_texts, 0) as linked_texts from k left join n using (doc_id)"""
 
+#: As above for four words, lower case and 100 * intersection >= 80 * union; texts without words are linked with nothing.
+COMPONENT_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) end as gs from w),
+d as (select doc_id, len(gs)::bigint as n_shingles from g),
+s as (select doc_id, unnest(gs) as shingle from g),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b using (shingle) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join d a on a.doc_id = x join d b on b.doc_id = y where 100 * i >= 80 * (a.n_shingles + b.n_shingles - i)),
+r(node, root) as (select doc_id, doc_id from d union select e.y, r.root from r join e on e.x = r.node)
+select doc_id, any_value(n_shingles) as n_shingles, min(root) as component_id, doc_id = min(root) as kept from r join d on doc_id = node group by doc_id"""
+
 #: The five filters, the 120 orders spelled out, and sums of the failed filters' numbers.
 AUDIT_SQL = r"""
 with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
@@ -129,4 +144,4 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
   sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
   sha256(text) as restored_sha256 from c"""
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": NGRAM_SQL, "op12_filter_audit": AUDIT_SQL, "op13_fill_in_middle": MIDDLE_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": NGRAM_SQL, "op11_odd_sketches": COMPONENT_SQL, "op12_filter_audit": AUDIT_SQL, "op13_fill_in_middle": MIDDLE_SQL}

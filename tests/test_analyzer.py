@@ -1,6 +1,7 @@
 """Pinned patterns of the analyzer, the rewriter and the configuration."""
 
 import ast
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -109,3 +110,21 @@ def test_straight_line_code_agrees_with_next_event(ops):
     events = [(i + 2, o) for i, o in enumerate(ops) if o != "x = 1"]
     lost = {n for k, (n, o) in enumerate(events) if o.startswith("f =") and (k + 1 == len(events) or not events[k + 1][1].startswith("f.close"))}
     assert found == lost
+
+
+def test_a_leak_behind_the_cap_of_paths_is_found():
+    ifs = "".join(f"        if c[{i}]:\n            x = {i}\n" for i in range(1, 10))
+    source = f"def f(c, p):\n    if c[0]:\n{ifs}    else:\n        g = open(p)\n        return 1\n"
+    found = liveness.analyze(source)
+    assert [(f["acquire_line"], f["reasons"][0], f["truncated"]) for f in found] == [(22, "early return", True)]
+    safe = source.replace("        g = open(p)\n", "")
+    unit = liveness.Unit(safe, Config())
+    walk = next(w for _, _, w in liveness.walks(unit))
+    assert walk.truncated and ("truncated", 0, "", "f") in walk.events and not liveness.analyze(safe)
+
+
+def test_guarded_acquisitions_in_a_loop_are_walked_fast():
+    body = "".join(f"        if a({i}):\n            h{i} = open(q)\n" for i in range(40))
+    began = time.process_time()
+    found = liveness.analyze(f"def f(q):\n    while q():\n{body}")
+    assert len(found) == 40 and time.process_time() - began < 0.5

@@ -44,8 +44,8 @@ def flagged(docs: DataFrame, part: str = "lang") -> DataFrame:
     document = ["__id", "__key"]
     capitals = F.length("__text") - F.length(F.regexp_replace("__text", "[A-Z]+", ""))
     c, d = 100 * capitals > MOST_CAPITALS * F.length("__text"), F.col("__text").rlike(SYMBOLS)
-    rows = middle.keyed(docs.withColumn("__part", F.coalesce(F.col(f"`{part}`").cast("string"), F.lit(""))), ["__part"])
-    rows = rows.select(*document, "__part", "__doc", c.alias("c"), d.alias("d"), F.unhex(F.sha2("__text", 256)).alias("digest"))
+    rows = middle.keyed(docs, [part])
+    rows = rows.select(*document, F.coalesce(F.col("__0").cast("string"), F.lit("")).alias("__part"), "__doc", c.alias("c"), d.alias("d"), F.unhex(F.sha2("__text", 256)).alias("digest"))
     firsts = rows.groupBy("digest").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("digest", "first")
     rows = common.salted(rows, firsts, "digest", 8, "left").withColumn("e", F.coalesce(F.col("__doc") > F.col("first"), F.lit(False)))
     rows = rows.select(*document, "__part", "__doc", "c", "d", "e").join(word_counts(docs), document, "left")

@@ -35,10 +35,13 @@ def draw(doc_id: str, k: int) -> Column:
 
 
 def keyed(docs: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """(kept columns, __doc, __id, __key, __text): documents by id and a hash of text and missing id; a null text is empty."""
+    """(__doc, other kept columns as __0, __1, ..., __id, __key, __text): documents by id and a hash of text and missing id.
+
+    A null text is empty. Without other kept columns all uses of the texts read one and the same exchange.
+    """
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(text, F.col("doc_id").isNull())
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("__doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("__id"), key.alias("__key"), text.alias("__text"))
+    return docs.select(F.col("doc_id").alias("__doc"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("__id"), key.alias("__key"), text.alias("__text"))
 
 
 def requests(docs: DataFrame) -> DataFrame:
@@ -60,10 +63,12 @@ def transform(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """
     spark = docs.sparkSession
     keep = common.without(keep, FIELDS)
+    others = [c for c in keep if c != "doc_id"]
+    place_of = {"doc_id": "__doc"} | {c: f"__{i}" for i, c in enumerate(others)}
     wanted = common.materialized(requests(docs))
     document = ["__id", "__key"]
     # the same exchange of texts feeds the units and the substrings
-    texts = keyed(docs, keep).repartition(*document)
+    texts = keyed(docs, others).repartition(*document)
     found = F.regexp_extract_all("__text", F.lit(UNIT), F.lit(0))
     last = F.greatest(*[draw("__doc", k) % (F.size("__found") + 1) for k in (1, 2)]).cast("int")
     # units behind the last cut have no part in a sum; an outer explode keeps Spark from splitting texts once more to filter
@@ -83,7 +88,7 @@ def transform(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     output = output.otherwise(F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle))
     cut = F.col("form") != "plain"
     out = texts.join(offsets.hint("shuffle_hash"), document)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n", "form", F.when(cut, a).cast("bigint").alias("prefix_chars"), F.when(cut, b - a).cast("bigint").alias("middle_chars"), output.alias("output"))
+    return out.select(*[F.col(place_of[c]).alias(c) for c in keep], "n", "form", F.when(cut, a).cast("bigint").alias("prefix_chars"), F.when(cut, b - a).cast("bigint").alias("middle_chars"), output.alias("output"))
 
 
 def restored(output: str = "output", form: str = "form") -> Column:

@@ -1,5 +1,8 @@
 """Merging, sources and the streaming store."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -19,36 +22,71 @@ def test_upsert_twice_is_once(spark):
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
 
 
-def test_stream_equals_batches(spark, tmp_path):
-    f = views.findings(spark, SF)
-    for i in range(3):
-        f.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    store.start(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    last = store.current(spark, str(tmp_path / "out"), 2)
-    ids = f.where("event_id % 3 < 3").withColumn("_id", merge.fingerprint()).select("_id").distinct()
-    assert last.count() == last.select("_id").distinct().count() > 0
-    assert last.join(ids, "_id", "left_anti").count() == 0
-    assert last.where("first_seen > last_seen").count() == 0
-
-
-def test_a_batch_rewrites_only_the_scopes_that_it_touches(spark, tmp_path):
-    f = views.findings(spark, SF).where("login in ('org1', 'org2')")
-    out = tmp_path / "out"
-    for i, part in enumerate((f, f.where("login = 'org1' and repo = 'org1/repo1'"), f.where("login = 'org2'"))):
-        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-        stream = spark.readStream.schema(f.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        store.start(stream, str(out), str(tmp_path / "check")).awaitTermination()
-    first, second, third = (store.versions(spark, str(out), b) for b in range(3))
-    moved = {k for k in second if second[k] == 1}
-    assert set(first.values()) == {0} and 0 < len(moved) <= 2 and len(second) == len(first) > 4
-    left = {(int(x.parent.name[2:]), int(x.name[7:])) for x in out.glob("data/v=*/bucket=*")}
-    assert {(v, k) for k, v in [*second.items(), *third.items()]} == left  # what only the first manifest names is gone
-    stored = spark.createDataFrame([], store.COLUMNS)
-    for i in range(3):
-        stored = store.merged(stored, spark.read.parquet(str(tmp_path / f"in/{i}")))
-    got = store.current(spark, str(out), 2)
-    assert got.count() == stored.count() > 0 and got.exceptAll(stored).count() == 0
+def plain_store(batches):
+    """The store after batches of (login, repo, source, finding, level, time), row by row."""
+    stored = {}
+    for batch in batches:
+        new = {}
+        for *scope, i, level, t in sorted(batch, key=lambda r: r[-1]):
+            first = new.get((tuple(scope), i), (level, t, t))[1]
+            new[tuple(scope), i] = (level, first, t)
+        touched = {s for s, _ in new}
+        kept = {k: r for k, r in stored.items() if k[0] not in touched or k in new}
+        stored = kept | {k: (r[0], min(r[1], kept.get(k, r)[1]), max(r[2], kept.get(k, r)[2])) for k, r in new.items()}
+    return stored
+
+
+def batch_of(spark, rows):
+    day = F.to_timestamp_ntz(F.date_add(F.lit("2024-01-01"), F.col("t")).cast("string"))
+    rows = [(*r, k) for k, r in enumerate(rows)]
+    made = spark.createDataFrame(rows, "login string, repo string, source string, line int, level string, t int, event_id bigint")
+    nothing = [F.lit("").alias(c) for c in ("branch", "path", "func", "sha")]
+    return made.select("*", *nothing, F.lit("title").alias("title"), day.alias("found_at"))
+
+
+def test_store_equals_rows_taken_one_by_one(spark, tmp_path):
+    rng = random.Random(6)
+    batches = []
+    for _ in range(11):
+        logins = rng.sample(["o1", "o2", "o3", "o4"], rng.randrange(5))
+        batches.append([(x, f"{x}/r{rng.randrange(2)}", "ci", rng.randrange(6), rng.choice(("error", "notice")), rng.randrange(300)) for x in logins for _ in range(6)])
+        batches[-1] = [*{r[-1]: r for r in batches[-1]}.values()]
+    out, compactions = str(tmp_path / "out"), 0
+    for b, rows in enumerate(batches):
+        before = store.manifest(spark, out, b - 1)
+        after = store.write(spark, out, b, batch_of(spark, rows))
+        assert store.write(spark, out, b, batch_of(spark, rows)).deltas == after.deltas  # a repeated batch
+        compactions += after.base == b
+        if b in (0, 1, 3, 6, 8, 10):
+            got = {((r["login"], r["repo"], r["source"]), r["_id"]): (r["level"], r["first_seen"], r["last_seen"]) for r in store.current(spark, out, b).collect()}
+            day = lambda t: datetime(2024, 1, 1) + timedelta(days=t)
+            want = {(k, f"{k[1]}||ci||{i}||"): (r[0], day(r[1]), day(r[2])) for (k, i), r in plain_store(batches[: b + 1]).items()}
+            assert got == want, b
+    assert compactions >= 2
+    there = {f"{x.parent.name}/{x.name}" for x in (tmp_path / "out").glob("*/v=*")}
+    assert there == after.folders() | before.folders() | {f"manifest/v={b}" for b in (8, 9, 10)}  # nothing else is left
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    rows = [("o", f"o/r{i % 50}", "ci", i, "error", i % 300) for i in range(40_000)]
+    store.write(spark, out, 0, batch_of(spark, rows[:10]))
+    monkeypatch.setattr(store, "BUCKET_BYTES", 40_000)
+    base = store.write(spark, out, 1, batch_of(spark, rows))
+    assert base.base == 1 and base.deltas == () and base.buckets > 4
+    after = store.write(spark, out, 2, batch_of(spark, rows[:20]))
+    assert after.base == 1 and after.deltas == (2,) and after.log_bytes < 0.1 * base.base_bytes
+    assert store.size(spark, f"{out}/log/v=2") == after.log_bytes
+
+
+def test_a_hot_scope_is_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_BYTES", 14_000)
+    out = str(tmp_path / "out")
+    rows = [("o", "o/hot" if i % 10 else f"o/r{i % 70}", "ci", i, "error", i % 300) for i in range(20_000)]
+    store.write(spark, out, 0, batch_of(spark, rows[:100]))
+    m = store.write(spark, out, 1, batch_of(spark, rows))
+    parts = spark.read.parquet(f"{out}/base/v=1").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("repo") == "o/hot").alias("hot")).collect()
+    assert m.buckets >= 8 and sum(r["hot"] for r in parts) == 18_000 and max(r["n"] for r in parts) < 3 * 20_000 / m.buckets
 
 
 def test_daily_windows_of_a_stream(spark, tmp_path):

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.operators import intervals
+
 
 def paths(spark: SparkSession, edges: DataFrame, levels: int = 100) -> DataFrame:
     """All paths (unit, path) from node 0 of each unit to nodes without successors, each node once on a path.
@@ -59,5 +61,4 @@ def listed_blocks(blocks: DataFrame) -> DataFrame:
 
 def enclosing(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """The narrowest function (unit, func, first, last) around each line (unit, line); null if none."""
-    j = lines.join(functions, (lines["unit"] == functions["unit"]) & lines["line"].between(functions["first"], functions["last"]), "left")
-    return j.groupBy(lines["unit"], lines["line"]).agg(F.min_by("func", F.struct(F.expr("last - first"), "func")).alias("func"))
+    return intervals.narrowest(lines.select("unit", "line"), functions, ["unit"], "line", "first", "last", "func")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators import rollups
+from tributary.operators import rollups, skew
 
 KEYS = ["repo", "branch", "source", "path", "line", "func", "sha"]
 
@@ -45,10 +45,10 @@ def upsert(stored: DataFrame, batch: DataFrame, now: str) -> DataFrame:
 
 
 def replace_scope(stored: DataFrame, batch: DataFrame, scope: list[str]) -> DataFrame:
-    """``stored`` less the rows of a scope that the batch touches but no longer holds."""
+    """``stored`` less the rows of a scope that the batch touches but no longer holds; a hot scope is dealt to many tasks."""
     touched = batch.select(*scope).distinct().withColumn("touched", F.lit(True))
     held = batch.select("_id").distinct().withColumn("held", F.lit(True))
-    return stored.join(touched, scope, "left").join(held, "_id", "left").where("touched is null or held").drop("touched", "held")
+    return skew.salted(stored, touched, scope).join(held, "_id", "left").where("touched is null or held").drop("touched", "held")
 
 
 def scan_log(batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import ast
 from pyspark.sql import functions as F
 
 from tributary.functions import corpus, specs
-from tributary.operators import engine, rollups
+from tributary.operators import engine, memo, rollups
 from tributary.plans import views as v
 from tributary.plans.base import query
 
@@ -304,6 +304,43 @@ def r3(s, d):
     return plain(s, d).agg(F.countDistinct("source").alias("sources"), F.count("*").alias("units"))
 
 
+#: Capacity of the table of results, as the origin's cache has it.
+CAPACITY = 512
+
+MEMO = f"""with {v.FINDINGS}, k as (select event_id % 2 as run, sha256(chr(10) || path || ':' || line || ':' || sha) as key, any_value(length(path || ':' || line || ':' || sha)) as n_chars, count(*) as asked from findings group by 1, 2),
+t0 as (select key, n_chars, 0 as epoch from k where run = 0 order by key limit {CAPACITY}),
+h1 as (select key, any_value(n_chars) as n_chars, max(epoch) as epoch from (select * from t0 union all select key, n_chars, 1 from k where run = 1) group by 1),
+t1 as (select * from h1 order by epoch desc, key limit {CAPACITY})"""
+
+
+def memo_runs(s, d):
+    """Two runs of requests over one table of results."""
+    f = v.findings(s, d).select("event_id", F.concat_ws(":", "path", "line", "sha").alias("text"))
+    compute = lambda c: c.select("key", F.length("text").alias("n_chars"))
+    first = memo.run(None, f.where("event_id % 2 = 0"), 0, compute, CAPACITY)
+    return first, memo.run(first.table, f.where("event_id % 2 = 1"), 1, compute, CAPACITY)
+
+
+@query("r3_memo_counts", f"""{MEMO}
+select 0 as epoch, sum(asked)::bigint as requests, (sum(asked) - count(*))::bigint as hits, count(*) as misses, greatest(count(*) - {CAPACITY}, 0) as evicted, (select count(*) from t0) as kept from k where run = 0
+union all
+select 1, sum(asked)::bigint, (sum(asked) - count(*) filter (key not in (select key from t0)))::bigint, count(*) filter (key not in (select key from t0)), (select count(*) from h1) - (select count(*) from t1), (select count(*) from t1) from k where run = 1""")
+def r3_counts(s, d):
+    first, second = memo_runs(s, d)
+    return first.counts.unionByName(second.counts)
+
+
+@query("r3_memo_table", f"{MEMO} select key, n_chars, epoch from t1")
+def r3_table(s, d):
+    return memo_runs(s, d)[1].table.select("key", "n_chars", "epoch")
+
+
+@query("r3_memo_answers", f"with {v.FINDINGS} select event_id, length(path || ':' || line || ':' || sha) as n_chars from findings where event_id % 2 = 1")
+def r3_answers(s, d):
+    """Answers of the second run, from the table and from what it computes."""
+    return memo_runs(s, d)[1].answers.select("event_id", "n_chars")
+
+
 def flagship(s, d):
     """Findings of the analyzer by repository file, over the units made from events."""
     f = engine.findings(plain(s, d)).where("parse_error is null")

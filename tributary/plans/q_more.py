@@ -285,18 +285,31 @@ def seen(rows: str) -> str:
     return f"(select {v.FINGERPRINT} as _id, any_value(login) as login, any_value(repo) as repo, any_value(source) as source, max_by(level, cast(found_at as varchar) || lpad(cast(event_id as varchar), 12, '0')) as level, min(found_at) as first_seen, max(found_at) as last_seen from findings where {rows} group by 1)"
 
 
-SECOND = "event_id % 2 = 1 and login <> 'org3'"
+#: Five batches; all but the first touch some scopes only, and expire what they lack there.
+BATCHES = ("event_id % 2 = 0", "event_id % 2 = 1 and login <> 'org3'", "event_id % 5 = 0 and login in ('org1', 'org2')", "event_id % 3 = 0 and login = 'org1'", "event_id % 7 < 3 and login in ('org3', 'org4')")
 
 
-@query("r1_streamed_store", f"""{W}, a as {seen('event_id % 2 = 0')}, b as {seen(SECOND)},
-kept as (select * from a where not exists (select 1 from b where b.login = a.login and b.repo = a.repo and b.source = a.source) or _id in (select _id from b))
-select _id, coalesce(b.level, k.level) as level, least(k.first_seen, b.first_seen) as first_seen, greatest(k.last_seen, b.last_seen) as last_seen from kept k full join b using (_id)""")
-def r1(s, d):
-    """The store after a stream of two batches, the second of which expires what it lacks in the scopes that it touches."""
+def after_batches(batches) -> str:
+    """CTEs b0, b1, ... of batches and s0, s1, ... of the store after each."""
+    out = [f"b{i} as {seen(x)}" for i, x in enumerate(batches)] + ["s0 as (select * from b0)"]
+    for i in range(1, len(batches)):
+        kept = f"select * from s{i - 1} a where not exists (select 1 from b{i} b where b.login = a.login and b.repo = a.repo and b.source = a.source) or _id in (select _id from b{i})"
+        both = ", ".join(f"coalesce(b.{c}, k.{c}) as {c}" for c in ("login", "repo", "source", "level"))
+        out.append(f"s{i} as (select _id, {both}, least(k.first_seen, b.first_seen) as first_seen, greatest(k.last_seen, b.last_seen) as last_seen from ({kept}) k full join b{i} b using (_id))")
+    return ", ".join(out)
+
+
+def streamed(s, f, batches):
+    """The place of a store fed by a stream with a batch for each condition."""
     place = f"{rounds.folder(s)}/stream-{uuid.uuid4().hex}"
-    f = v.findings(s, d)
-    for part in ("event_id % 2 = 0", SECOND):  # a batch for each file, in the order of their times
-        f.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    stream = s.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-    store.start(stream, f"{place}/out", f"{place}/at").awaitTermination()
-    return store.current(s, f"{place}/out", 1).select("_id", "level", "first_seen", "last_seen")
+    for i, part in enumerate(batches):
+        f.where(part).write.parquet(f"{place}/in/{i}")
+        stream = s.readStream.schema(f.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
+        store.start(stream, f"{place}/out", f"{place}/at").awaitTermination()
+    return f"{place}/out"
+
+
+@query("r1_streamed_store", f"{W}, {after_batches(BATCHES)} select _id, level, first_seen, last_seen from s4")
+def r1(s, d):
+    """The store after a stream of five batches, merged on read from a compacted base and the log of later batches."""
+    return store.current(s, streamed(s, v.findings(s, d), BATCHES), len(BATCHES) - 1).select("_id", "level", "first_seen", "last_seen")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tributary.operators import contracts, graphs, merge
+from tributary.operators import contracts, graphs, intervals, merge
 from tributary.plans import views as v
 from tributary.plans.base import query
 from tributary.sources import records
@@ -148,9 +148,8 @@ REGIONS = "regions as (select repo, path, min(line) as s, min(line) + 3 as e fro
 @query("j7_outside_safe_regions", f"{W}, {REGIONS} select event_id from findings f where source = 'ci' and not exists (select 1 from regions r where r.repo = f.repo and r.path = f.path and f.line between r.s and r.e)")
 def j7(s, d):
     f = v.findings(s, d)
-    r = f.where("source = 'live'").groupBy("repo", "path").agg(F.min("line").alias("s"), (F.min("line") + 3).alias("e")).alias("r")
-    c = f.where("source = 'ci'").alias("c")
-    return c.join(r, F.expr("c.repo = r.repo and c.path = r.path and c.line between r.s and r.e"), "left_anti").select("event_id")
+    r = f.where("source = 'live'").groupBy("repo", "path").agg(F.min("line").alias("s"), (F.min("line") + 3).alias("e"))
+    return intervals.outside(f.where("source = 'ci'").select("event_id", "repo", "path", "line"), r, ["repo", "path"], "line", "s", "e").select("event_id")
 
 
 FUNCS = "funcs as (select repo as unit, func, min(line) as f1, max(line) as f2 from findings where level = 'error' group by 1, 2), pts as (select distinct repo as unit, line from findings where source = 'live')"

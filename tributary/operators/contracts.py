@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators import skew
+
 #: What a contract may say.
 BEHAVIORS = ["CLOSES_INPUT", "PRESERVES_INPUT", "CREATES_RESOURCE", "RETURNS_RESOURCE", "TRANSFERS_OWNERSHIP", "CONDITIONAL_CLOSE", "UNKNOWN"]
 OWNERSHIPS = ["BORROW", "CONSUME", "TRANSFER", "RETURN", "UNKNOWN"]
@@ -55,14 +57,37 @@ def canonical(calls: DataFrame, imports: DataFrame) -> DataFrame:
     return c.withColumn("resolved", F.when(F.col("canonical").isNull(), F.col("call_name")).otherwise(F.concat("canonical", F.expr("substring(call_name, length(__head) + 1)")))).drop("__head", "canonical")
 
 
-def matched(calls: DataFrame, specs: DataFrame, name: str = "resolved") -> DataFrame:
-    """Calls with the first spec (acquire, release, pos) that they match: equal names, or one a dotted suffix of the other.
+def suffixes(name: str) -> Column:
+    """The dotted suffixes of a name, the whole name first."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
 
-    Both of a matching pair end in the same segment, so the join is an equi-join on it with the suffix test on top.
+def hits(calls: DataFrame, specs: DataFrame, name: str, *totals: Column) -> DataFrame:
+    """(name, totals) of each different name of ``calls`` over all specs that it matches: equal names, or one a dotted
+    suffix of the other.
+
+    Either a spec is a suffix of the name (the name is one, too), or the name is a shorter suffix of the spec. So both
+    sides give keys marked with the kind of match that they are for, and equal keys are a match, each pair once: a common
+    last segment is a key only where it is the whole name on one side. Specs are summed up by key before they meet names.
     """
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    s = specs.withColumn("__last", last("acquire"))
-    c, a = F.col(name), F.col("acquire")
-    hit = (c == a) | c.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), c))
-    j = calls.withColumn("__last", last(name)).join(s, "__last").where(hit)
-    return j.groupBy(*calls.columns).agg(F.min_by(F.struct("acquire", "release"), "pos").alias("m")).select(*calls.columns, "m.acquire", "m.release")
+    names = calls.select(name).distinct()
+    whole, part = F.lit("spec is whole"), F.lit("name is whole")
+    mark = lambda keys, kind: F.transform(keys, lambda k: F.struct(k.alias("key"), kind.alias("kind")))
+    own = suffixes("acquire")
+    dealt = specs.select("*", F.explode(F.concat(mark(F.slice(own, 1, 1), whole), mark(F.slice(own, 2, F.size(own)), part))).alias("k"))
+    asked = names.select(name, F.explode(F.concat(mark(suffixes(name), whole), mark(F.array(name), part))).alias("k"))
+    dealt = dealt.select(*specs.columns, "k.key", "k.kind").groupBy("key", "kind").agg(F.collect_list(F.struct(*specs.columns)).alias("specs"))
+    met = skew.salted(asked.select(name, "k.key", "k.kind"), dealt, ["key", "kind"], "inner")
+    return met.select(name, F.explode("specs").alias("s")).select(name, "s.*").groupBy(name).agg(*totals)
+
+
+def matched(calls: DataFrame, specs: DataFrame, name: str = "resolved") -> DataFrame:
+    """Calls with the first spec (acquire, release, pos) that they match; calls without one go."""
+    best = hits(calls, specs, name, F.min_by(F.struct("acquire", "release"), "pos").alias("m"))
+    return skew.salted(calls, best, [name], "inner").select(*calls.columns, "m.acquire", "m.release")
+
+
+def match_counts(calls: DataFrame, specs: DataFrame, name: str = "resolved") -> DataFrame:
+    """Calls with the number of specs that they match; calls without one go."""
+    return skew.salted(calls, hits(calls, specs, name, F.count("*").alias("specs")), [name], "inner")

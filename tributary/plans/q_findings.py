@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tributary.operators import merge, predicates, rollups
+from tributary.operators import merge, predicates, rollups, trigrams
 from tributary.plans import views as v
 from tributary.plans.base import query
 
@@ -338,7 +338,14 @@ def w12(s, d):
 
 @query("p1_filter_findings", f"{W} select event_id, path, func from findings where level = 'error' and branch = 'main' and contains(lower(concat_ws(' ', path, message, title, coalesce(func, ''), branch)), lower(trim(' F3 '))) ")
 def p1(s, d):
-    return predicates.filter_findings(v.findings(s, d), level="error", branch="main", text=" F3 ").select("event_id", "path", "func")
+    f = v.findings(s, d).where("level = 'error' and branch = 'main'")
+    hay = F.concat_ws(" ", "path", "message", "title", F.coalesce("func", F.lit("")), "branch")
+    return trigrams.build(f, "event_id", {"all": hay}).search([[("all", " F3 ".strip())]]).select("event_id", "path", "func")
+
+
+@query("p1_scanned_findings", f"{W} select event_id, path, func from findings where level = 'error' and branch = 'main' and contains(lower(concat_ws(' ', path, message, title, coalesce(func, ''), branch)), 'f12') ")
+def p1_scan(s, d):
+    return predicates.filter_findings(v.findings(s, d), level="error", branch="main", text=" F12 ").select("event_id", "path", "func")
 
 
 @query("p2_relevant_annotations", f"{W} select event_id from findings where contains(lower(title || ' ' || message), 'resource leak in f1') or contains(lower(title || ' ' || message), 'purchase is never closed')")
@@ -394,18 +401,20 @@ def p15(s, d):
 
 @query("p16_rule_search", "select p_partkey, p_name from part where contains(lower(p_type), 'eco') and (contains(lower(p_name), 'widget') or contains(lower(p_brand), 'widget'))")
 def p16(s, d):
-    return v.table(s, d, "part").where(predicates.mentions(["eco"], "p_type") & (predicates.mentions(["widget"], "p_name") | predicates.mentions(["widget"], "p_brand"))).select("p_partkey", "p_name")
+    index = trigrams.build(v.table(s, d, "part"), "p_partkey", {c: F.col(c) for c in ("p_type", "p_name", "p_brand")})
+    return index.search([[("p_type", "eco")], [("p_name", "widget"), ("p_brand", "widget")]]).select("p_partkey", "p_name")
 
 
 @query("p17_commit_search", f"with {v.COMMITS} select event_id from commits where contains(lower(coalesce(message, '')), 'ab1') or contains(full_sha, 'ab1') or contains(lower(coalesce(author, '')), 'ab1')")
 def p17(s, d):
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    return v.commits(s, d).where(F.lower(blank("message")).contains("ab1") | F.col("full_sha").contains("ab1") | F.lower(blank("author")).contains("ab1")).select("event_id")
+    index = trigrams.build(v.commits(s, d), "event_id", {c: F.col(c) for c in ("message", "full_sha", "author")})
+    return index.search([[(c, "ab1") for c in index.fields]]).select("event_id")
 
 
 @query("p18_file_search", f"with {v.FILES} select path from repo_files where contains(lower(path), 'red') order by path limit 300")
 def p18(s, d):
-    return v.repo_files(s, d).where(F.lower("path").contains("red")).orderBy("path").limit(300).select("path")
+    index = trigrams.build(v.repo_files(s, d).select("p_partkey", "path"), "p_partkey", {"path": F.col("path")})
+    return index.search([[("path", "red")]]).orderBy("path").limit(300).select("path")
 
 
 KEY = "case c_custkey % 6 when 0 then 'TEAM-1' when 1 then 'x-business' when 2 then 'enterprise' when 3 then 'business-ent' when 4 then '' else 'free' end"

@@ -247,10 +247,7 @@ def j2(s, d):
 @query("p8_matching_specs", f"with {CALLS}, {IMPORTS}, {SPECS}, {RESOLVED} select event_id, count(*) as specs from resolved, specs where {HITS} group by 1")
 def p8(s, d):
     r = contracts.canonical(calls(s, d), imports(s)).select("event_id", "resolved")
-    c, a = F.col("resolved"), F.col("acquire")
-    last = lambda x: F.element_at(F.split(x, r"\."), -1)
-    j = r.withColumn("last", last("resolved")).join(specs(s).withColumn("last", last("acquire")), "last")
-    return j.where((c == a) | c.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), c))).groupBy("event_id").agg(F.count("*").alias("specs"))
+    return contracts.match_counts(r, specs(s)).select("event_id", "specs")
 
 
 CON = "contracts(pos, library, function, behavior) as (values (0, 'builtins', 'open', 'CREATES_RESOURCE'), (1, 'db', 'connect', 'RETURNS_RESOURCE'), (2, 'db', 'connect', 'UNKNOWN'), (3, 'a.b', 'open', 'PRESERVES_INPUT'))"

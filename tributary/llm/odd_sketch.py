@@ -32,7 +32,7 @@ WIDTH, BITS = 4, 512
 THRESHOLD, TOLERANCE = Fraction(4, 5), 1e-6
 
 #: Texts that one task compares with the middle of a star; texts, and shingles in them, of one block of step 4.
-STAR, PART, PART_SHINGLES = 256, 128, 2 << 20
+STAR, PART, PART_SHINGLES = 64, 128, 2 << 20
 
 _rng = np.random.default_rng(20261127)
 FOLDS = _rng.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -275,10 +275,16 @@ def star_links(sets: DataFrame) -> DataFrame:
     return dealt.repartition("m", "c").sortWithinPartitions("m", "c", "outer").mapInArrow(star_kernel, "a bigint, b bigint")
 
 
-def part_links(sets: DataFrame, parts: DataFrame) -> DataFrame | None:
-    """Links between different parts of one component; None where every component is one part."""
-    rows = sets.select("rid", "root", "n").join(parts.select(F.col("node").alias("rid"), F.col("root").alias("part")), "rid", "left")
-    rows = rows.withColumn("part", F.coalesce("part", "rid"))
+def part_links(sets: DataFrame, stars: DataFrame) -> DataFrame | None:
+    """Links between different parts of one component; None where every component is one part.
+
+    The part of a text is the middle that it is linked with, or that middle's own, four steps up at most: texts that the
+    stars unite by longer ways are in different parts and may be compared once more.
+    """
+    up = stars.select(F.col("b").alias("rid"), F.col("a").alias("part"))
+    for _ in range(2):
+        up = up.join(up.select(F.col("rid").alias("part"), F.col("part").alias("above")), "part", "left").select("rid", F.coalesce("above", "part").alias("part"))
+    rows = sets.select("rid", "root", "n").join(up, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
     sizes = rows.groupBy("root", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w")).groupBy("root")
     sizes = sizes.agg(F.count("*").alias("parts"), F.max(F.struct("m", "part", "w")).alias("most"), F.sum("m").alias("m"), F.sum("w").alias("w")).where("parts > 1")
     n = lambda m, w: F.ceil(F.greatest(m / PART, w / PART_SHINGLES)).cast("int")
@@ -313,10 +319,9 @@ def components(docs: DataFrame) -> DataFrame:
     edges = common.materialized(candidates(reps))
     near = graph.components(edges.select("a", "b"))
     sets = common.materialized(candidate_sets(docs, reps, near, edges))
-    parts = graph.components(common.materialized(star_links(sets)))
-    links = part_links(sets, parts)
-    if links is not None:
-        parts = graph.components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    stars = common.materialized(star_links(sets))
+    links = part_links(sets, stars)
+    parts = graph.components(stars if links is None else stars.union(links))
     named = reps.select("rid", "nid", "docs", "first").join(parts.withColumnRenamed("node", "rid"), "rid", "left").where("docs > 1 or root is not null")
     named = named.select("nid", "first", F.coalesce("root", "rid").alias("root"))
     named = common.salted(named, named.groupBy("root").agg(F.min("first").alias("component_id")).hint("merge"), "root").select("nid", "component_id", F.lit(True).alias("named"))

@@ -167,14 +167,50 @@ def test_bytes_written_by_hand_are_parsed():
     # a segment and a first cluster of unknown size; the second cluster ends the first
     data = bytes.fromhex("1a45dfa3 8b 4282 88") + b"matroska" + bytes.fromhex("18538067 01ffffffffffffff") + info + tracks + bytes.fromhex("1f43b675 ff") + first + bytes.fromhex("1f43b675") + size(len(second)) + second
     got = matroska.parse(data)
-    packets = [(t, when, key, data[p : p + n], cluster, lace) for t, when, key, p, n, cluster, lace in got["packets"]]
+    packets = [(t, when, key, data[p : p + n], cluster, lace) for t, when, key, p, n, cluster, lace, _ in got["packets"]]
     ms = 1_000_000
     assert packets[:3] == [(1, 100 * ms, False, a, 0, 0), (1, 100 * ms, False, b, 0, 1), (1, 100 * ms, False, c, 0, 2)]
-    assert packets[3:6] == [(2, 116 * ms, False, a, 0, 0), (2, 116 * ms, False, b, 0, 1), (2, 116 * ms, False, c, 0, 2)]
+    # a group that refers to no other block is a key frame
+    assert packets[3:6] == [(2, 116 * ms, True, a, 0, 0), (2, 116 * ms, True, b, 0, 1), (2, 116 * ms, True, c, 0, 2)]
     assert packets[6:] == [(1, 510 * ms, True, b"xy", 1, 0), (1, 510 * ms, True, b"zw", 1, 1)]
     assert matroska.vint(800, 2) == bytes.fromhex("4320") and matroska.read_vint(bytes.fromhex("10000001"), 0, 4) == (1, 4)
 
 
+def test_times_of_laced_frames_key_frames_and_cues_written_by_hand():
+    """Durations by track and by group, the three lacings, references, two tracks in one cue point, a track's scale."""
+    xiph = bytes.fromhex("81 0000 82 02 0102") + b"abbccc"  # three frames of 1, 2 and 3 bytes, at 0
+    fixed = bytes.fromhex("81 000a 84 01") + b"xyzw"  # two frames, at 10
+    ebml = bytes.fromhex("82 0014 06 02 81 c0") + b"abbccc"  # track 2 at 20: 1, 2 (one more) and 3 bytes
+    assert [n for _, n in matroska.laced(ebml, 4, len(ebml), 3)] == [1, 2, 3]
+    info = bytes.fromhex("1549a966 87 2ad7b1 83 0f4240")
+    one = bytes.fromhex("ae 8d d7 81 01 83 81 02 23e383 83 4c4b40")  # track 1: 5 ms a frame
+    two = bytes.fromhex("ae 8e d7 81 02 83 81 01 23314f 84 40000000")  # track 2: its times count twice
+    tracks = bytes.fromhex("1654ae6b") + bytes([0x80 | len(one + two)]) + one + two
+    el = lambda kind, body: bytes.fromhex(kind) + bytes([0x80 | len(body)]) + body
+    groups = el("a0", el("a1", ebml) + el("9b", b"\x1e") + el("fb", b"\xff")) + el("a0", el("a1", bytes.fromhex("82 0032 00") + b"q") + el("9b", b"\x07"))
+    body = bytes.fromhex("e7 81 64") + el("a3", xiph) + el("a3", fixed) + groups
+    cluster = el("1f43b675", el("bf", zlib.crc32(body).to_bytes(4, "little")) + body)
+    cues = el("1c53bb6b", el("bb", bytes.fromhex("b3 81 64") + el("b7", bytes.fromhex("f7 81 01 f1 81 40")) + el("b7", bytes.fromhex("f7 81 02 f1 81 40"))))
+    inner = info + tracks + cluster + cues
+    data = bytes.fromhex("1a45dfa3 80 18538067 01") + len(inner).to_bytes(7, "big") + inner
+    ms = 1_000_000
+    got = [(r["track"], r["timestamp_ns"] / ms, r["keyframe"], data[r["byte_offset"] :][: r["byte_length"]], r["duration_ns"] / ms, r["cued"]) for r in matroska.packet_rows(data)]
+    assert got[:3] == [(1, 100, True, b"a", 5, True), (1, 105, True, b"bb", 5, False), (1, 110, True, b"ccc", 5, False)]
+    assert got[3:5] == [(1, 110, True, b"xy", 5, False), (1, 115, True, b"zw", 5, False)]
+    assert got[5:] == [(2, 140, False, b"a", 10, False), (2, 150, False, b"bb", 10, False), (2, 160, False, b"ccc", 10, False), (2, 200, True, b"q", 7, False)]
+    assert [c[:2] for c in matroska.parse(data)["cues"]] == [(1, 100 * ms), (2, 100 * ms)]
+    with pytest.raises(matroska.Malformed, match="checksum"):
+        matroska.parse(data.replace(b"xyzw", b"xyzv"))
+
+
+def test_stored_frames_follow_each_other():
+    for frames, ms in ((8, 576), (20, 1440), (1, 72), (300, 21600)):
+        payload = bytes(range(256)) * (576 * frames // 256) + b"\x80" * (576 * frames % 256)
+        found = matroska.parse(matroska.store(payload))
+        assert [p[1] for p in found["packets"]] == [72_000_000 * i for i in range(frames)]
+        assert f";ms={ms};" in matroska.feature(payload, found)
+
+
 def test_malformed_media_is_an_error_row(spark):
     media = spark.createDataFrame([(1, bytearray(b"")), (2, bytearray(b"\x1aE\xdf\xa3\x85abc")), (3, None), (4, bytearray(matroska.store(matroska.padded(b"x"))))], "id int, media binary")
     got = {r["id"]: (r["parse_error"] is None, r["byte_length"]) for r in matroska.packet_table(media, "media", ("id",)).collect()}

@@ -3,7 +3,12 @@
 ``store`` puts a payload into a Matroska file as an uncompressed 8-bit audio track: EBML header, segment, info, track
 table, clusters of laced simple blocks, and cues. ``parse`` reads any such file: variable-length EBML elements of known
 or unknown size, clusters, simple blocks and block groups with Xiph, fixed-size or EBML lacing, and cues, and yields a
-packet table (track, timestamp, byte range). ``read_back`` joins the byte ranges of a track.
+packet table (track, timestamp, duration, key frame, byte range). ``read_back`` joins the byte ranges of a track.
+
+The frames of a lace follow each other by their duration: that of the block group divided among them, or the default of
+their track; where a file says neither, they share the timestamp of their block. A block of a group is a key frame if the
+group refers to no other block. Times inside a block count by the scale of its track. A checksum that does not fit is an
+error.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067,
 TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, TRACK_UID, CODEC_ID, AUDIO = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x73C5, 0x86, 0xE1
 SAMPLING, CHANNELS, BIT_DEPTH, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xB5, 0x9F, 0x6264, 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, VOID, CRC32, TAGS, CHAPTERS, ATTACHMENTS = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xEC, 0xBF, 0x1254C367, 0x1043A770, 0x1941A469
+DEFAULT_DURATION, TRACK_SCALE, BLOCK_DURATION, REFERENCE = 0x23E383, 0x23314F, 0x9B, 0xFB
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION, MUXING_APP, WRITING_APP = 0x4282, 0x4287, 0x4285, 0x4D80, 0x5741
 TOP = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, TAGS, CHAPTERS, ATTACHMENTS}
 
@@ -80,7 +86,7 @@ def store(payload: bytes, lacing: str = "fixed") -> bytes:
     head = element(EBML, element(DOC_TYPE, b"matroska") + element(DOC_VERSION, b"\x04") + element(DOC_READ_VERSION, b"\x02"))
     info = element(INFO, element(TIMESTAMP_SCALE, number(1_000_000)) + element(MUXING_APP, b"tributary") + element(WRITING_APP, b"tributary"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + element(CHANNELS, b"\x01") + element(BIT_DEPTH, b"\x08"))
-    tracks = element(TRACKS, element(TRACK_ENTRY, element(TRACK_NUMBER, b"\x01") + element(TRACK_UID, b"\x01") + element(TRACK_TYPE, b"\x02") + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, element(TRACK_NUMBER, b"\x01") + element(TRACK_UID, b"\x01") + element(TRACK_TYPE, b"\x02") + element(CODEC_ID, b"A_PCM/INT/LIT") + element(DEFAULT_DURATION, number(FRAME * 1_000_000_000 // RATE)) + audio))
     ms = FRAME * 1000 // RATE
     parts, cues, at = [info, tracks], [], len(info) + len(tracks)
     per = FRAME * LACE * BLOCKS
@@ -197,12 +203,53 @@ def laced(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
+def real(data: bytes, a: int, b: int) -> float:
+    """A floating-point element of four or eight bytes; one without bytes is 0."""
+    if b - a not in (0, 4, 8):
+        raise Malformed("bad floating-point element")
+    return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
+
+
+def checked(data: bytes, a: int, b: int) -> list[tuple[int, int, int]]:
+    """The children of an element, whose checksum, if there is one, must fit all that follows it."""
+    found = list(children(data, a, b))
+    if found and found[0][0] == CRC32 and int.from_bytes(data[found[0][1] : found[0][2]], "little") != zlib.crc32(data[found[0][2] : b]):
+        raise Malformed("checksum does not fit")
+    return found
+
+
+def track_entry(data: bytes, a: int, b: int) -> dict:
+    e = {k: (x, y) for k, x, y in children(data, a, b)}
+    sound = {k: (x, y) for k, x, y in children(data, *e[AUDIO])} if AUDIO in e else {}
+    get = lambda m, k, d=0: unsigned(data, *m[k]) if k in m else d
+    codec = data[slice(*e[CODEC_ID])].decode("ascii", "replace") if CODEC_ID in e else ""
+    scale = real(data, *e[TRACK_SCALE]) if TRACK_SCALE in e else 1.0
+    return {"track": get(e, TRACK_NUMBER), "type": get(e, TRACK_TYPE), "codec": codec, "channels": get(sound, CHANNELS, 1), "bit_depth": get(sound, BIT_DEPTH), "default_ns": get(e, DEFAULT_DURATION), "scale": scale}
+
+
+def block_packets(data: bytes, a: int, b: int, when: int, scale: int, tracks: dict[int, dict], cluster: int, group: list[tuple[int, int, int]] | None) -> list[tuple]:
+    """Packets of one block; ``group`` holds the elements of its block group, None for a simple block."""
+    track, at = read_vint(data, a, b)
+    if at + 3 > b:
+        raise Malformed("cut block")
+    rel, flags = struct.unpack_from(">hB", data, at)
+    lace = flags >> 1 & 3
+    spans = laced(data, at + 3, b, lace) if lace else [(at + 3, b - at - 3)]
+    entry = tracks.get(track, {"default_ns": 0, "scale": 1.0})
+    whole = next((unsigned(data, x, y) for k, x, y in group or () if k == BLOCK_DURATION), None)
+    step = entry["default_ns"] if whole is None else whole * scale // len(spans)
+    key = bool(flags & 0x80) if group is None else all(k != REFERENCE for k, _, _ in group)
+    start = round((when + rel * entry["scale"]) * scale)
+    return [(track, start + i * step, key, p, n, cluster, i, step) for i, (p, n) in enumerate(spans)]
+
+
 def parse(data: bytes) -> dict:
-    """Tracks, packets (track, timestamp, keyframe, byte range, cluster, lace) and cues of a file."""
-    tracks: list[dict] = []
+    """Tracks, packets (track, timestamp, keyframe, byte range, cluster, lace, duration) and cues (track, timestamp, place
+    of the cluster) of a file; a cue point of several tracks is a cue of each."""
+    tracks: dict[int, dict] = {}
     packets: list[tuple] = []
     cues: list[tuple] = []
-    scale, clusters = 1_000_000, []
+    scale, clusters = 1_000_000, 0
     top = list(children(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         raise Malformed("no EBML header")
@@ -212,52 +259,55 @@ def parse(data: bytes) -> dict:
         base = a
         for kind, a, b in children(data, a, b):
             if kind == INFO:
-                scale = next((unsigned(data, x, y) for k, x, y in children(data, a, b) if k == TIMESTAMP_SCALE), scale)
+                scale = next((unsigned(data, x, y) for k, x, y in checked(data, a, b) if k == TIMESTAMP_SCALE), scale)
             elif kind == TRACKS:
-                for k, x, y in children(data, a, b):
-                    if k == TRACK_ENTRY:
-                        e = {k2: (x2, y2) for k2, x2, y2 in children(data, x, y)}
-                        sound = {k2: (x2, y2) for k2, x2, y2 in children(data, *e[AUDIO])} if AUDIO in e else {}
-                        get = lambda m, k2, d=0: unsigned(data, *m[k2]) if k2 in m else d
-                        tracks.append({"track": get(e, TRACK_NUMBER), "type": get(e, TRACK_TYPE), "codec": data[slice(*e[CODEC_ID])].decode("ascii", "replace") if CODEC_ID in e else "", "channels": get(sound, CHANNELS, 1), "bit_depth": get(sound, BIT_DEPTH)})
+                entries = [track_entry(data, x, y) for k, x, y in checked(data, a, b) if k == TRACK_ENTRY]
+                tracks |= {e["track"]: e for e in entries}
             elif kind == CLUSTER:
-                clusters.append(a - base)
                 when = 0
-                for k, x, y in children(data, a, b):
+                for k, x, y in checked(data, a, b):
                     if k == TIMESTAMP:
                         when = unsigned(data, x, y)
-                    blocks = [(k, x, y)] if k == SIMPLE_BLOCK else [z for z in children(data, x, y) if z[0] == BLOCK] if k == BLOCK_GROUP else []
-                    for k2, x2, y2 in blocks:
-                        track, at = read_vint(data, x2, y2)
-                        if at + 3 > y2:
-                            raise Malformed("cut block")
-                        rel, flags = struct.unpack_from(">hB", data, at)
-                        lace = flags >> 1 & 3
-                        spans = laced(data, at + 3, y2, lace) if lace else [(at + 3, y2 - at - 3)]
-                        for i, (p, n) in enumerate(spans):
-                            packets.append((track, (when + rel) * scale, bool(flags & 0x80), p, n, len(clusters) - 1, i))
+                    elif k == SIMPLE_BLOCK:
+                        packets += block_packets(data, x, y, when, scale, tracks, clusters, None)
+                    elif k == BLOCK_GROUP:
+                        group = list(children(data, x, y))
+                        for _, x2, y2 in [z for z in group if z[0] == BLOCK]:
+                            packets += block_packets(data, x2, y2, when, scale, tracks, clusters, group)
+                clusters += 1
             elif kind == CUES:
-                for k, x, y in children(data, a, b):
+                for k, x, y in checked(data, a, b):
                     if k == CUE_POINT:
-                        point = {k2: (x2, y2) for k2, x2, y2 in children(data, x, y)}
-                        where = {k2: (x2, y2) for k2, x2, y2 in children(data, *point[CUE_POSITIONS])} if CUE_POSITIONS in point else {}
-                        if CUE_CLUSTER in where and CUE_TIME in point:
-                            cues.append((unsigned(data, *where[CUE_TRACK]) if CUE_TRACK in where else 0, unsigned(data, *point[CUE_TIME]) * scale, base + unsigned(data, *where[CUE_CLUSTER])))
-    return {"tracks": tracks, "packets": packets, "cues": cues, "scale": scale}
+                        point = list(children(data, x, y))
+                        time = next((unsigned(data, x2, y2) for k2, x2, y2 in point if k2 == CUE_TIME), None)
+                        for _, x2, y2 in [z for z in point if z[0] == CUE_POSITIONS and time is not None]:
+                            where = {k3: unsigned(data, x3, y3) for k3, x3, y3 in children(data, x2, y2) if k3 in (CUE_TRACK, CUE_CLUSTER)}
+                            if CUE_CLUSTER in where:
+                                cues.append((where.get(CUE_TRACK, 0), time * scale, base + where[CUE_CLUSTER]))
+    return {"tracks": [*tracks.values()], "packets": packets, "cues": cues, "scale": scale}
 
 
 def read_back(data: bytes, found: dict, track: int = 1) -> bytes:
-    return b"".join([data[p : p + n] for t, _, _, p, n, _, _ in found["packets"] if t == track])
+    return b"".join([data[p[3] : p[3] + p[4]] for p in found["packets"] if p[0] == track])
+
+
+PACKET_DDL = "packets array<struct<track:int,timestamp_ns:bigint,keyframe:boolean,byte_offset:bigint,byte_length:bigint,cluster:int,lace:int,duration_ns:bigint,cued:boolean>>, parse_error string"
+PACKET_FIELDS = ["track", "timestamp_ns", "keyframe", "byte_offset", "byte_length", "cluster", "lace", "duration_ns", "cued"]
 
 
-PACKET_DDL = "packets array<struct<track:int,timestamp_ns:bigint,keyframe:boolean,byte_offset:bigint,byte_length:bigint,cluster:int,lace:int>>, parse_error string"
-PACKET_FIELDS = ["track", "timestamp_ns", "keyframe", "byte_offset", "byte_length", "cluster", "lace"]
+def packet_rows(data: bytes) -> list[dict]:
+    """The packet table of one file; ``cued`` marks packets that a cue of their track points to by its time."""
+    found = parse(data)
+    cued = {(t, when) for t, when, _ in found["cues"]}
+    return [dict(zip(PACKET_FIELDS, (*p, p[:2] in cued))) for p in found["packets"]]
 
 
 def packet_table(media: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each packet of the Matroska files in a binary column, with the columns ``keep``.
 
-    Null, empty and malformed files have no packets; ``parse_error`` says why on the one row that they get.
+    Null, empty and malformed files have no packets; ``parse_error`` says why on the one row that they get. Repeated rows
+    give their packets again, and an empty table gives none; a file is parsed whole, however long. A kept column named
+    like a packet field, in whatever case, gives way to it.
     """
     import pyarrow as pa
 
@@ -269,14 +319,16 @@ def packet_table(media: DataFrame, column: str, keep: tuple[str, ...] = ()) -> D
         out = []
         for data in col.to_pylist():
             try:
-                out.append({"packets": [dict(zip(PACKET_FIELDS, p)) for p in parse(data or b"")["packets"]], "parse_error": None})
+                out.append({"packets": packet_rows(data or b""), "parse_error": None})
             except (Malformed, struct.error) as e:
                 out.append({"packets": [], "parse_error": str(e)})
         return pa.array(out, kind)
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    made = F.arrow_udf(run, returnType=struct_type)
-    return media.select(*keep, made(F.col(column)).alias("__m")).select(*keep, "__m.parse_error", F.explode_outer("__m.packets").alias("__p")).select(*keep, "parse_error", "__p.*")
+    kept = [F.col(f"`{c}`") for c in common.without(keep, ["parse_error", *PACKET_FIELDS])]
+    made, each = (common.free(n, keep) for n in ("__made", "__packet"))
+    parsed = media.select(*kept, F.arrow_udf(run, returnType=struct_type)(F.col(column)).alias(made))
+    return parsed.select(*kept, F.col(f"{made}.parse_error"), F.explode_outer(f"{made}.packets").alias(each)).select(*kept, "parse_error", f"{each}.*")
 
 
 def feature(payload: bytes, found: dict) -> str:
@@ -285,7 +337,7 @@ def feature(payload: bytes, found: dict) -> str:
     c = x.astype(np.int32) - 128
     total, square = int(x.sum(dtype=np.int64)), int((c * c).sum(dtype=np.int64))
     crossings = int(((c[1:] >= 0) != (c[:-1] >= 0)).sum())
-    last = max((p[1] for p in found["packets"]), default=0) // 1_000_000 + FRAME * 1000 // RATE
+    last = max((p[1] + p[7] for p in found["packets"]), default=0) // 1_000_000
     return f"packets={len(found['packets'])};cues={len(found['cues'])};ms={last};mean={total / len(x):.4f};rms={(square / len(x)) ** 0.5:.4f};crossings={crossings}"
 
 
@@ -313,7 +365,8 @@ def store_kernel(texts: list) -> dict:
 def as_media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """``docs`` with a binary column of Matroska files; a null text is stored as an empty one.
 
-    Each row is stored by itself, so repeated rows and texts of any length stay whole; a column named ``out`` is replaced.
+    Each row is stored by itself, so repeated rows and texts of any length stay whole, and an empty table gives an empty
+    one; a column named ``out`` is replaced.
     """
     common.bound_batches(docs.sparkSession)
     made = common.text_kernel(store_kernel, "media binary")(F.col(text))

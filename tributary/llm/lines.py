@@ -5,9 +5,9 @@ enough words. A block that two documents share, contiguous in both and of enough
 so the first holders of its windows lead to all of it, however many documents hold single lines of it. The windows that
 a later document shares with a first holder are aligned by patience diff (windows unique to both sides, longest
 increasing run, then the same between its anchors), and the lines of aligned windows are deleted from the later
-document, with all their other copies there. What is not aligned, for it stands in another order, goes if it belongs to
-a passage of repeated lines of CROSSED_WORDS words. The first holder's copy of a window is never what makes it repeated
-there.
+document, with all their other copies there. What is left, for it stands in another order, is aligned with the first
+holder again, until nothing that the two share is left. The first holder's copy of a window is never what makes it
+repeated there.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from . import common
 #: A block is deleted if it has this many words at least.
 BLOCK_WORDS = 10
 
-#: Repeated lines that no alignment holds go if as many words of them stand together. This is more than BLOCK_WORDS
-#: because of two crossed lines of 11 words one is to stay (tests/llm/test_methods.py).
-CROSSED_WORDS = 20
+#: Rounds in which what is left of two documents is aligned together; after them each window is aligned by itself, which
+#: deletes the same lines.
+ROUNDS = 8
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -163,23 +163,18 @@ def deleted(shared: list[tuple[list[int], list[int], bytes]]) -> list[int]:
 def gone(shared: dict[tuple, list[tuple[list[int], list[int], bytes]]]) -> tuple[list[int], list[int]]:
     """(places that go, first holders that have some of them) of a later document, given its shared windows by holder."""
     out: set[int] = set()
-    words: dict[int, int] = {}
-    held: dict[int, set[int]] = {}
-    for first, found in shared.items():
-        out.update(deleted(found))
-        mine = held[first] = set()
-        for at, _, count in found:
-            for p in at:
-                words.update(zip(range(p, p + len(count)), count))
-                mine.update(range(p, p + len(count)))
-    run: list[int] = []
-    for p in [*sorted(words), -9]:
-        if run and p != run[-1] + 1:
-            if sum(words[x] for x in run) >= CROSSED_WORDS:
-                out.update(run)
-            run = []
-        run.append(p)
-    return sorted(out), sorted({first[0] for first, mine in held.items() if mine & out})
+    sources: set[int] = set()
+    for first, left in shared.items():
+        for _ in range(ROUNDS):
+            cut = set(deleted(left))
+            out |= cut
+            left = [(rest, held, words) for at, held, words in left if (rest := [p for p in at if not cut.issuperset(range(p, p + len(words)))])]
+            if not cut or not left:
+                break
+        for window in left:
+            out.update(deleted([window]))
+        sources.add(first[0])
+    return sorted(out), sorted(sources)
 
 
 def places(packed: bytes) -> list[int]:

@@ -62,6 +62,8 @@ def test_store_equals_rows_taken_one_by_one(spark, tmp_path):
             day = lambda t: datetime(2024, 1, 1) + timedelta(days=t)
             want = {(k, f"{k[1]}||ci||{i}||"): (r[0], day(r[1]), day(r[2])) for (k, i), r in plain_store(batches[: b + 1]).items()}
             assert got == want, b
+            recount = store.current(spark, out, b).groupBy("repo", "branch", "source", "level", F.to_date("last_seen").alias("day")).agg(F.count("*").alias("n"))
+            assert sorted(map(tuple, store.counts(spark, out, b).collect())) == sorted(map(tuple, recount.collect()))
     assert compactions >= 2
     there = {f"{x.parent.name}/{x.name}" for x in (tmp_path / "out").glob("*/v=*")}
     assert there == after.folders() | before.folders() | {f"manifest/v={b}" for b in (8, 9, 10)}  # nothing else is left
@@ -85,7 +87,7 @@ def test_a_hot_scope_is_split(spark, tmp_path, monkeypatch):
     rows = [("o", "o/hot" if i % 10 else f"o/r{i % 70}", "ci", i, "error", i % 300) for i in range(20_000)]
     store.write(spark, out, 0, batch_of(spark, rows[:100]))
     m = store.write(spark, out, 1, batch_of(spark, rows))
-    parts = spark.read.parquet(f"{out}/base/v=1").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("repo") == "o/hot").alias("hot")).collect()
+    parts = spark.read.parquet(f"{out}/base/v=1/rows").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("repo") == "o/hot").alias("hot")).collect()
     assert m.buckets >= 8 and sum(r["hot"] for r in parts) == 18_000 and max(r["n"] for r in parts) < 3 * 20_000 / m.buckets
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators import rounds
+from tributary.operators import rounds, skew
 
 
 def count_where(cond: Column) -> Column:
@@ -102,3 +102,14 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each row
     begins = sizes.select("__part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     return part.join(F.broadcast(begins), "__part").select(*df.columns, (F.col("begin") + F.col("__at") - F.col("first") + 1).cast("bigint").alias(name))
+
+
+def paged(df: DataFrame, group: str, item: str, size: int) -> DataFrame:
+    """(group, page, items): the items of each group in order, ``size`` on a page, pages from 0 on.
+
+    Rows are numbered by ranges of (group, item), so a group of any size is spread, and no array holds more than a page.
+    """
+    rows = numbered(df.select(group, item), "__n", F.col(group), F.col(item))
+    begins = rows.groupBy(group).agg(F.min("__n").alias("__first"))
+    rows = skew.salted(rows, begins, [group]).withColumn("page", F.expr(f"(__n - __first) div {size}"))
+    return rows.groupBy(group, "page").agg(F.sort_array(F.collect_list(item)).alias("items"))

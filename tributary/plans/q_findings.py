@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tributary.operators import merge, predicates, rollups, trigrams
+from tributary.operators import merge, predicates, rollups, skew, trigrams
 from tributary.plans import views as v
 from tributary.plans.base import query
 
@@ -17,9 +17,14 @@ def a1(s, d):
     return v.findings(s, d).agg(*rollups.level_counts())
 
 
-@query("a2_group_by_branch", f"{W} select branch, {LEVELS}, list_sort(list(event_id)) as items from findings group by branch")
+#: Ids on a page of a group.
+PAGE = 500
+
+
+@query("a2_group_by_branch", f"{W}, g as (select branch, {LEVELS} from findings group by branch), p as (select branch, event_id, (row_number() over (partition by branch order by event_id) - 1) // {PAGE} as page from findings) select branch, page, error, warning, notice, total, items from g join (select branch, page, list_sort(list(event_id)) as items from p group by 1, 2) using (branch)")
 def a2_branch(s, d):
-    return v.findings(s, d).groupBy("branch").agg(*rollups.level_counts(), F.sort_array(F.collect_list("event_id")).alias("items"))
+    f = v.findings(s, d)
+    return skew.salted(rollups.paged(f, "branch", "event_id", PAGE), rollups.by_keys(f, "branch"), ["branch"])
 
 
 @query("a2_group_by_file", f"{W} select path, {LEVELS} from findings group by path")
@@ -170,8 +175,8 @@ def a15(s, d):
 
 @query("a16_batch_total", f"{W}, files as (select path, list(event_id) as leaks from findings group by path) select cast(sum(len(leaks)) as bigint) as total_leaks, count(*) as files from files")
 def a16(s, d):
-    g = v.findings(s, d).groupBy("path").agg(F.collect_list("event_id").alias("leaks"))
-    return g.agg(F.sum(F.size("leaks").cast("bigint")).alias("total_leaks"), F.count("*").alias("files"))
+    g = v.findings(s, d).groupBy("path").agg(F.count("event_id").alias("leaks"))
+    return g.agg(F.sum("leaks").alias("total_leaks"), F.count("*").alias("files"))
 
 
 VERDICT = "case event_id % 4 when 0 then 'confirmed_path_leak' when 1 then 'confirmed_exception_unsafe' when 2 then 'refuted_safe' else 'unverified' end"

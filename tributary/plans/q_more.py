@@ -282,7 +282,7 @@ def r6(s, d):
 
 def seen(rows: str) -> str:
     """The findings of a batch by identity, with the latest level and the times that they span."""
-    return f"(select {v.FINGERPRINT} as _id, any_value(login) as login, any_value(repo) as repo, any_value(source) as source, max_by(level, cast(found_at as varchar) || lpad(cast(event_id as varchar), 12, '0')) as level, min(found_at) as first_seen, max(found_at) as last_seen from findings where {rows} group by 1)"
+    return f"(select {v.FINGERPRINT} as _id, any_value(login) as login, any_value(branch) as branch, any_value(repo) as repo, any_value(source) as source, max_by(level, cast(found_at as varchar) || lpad(cast(event_id as varchar), 12, '0')) as level, min(found_at) as first_seen, max(found_at) as last_seen from findings where {rows} group by 1)"
 
 
 #: Five batches; all but the first touch some scopes only, and expire what they lack there.
@@ -294,22 +294,73 @@ def after_batches(batches) -> str:
     out = [f"b{i} as {seen(x)}" for i, x in enumerate(batches)] + ["s0 as (select * from b0)"]
     for i in range(1, len(batches)):
         kept = f"select * from s{i - 1} a where not exists (select 1 from b{i} b where b.login = a.login and b.repo = a.repo and b.source = a.source) or _id in (select _id from b{i})"
-        both = ", ".join(f"coalesce(b.{c}, k.{c}) as {c}" for c in ("login", "repo", "source", "level"))
+        both = ", ".join(f"coalesce(b.{c}, k.{c}) as {c}" for c in ("login", "branch", "repo", "source", "level"))
         out.append(f"s{i} as (select _id, {both}, least(k.first_seen, b.first_seen) as first_seen, greatest(k.last_seen, b.last_seen) as last_seen from ({kept}) k full join b{i} b using (_id))")
     return ", ".join(out)
 
 
-def streamed(s, f, batches):
-    """The place of a store fed by a stream with a batch for each condition."""
-    place = f"{rounds.folder(s)}/stream-{uuid.uuid4().hex}"
-    for i, part in enumerate(batches):
-        f.where(part).write.parquet(f"{place}/in/{i}")
-        stream = s.readStream.schema(f.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
-        store.start(stream, f"{place}/out", f"{place}/at").awaitTermination()
-    return f"{place}/out"
+#: Stores that queries of this session have streamed, by application and tables.
+STREAMED: dict[tuple, str] = {}
+
+
+def streamed(s, d):
+    """The place of a store fed by a stream of five batches; the counts after each batch are kept beside it."""
+    known = (s.sparkContext.applicationId, d)
+    if known not in STREAMED:
+        place, f = f"{rounds.folder(s)}/stream-{uuid.uuid4().hex}", v.findings(s, d)
+        for i, part in enumerate(BATCHES):
+            f.where(part).write.parquet(f"{place}/in/{i}")
+            stream = s.readStream.schema(f.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
+            store.start(stream, f"{place}/out", f"{place}/at").awaitTermination()
+            store.counts(s, f"{place}/out", i).withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{place}/counts")
+        STREAMED[known] = place
+    return STREAMED[known]
 
 
 @query("r1_streamed_store", f"{W}, {after_batches(BATCHES)} select _id, level, first_seen, last_seen from s4")
 def r1(s, d):
     """The store after a stream of five batches, merged on read from a compacted base and the log of later batches."""
-    return store.current(s, streamed(s, v.findings(s, d), BATCHES), len(BATCHES) - 1).select("_id", "level", "first_seen", "last_seen")
+    return store.current(s, f"{streamed(s, d)}/out", len(BATCHES) - 1).select("_id", "level", "first_seen", "last_seen")
+
+
+AFTER = f"{W}, {after_batches(BATCHES)}"
+EACH = " union all ".join(f"select {i} as batch, level, count(*) as n from s{i} group by level" for i in range(len(BATCHES)))
+
+
+@query("a3_maintained_levels", f"{AFTER} {EACH}")
+def a3_maintained(s, d):
+    """Findings of each level after each of the five batches, from counts that the batches keep up."""
+    return s.read.parquet(f"{streamed(s, d)}/counts").groupBy("batch", "level").agg(F.sum("n").alias("n"))
+
+
+def kept_counts(s, d):
+    return store.counts(s, f"{streamed(s, d)}/out", len(BATCHES) - 1)
+
+
+TOTALS = "count(*) as total, count(*) filter (level = 'error') as errors"
+
+
+def totals():
+    return [F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("level") == "error", F.col("n"))), F.lit(0)).alias("errors")]
+
+
+@query("a4_maintained_repos", f"{AFTER} select repo, {TOTALS} from s4 group by repo order by errors desc, total desc, repo limit 50")
+def a4_maintained(s, d):
+    return rollups.top(kept_counts(s, d).groupBy("repo").agg(*totals()), 50, F.desc("errors"), F.desc("total"), F.asc("repo"))
+
+
+@query("a5_maintained_branches", f"{AFTER} select repo, branch, {TOTALS} from s4 group by repo, branch order by errors desc, total desc, repo, branch limit 100")
+def a5_maintained(s, d):
+    return rollups.top(kept_counts(s, d).groupBy("repo", "branch").agg(*totals()), 100, F.desc("errors"), F.desc("total"), F.asc("repo"), F.asc("branch"))
+
+
+DAYS = f"select unnest(generate_series(date '{v.AS_OF[:10]}' - interval 13 days, date '{v.AS_OF[:10]}', interval 1 day))::date as day"
+
+
+@query("a8_maintained_days", f"{AFTER}, d as ({DAYS}) select day, count(level) filter (level = 'error') as error, count(level) as total from d left join s4 on day = last_seen::date group by day")
+def a8_maintained(s, d):
+    """The last 14 days with their live findings, days without findings included; expired findings are taken back."""
+    per = kept_counts(s, d).groupBy("day").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("level") == "error", F.col("n"))).alias("error"))
+    today = F.to_date(F.lit(v.AS_OF))
+    spine = s.range(1).select(F.explode(F.sequence(F.date_sub(today, 13), today)).alias("day"))
+    return spine.join(per, "day", "left").select("day", F.coalesce("error", F.lit(0)).alias("error"), F.coalesce("total", F.lit(0)).alias("total"))

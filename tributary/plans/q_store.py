@@ -110,8 +110,10 @@ def u3(s, d):
 
 @query("u5_blocks_with_leak", f"{W}, b as (select path, list(distinct line) as blocks, list(distinct line) filter (level = 'error' and k % 7 = 0) as leak from findings group by path) select path, coalesce(list_has_any(blocks, leak), false) as has_leak from b")
 def u5(s, d):
-    g = v.findings(s, d).groupBy("path").agg(F.collect_set("line").alias("blocks"), F.collect_set(F.when((F.col("level") == "error") & (F.col("k") % 7 == 0), F.col("line"))).alias("leak"))
-    return g.select("path", F.arrays_overlap("blocks", "leak").alias("has_leak"))
+    f = v.findings(s, d)
+    leak = f.where("level = 'error' and k % 7 = 0").select("path", "line").distinct()
+    hit = f.select("path", "line").distinct().join(leak, ["path", "line"], "left_semi").select("path").distinct().withColumn("hit", F.lit(True))
+    return f.select("path").distinct().join(hit, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("has_leak"))
 
 
 @query("u6_replace_half", f"{W} select event_id, 'ci' as half from findings where source = 'ci' and event_id % 2 = 1 union all select event_id, 'live' from findings where source = 'live'")
@@ -275,9 +277,9 @@ def d26(s, d):
     return merge.first_by(con(s), ["library", "function"], F.asc("pos")).select("library", "function", "behavior")
 
 
-@query("j18_acquire_contract_display", f"{LOOK} select event_id, coalesce(behavior, 'none') as contract from k left join o using (library, function) where event_id % 2 = 0")
+@query("j18_acquire_contract_display", f"{LOOK} select event_id, coalesce(behavior, 'none') as contract from k left join o using (library, function)")
 def j18(s, d):
-    c = contracts.resolved(calls(s, d).where("event_id % 2 = 0"), con(s).where("behavior <> 'UNKNOWN'"))
+    c = contracts.resolved(calls(s, d), con(s).where("behavior <> 'UNKNOWN'"))
     return c.select("event_id", F.when(F.col("behavior") == "UNKNOWN", "none").otherwise(F.col("behavior")).alias("contract"))
 
 

@@ -7,6 +7,9 @@ GROWTH of the base, or to MOST_DELTAS batches, base and log are merged into a ne
 bounded number of times as the store doubles. The base is bucketed by scope; the number of buckets follows its measured
 bytes, and a scope that holds more than a bucket's share is dealt to several.
 
+Counts by COUNTED are kept along: a batch adds the rows that it brings and takes back those that it changes or expires, for
+which it reads the scopes that it touches alone. So rollups, trends and top lists come from a small table.
+
 A manifest of one row says which base and which batches make up a version. Batch b starts from manifest b - 1 and writes
 its own folders, so a repeated batch is harmless; folders that only manifest b - 2 refers to are removed.
 """
@@ -21,15 +24,17 @@ from pyspark.sql import functions as F
 from tributary.operators import merge, rollups, skew
 
 SCOPE = ["login", "repo", "source"]
-VALUES = ["level", "title"]
+VALUES = ["level", "title", "branch"]
 
 #: Share of the base that the log may reach, batches in the log, and bytes of one bucket of the base.
 GROWTH, MOST_DELTAS, BUCKET_BYTES = 0.25, 8, 128 << 20
 
-PUTS = "_id string, login string, repo string, source string, level string, title string, first_seen timestamp_ntz, last_seen timestamp_ntz, version int"
+PUTS = "_id string, login string, repo string, source string, level string, title string, branch string, first_seen timestamp_ntz, last_seen timestamp_ntz, version int"
 TOUCHES = "login string, repo string, source string, version int"
 MANIFEST = "base int, buckets int, base_bytes bigint, deltas array<int>, log_bytes bigint"
 COLUMNS = ["_id", *SCOPE, *VALUES, "first_seen", "last_seen"]
+COUNTED = ["repo", "branch", "source", "level", "day"]
+COUNTS = "repo string, branch string, source string, level string, day date, n bigint"
 
 
 @dataclass(frozen=True)
@@ -75,13 +80,15 @@ def puts(batch: DataFrame) -> DataFrame:
 
 
 def append(spark: SparkSession, path: str, b: int, batch: DataFrame) -> Manifest:
-    """Writes batch ``b`` to the log; no other folder is read or written."""
+    """Writes batch ``b`` to the log, and to no other folder."""
     folder = f"{path}/log/v={b}"
     puts(batch).write.mode("overwrite").parquet(f"{folder}/puts")
     new = spark.read.schema(PUTS).parquet(f"{folder}/puts")
     new.select(*SCOPE).distinct().write.mode("overwrite").parquet(f"{folder}/touches")
     before = manifest(spark, path, b - 1)
-    return replace(before, deltas=(*before.deltas, b), log_bytes=before.log_bytes + size(spark, folder))
+    after = replace(before, deltas=(*before.deltas, b))
+    changes(spark, path, before, after, new).write.mode("overwrite").parquet(f"{folder}/counts")
+    return replace(after, log_bytes=before.log_bytes + size(spark, folder))
 
 
 def logged(spark: SparkSession, path: str, m: Manifest, kind: str, schema: str) -> DataFrame:
@@ -118,15 +125,48 @@ def survivors(rows: DataFrame, touches: DataFrame) -> DataFrame:
     return live.select("_id", *[F.col(f"r.{x}").alias(x) for x in COLUMNS[1:]])
 
 
+def rows_of(spark: SparkSession, path: str, m: Manifest) -> DataFrame:
+    """Rows of the base and the log, with their versions."""
+    rows = logged(spark, path, m, "puts", PUTS)
+    if m.base >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{path}/base/v={m.base}/rows").select(*COLUMNS, F.lit(m.base).alias("version")))
+    return rows
+
+
 def state(spark: SparkSession, path: str, m: Manifest) -> DataFrame:
     """The store that a manifest describes, merged on read; without a log the base is the store."""
-    base = f"{path}/base/v={m.base}"
     if m.base >= 0 and not m.deltas:
-        return spark.read.parquet(base).select(*COLUMNS)
-    rows = logged(spark, path, m, "puts", PUTS)
-    if m.base >= 0:
-        rows = rows.unionByName(spark.read.parquet(base).select(*COLUMNS, F.lit(m.base).alias("version")))
-    return survivors(rows, logged(spark, path, m, "touches", TOUCHES))
+        return spark.read.parquet(f"{path}/base/v={m.base}/rows").select(*COLUMNS)
+    return survivors(rows_of(spark, path, m), logged(spark, path, m, "touches", TOUCHES))
+
+
+def changes(spark: SparkSession, path: str, before: Manifest, after: Manifest, new: DataFrame) -> DataFrame:
+    """What a batch with the puts ``new`` adds to the counts and takes back from them.
+
+    Only findings of scopes that it touches, and those that it holds, can change; no others are merged.
+    """
+    scopes = new.select(*SCOPE).distinct().withColumn("__scope", F.lit(True))
+    ids = new.select("_id", F.lit(True).alias("__id"))
+
+    def counts(m: Manifest, sign: int) -> DataFrame:
+        rows = skew.salted(rows_of(spark, path, m), scopes, SCOPE).join(ids, "_id", "left").where("__scope or __id").drop("__scope", "__id")
+        live = survivors(rows, logged(spark, path, m, "touches", TOUCHES))
+        return live.select(*COUNTED[:-1], F.to_date("last_seen").alias("day"), F.lit(sign).alias("sign"))
+
+    both = counts(before, -1).unionByName(counts(after, 1))
+    return both.groupBy(*COUNTED).agg(F.sum("sign").alias("n")).where("n <> 0")
+
+
+def counted(spark: SparkSession, path: str, m: Manifest) -> DataFrame:
+    """The counts of live findings by COUNTED that a manifest describes."""
+    places = [f"{path}/log/v={v}/counts" for v in m.deltas] + ([f"{path}/base/v={m.base}/counts"] if m.base >= 0 else [])
+    rows = spark.read.schema(COUNTS).parquet(*places) if places else spark.createDataFrame([], COUNTS)
+    return rows.groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def counts(spark: SparkSession, path: str, b: int) -> DataFrame:
+    """The counts by COUNTED after batch ``b``."""
+    return counted(spark, path, manifest(spark, path, b))
 
 
 def current(spark: SparkSession, path: str, b: int) -> DataFrame:
@@ -143,14 +183,15 @@ def compacted(spark: SparkSession, path: str, b: int, m: Manifest) -> Manifest:
     buckets = max(1, -(-(m.base_bytes + m.log_bytes) // BUCKET_BYTES))
     held = logged(spark, path, m, "puts", PUTS).select(*SCOPE)
     if m.base >= 0:
-        held = held.unionByName(spark.read.parquet(f"{path}/base/v={m.base}").select(*SCOPE))
+        held = held.unionByName(spark.read.parquet(f"{path}/base/v={m.base}/rows").select(*SCOPE))
     counts = held.groupBy(*SCOPE).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 1
     ways = counts.select(*SCOPE, F.ceil(F.col("n") * buckets / total).cast("int").alias("ways"))
     rows = skew.salted(state(spark, path, m), ways, SCOPE)
     place = F.pmod(F.xxhash64(*SCOPE), F.lit(buckets)) + F.pmod(F.xxhash64("_id"), F.col("ways"))
     rows = rows.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("int")).drop("ways")
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", *SCOPE).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", *SCOPE).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows")
+    counted(spark, path, m).write.mode("overwrite").parquet(f"{folder}/counts")
     return Manifest(b, buckets, size(spark, folder), (), 0)
 
 

@@ -312,7 +312,7 @@ def classes(docs: DataFrame) -> DataFrame:
     than doc_id and text, whatever their names, are not looked at.
     """
     rows, named = join(docs)
-    return rows.select("doc_id", "nid").join(named, "nid").select("doc_id", "class_id", "links", "linked_texts")
+    return common.salted(rows.select("nid", "doc_id", "key"), named.hint("merge"), "nid", 8).select("doc_id", "class_id", "links", "linked_texts")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -323,6 +323,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows, named = join(docs)
     me = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("key").alias("key"))
+    # the first row of each set of shingles, summed up before the shuffle, meets its class
+    rows = rows.groupBy("nid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key")).alias("me")).select("nid", "me.*")
     stay = rows.join(named, "nid").groupBy("root").agg(F.min(me).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.key").alias("__key"))
     names = docs.columns
     row = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.xxhash64("text").alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))

@@ -2,7 +2,7 @@
 
 import random
 
-from tributary.llm import brown, lines
+from tributary.llm import brown, crf, lines
 
 
 def dedupe(spark, texts):
@@ -78,3 +78,14 @@ def test_words_beyond_the_clustered_ones_get_learned_classes(spark):
     kind = {w.decode(): model.of[i] for w, i in model.head.number.items()}
     assert len(kind) > brown.CLUSTERED and all(kind[w] > brown.SHAPES for w in kind)
     assert not {kind[w] for w in nouns} & {kind[w] for w in verbs}
+
+
+def test_long_labelled_texts_are_fitted_to(spark):
+    """One class has texts of more than crf.FIT_LINES lines only."""
+    rng = random.Random(5)
+    good = ["\n".join(" ".join(rng.choice(("the", "house", "walks", "slowly", "home")) for _ in range(9)) + "." for _ in range(crf.FIT_LINES + 100)) for _ in range(8)]
+    bad = ["\n".join("$$ " + "".join(rng.choices("#*%9&", k=30)) for _ in range(6)) for _ in range(8)]
+    docs = spark.createDataFrame([*enumerate(good + bad)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(16)], "doc_id bigint, quality int")
+    got = crf.score(docs, crf.fit(docs, labels), ["doc_id"]).collect()
+    assert all(r["predicted"] == (r["doc_id"] < 8) for r in got)

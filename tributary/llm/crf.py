@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most labelled texts of each class that a fit takes, and most lines of such a text; longer ones are not fitted to.
+#: Most labelled texts of each class that a fit takes, and most lines of such a text: of a longer one so many that stand
+#: together, from a place that hangs on its id.
 TEXTS, FIT_LINES = 1_500, 500
 
 #: Least share of a text's length that bears the text's label, and rounds in which the labels of lines are learned anew.
@@ -260,7 +261,10 @@ def feature_kernel(texts: list) -> dict:
 def fit(docs: DataFrame, labels: DataFrame, allowed=None, bound: int = TEXTS) -> Field:
     """A field from at most ``bound`` labelled texts of each quality among the labels that ``allowed`` admits.
 
-    Texts of more than FIT_LINES lines are not fitted to, which bounds what the driver gets.
+    Texts of any length are fitted to, by FIT_LINES neighbouring lines at most, which bounds what the driver gets.
+    Null and empty texts are one empty line. Rows that agree in id and text count as often as they are there; ties in the
+    order of the sample are broken by the features, so the fit does not hang on the order of rows. Without labels, or
+    without labelled texts, the field is constant.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -272,8 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None, bound: int = TEXTS) ->
         return train([])
     wanted = F.broadcast(spark.createDataFrame([*worst.items()], "doc_id bigint, __y int"))
     made = common.text_kernel(feature_kernel, "x array<float>, w array<double>")(F.col("text"))
-    few = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))), F.lit(0)) < FIT_LINES
-    rows = common.with_struct(docs.select("doc_id", "text").where(few).join(wanted, "doc_id"), made, ["x", "w"], ["doc_id", "__y"]).toArrow()
+    rows = common.with_struct(docs.select("doc_id", "text").join(wanted, "doc_id"), made, ["x", "w"], ["doc_id", "__y"])
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("w") - FIT_LINES + 1, F.lit(1))).cast("int")
+    rows = rows.select("doc_id", "__y", F.slice("x", start * SIZE + 1, F.lit(FIT_LINES * SIZE)).alias("x"), F.slice("w", start + 1, F.lit(FIT_LINES)).alias("w")).toArrow()
     xs, ws = rows.column("x").combine_chunks(), rows.column("w").combine_chunks()
     found = [(d, y, np.asarray(xs[i].values).reshape(-1, SIZE), np.asarray(ws[i].values)) for i, (d, y) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("__y").to_pylist()))]
     found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))

@@ -10,6 +10,7 @@ from tributary.functions import corpus, specs
 from tributary.operators import engine, memo, rollups
 from tributary.plans import views as v
 from tributary.plans.base import query
+from tributary.sources import knowledge
 
 N = len(corpus.TEMPLATES)
 
@@ -256,20 +257,46 @@ def d24(s, d):
     return engine.verdicts(plain(s, d), config).select("unit_id", "verdict", "n_findings")
 
 
-@query("s7_knowledge_base", "select * from (values ('contract', 'builtins.elsewhere', 'CLOSES_INPUT'), ('rule', 'vault.checkout', 'checkin,drop'), ('rule', 'open', 'never')) as t(kind, name, value)")
+KB = """kb as (select p_partkey, case p_partkey % 5 when 0 then 'a: [' when 1 then '- 1' when 2 then '' else
+  'resources:' || chr(10) || '- {call: lib' || p_partkey % 50 || '.make, close: [drop' || p_partkey % 3 || ', end]}' || chr(10) || '- not a rule' || chr(10) ||
+  'api_contracts:' || chr(10) || '- {library: lib' || p_partkey % 50 || ', function: give, behavior: ' || case p_partkey % 4 when 0 then 'CLOSES_INPUT' else 'RETURNS_RESOURCE' end || '}' || chr(10) || '- {library: none}' end as body from part)"""
+
+
+def knowledge_bases(s, d):
+    """A YAML document for each part; some are no mapping, some do not parse."""
+    lib = "concat('lib', p_partkey % 50)"
+    rules = f"concat('resources:\\n- {{call: ', {lib}, '.make, close: [drop', p_partkey % 3, ', end]}}\\n- not a rule\\n')"
+    contracts = f"concat('api_contracts:\\n- {{library: ', {lib}, ', function: give, behavior: ', if(p_partkey % 4 = 0, 'CLOSES_INPUT', 'RETURNS_RESOURCE'), '}}\\n- {{library: none}}')"
+    return v.table(s, d, "part").select("p_partkey", F.expr(f"case p_partkey % 5 when 0 then 'a: [' when 1 then '- 1' when 2 then '' else concat({rules}, {contracts}) end").alias("body"))
+
+
+@query("s7_knowledge_base", f"""with {KB}, f as (select p_partkey from kb where body like 'resources%')
+select p_partkey, 'rule' as kind, 'lib' || p_partkey % 50 || '.make' as name, 'drop' || p_partkey % 3 as release, null as behavior from f
+union all select p_partkey, 'contract', 'lib' || p_partkey % 50 || '.give', null, case p_partkey % 4 when 0 then 'CLOSES_INPUT' else 'RETURNS_RESOURCE' end from f""")
 def s7(s, d):
-    """Rules and contracts of a knowledge base; entries that are no mappings, and texts that do not parse, have none."""
-    rows = [("rule", r.acquire, ",".join(r.releases)) for text in (corpus.KNOWLEDGE, "a: [", "- 1", "") for r in specs.load_rules(text)]
-    rows += [("contract", ".".join(k), c.behavior) for k, c in specs.load_contracts(corpus.KNOWLEDGE).items()]
-    return s.createDataFrame(rows, "kind string, name string, value string")
+    """Rules and contracts of knowledge bases; entries that are no mappings, and texts that do not parse, have none."""
+    return knowledge.rules(knowledge_bases(s, d), "p_partkey", "body").select("p_partkey", "kind", "name", "release", "behavior")
+
+
+@query("d26_first_contract", f"with {KB}, f as (select * from kb where body like 'resources%') select 'lib' || p_partkey % 50 || '.give' as name, min_by(case p_partkey % 4 when 0 then 'CLOSES_INPUT' else 'RETURNS_RESOURCE' end, p_partkey) as behavior from f group by 1")
+def d26(s, d):
+    """Of the contracts for one function the first counts."""
+    return knowledge.first_contracts(knowledge.rules(knowledge_bases(s, d), "p_partkey", "body"), "p_partkey").select("name", "behavior")
+
+
+DEFAULTS = "defaults(pos, acquire, release, others) as (values " + ", ".join(f"({i}, '{x.acquire}', '{x.release}', '{','.join(x.others)}')" for i, x in enumerate(specs.Config().specs)) + ")"
 
 
-@query("s8_configured_specs", "select * from (values (0, 'default', cast(19 as bigint)), (1, 'x.y', cast(1 as bigint)), (2, 'default', cast(19 as bigint))) as t(place, first, n)")
+@query("s8_configured_specs", f"""with {DEFAULTS}
+select p_partkey, pos::int as pos, acquire, release, others, p_partkey % 5 <> 1 as exception_safety from part, defaults where p_partkey % 5 < 4
+union all select p_partkey, 0, 'lib.f' || p_partkey, 'close', 'end,drop', false from part where p_partkey % 5 = 4
+union all select p_partkey, 1, 'lib.g', 'stop', '', false from part where p_partkey % 5 = 4""")
 def s8(s, d):
-    """Specs of JSON configurations; an empty or absent list stands for the default ones."""
-    made = [specs.from_json(text).specs for text in ('{"resources": []}', '{"resources": [{"acquire": "x.y", "release": "z"}]}', "{}")]
-    rows = [(i, "default" if got == specs.Config().specs else got[0].acquire, len(got)) for i, got in enumerate(made)]
-    return s.createDataFrame(rows, "place int, first string, n bigint")
+    """Specs of JSON configurations; an empty or absent list, and what is no JSON, stand for the default ones."""
+    own = "concat('{\"resources\": [{\"acquire\": \"lib.f', p_partkey, '\", \"alt_releases\": [\"end\", \"drop\"]}, {\"acquire\": \"lib.g\", \"release\": \"stop\"}], \"exception_safety\": false}')"
+    text = F.expr(f"case p_partkey % 5 when 0 then '{{}}' when 1 then '{{\"exception_safety\": false, \"resources\": []}}' when 2 then 'no json' when 3 then null else {own} end")
+    found = knowledge.configured(v.table(s, d, "part").select("p_partkey", text.alias("body")), "p_partkey", "body")
+    return found.select("p_partkey", "pos", "acquire", "release", F.array_join("others", ",").alias("others"), "exception_safety")
 
 
 @query("k12_fixed_sources")

@@ -12,7 +12,7 @@ from tributary.plans import views as v
 from tributary.plans.base import query
 from tributary.plans.q_engine import ACQUIRED, BENCH, EFFECTS, EXCEPTION_ONLY, FIXED, HAS_FUNCTION, IN_LOOP, PARSED, SHAPES, TWICE, N, case, plain, units
 from tributary.sources import records
-from tributary.streaming import store
+from tributary.streaming import days, store
 
 
 def among(*names: str) -> str:
@@ -304,7 +304,7 @@ STREAMED: dict[tuple, str] = {}
 
 
 def streamed(s, d):
-    """The place of a store fed by a stream of five batches; the counts after each batch are kept beside it."""
+    """The place of a store fed by a stream of five batches; the counts after each and their changes are kept beside it."""
     known = (s.sparkContext.applicationId, d)
     if known not in STREAMED:
         place, f = f"{rounds.folder(s)}/stream-{uuid.uuid4().hex}", v.findings(s, d)
@@ -312,7 +312,11 @@ def streamed(s, d):
             f.where(part).write.parquet(f"{place}/in/{i}")
             stream = s.readStream.schema(f.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
             store.start(stream, f"{place}/out", f"{place}/at").awaitTermination()
-            store.counts(s, f"{place}/out", i).withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{place}/counts")
+            now = store.counts(s, f"{place}/out", i).withColumn("batch", F.lit(i))
+            now.write.mode("append").parquet(f"{place}/counts")
+            before = s.read.parquet(f"{place}/counts").where(F.col("batch").isin(i, i - 1))
+            sign = F.when(F.col("batch") == i, F.col("n")).otherwise(-F.col("n"))
+            before.groupBy("repo", "level", "day").agg(F.sum(sign).alias("n")).where("n <> 0").write.parquet(f"{place}/changes/{i}")
         STREAMED[known] = place
     return STREAMED[known]
 
@@ -357,6 +361,17 @@ def a5_maintained(s, d):
 DAYS = f"select unnest(generate_series(date '{v.AS_OF[:10]}' - interval 13 days, date '{v.AS_OF[:10]}', interval 1 day))::date as day"
 
 
+@query("r6_stateful_days", f"{AFTER}, d as ({DAYS}) select day, count(level) filter (level = 'error') as error, count(level) filter (level = 'warning') as warning, count(level) filter (level = 'notice') as notice, count(level) as total from d left join s4 on day = last_seen::date group by day")
+def r6_stateful(s, d):
+    """The same days from a stateful stream over the changes of the five batches, one batch each."""
+    place = streamed(s, d)
+    out, own = f"{place}/days-{uuid.uuid4().hex}", days.session(s)
+    for i in range(len(BATCHES)):
+        changes = own.readStream.schema(store.COUNTS).option("recursiveFileLookup", True).parquet(f"{place}/changes/{{{','.join(map(str, range(i + 1)))}}}")
+        days.start(changes, f"{out}/counts", f"{out}/at").awaitTermination()
+    return days.buckets(days.current(s, f"{out}/counts"), v.AS_OF, 14)
+
+
 @query("a8_maintained_days", f"{AFTER}, d as ({DAYS}) select day, count(level) filter (level = 'error') as error, count(level) as total from d left join s4 on day = last_seen::date group by day")
 def a8_maintained(s, d):
     """The last 14 days with their live findings, days without findings included; expired findings are taken back."""

@@ -5,6 +5,7 @@ import time
 
 from tributary.functions import flow, liveness, rewrite
 from tributary.functions.specs import Config, Spec, with_knowledge
+from tributary.operators import resolver
 from tributary.sources import files
 
 
@@ -106,3 +107,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["scan", str(tmp_path / "c.py")]) == 0 and main(["fix", str(tmp_path)]) == 0
     assert "with open(p) as h:" in capsys.readouterr().out
     assert main(["benchmark"]) == 0 and "accuracy" in capsys.readouterr().out
+
+
+def test_providers_are_asked_in_order_and_once_for_each_function(spark):
+    asked = {n: spark.sparkContext.accumulator(0) for n in ("first", "second")}
+
+    def provider(name, answers):
+        def ask(library, function):
+            asked[name].add(1)
+            if function == "fails":
+                raise OSError("no answer")
+            return answers.get(function)
+
+        return resolver.by_call(ask)
+
+    good = {"behavior": "CLOSES_INPUT", "ownership": "CONSUME", "confidence": 0.9}
+    first = provider("first", {"a": good, "b": good | {"confidence": 0.5}, "c": good | {"behavior": "odd"}})
+    second = provider("second", {"a": good | {"behavior": "UNKNOWN"}, "b": good | {"behavior": "RETURNS_RESOURCE"}, "fails": good})
+    calls = spark.createDataFrame([(f"lib.{f}",) for f in ("a", "a", "b", "c", "d", "fails", "known")] + [(None,), ("a",)], "call_name string")
+    known = spark.createDataFrame([("lib", "known", "old")], "library string, function string, provider string")
+    keys = resolver.unknown(calls, known)
+    found, rejected = resolver.answered(keys, {"first": first, "second": second})
+    got = {(r["library"], r["function"]): (r["provider"], r["behavior"]) for r in found.collect()}
+    assert got == {("lib", "a"): ("first", "CLOSES_INPUT"), ("builtins", "a"): ("first", "CLOSES_INPUT"), ("lib", "b"): ("second", "RETURNS_RESOURCE")}
+    assert sorted((r["function"], r["provider"], r["reason"]) for r in rejected.collect()) == [("b", "first", "low confidence"), ("c", "first", "bad behavior")]
+    assert (asked["first"].value, asked["second"].value) == (6, 4)
+    table = resolver.kept(known, found.select("library", "function", "provider"))
+    assert table.count() == 4 and resolver.unknown(calls, table).count() == 3

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tributary.functions import corpus, specs
-from tributary.operators import engine, merge, rollups, rounds
+from tributary.operators import engine, merge, resolver, rollups, rounds
 from tributary.plans import views as v
 from tributary.plans.base import query
 from tributary.plans.q_engine import ACQUIRED, BENCH, EFFECTS, EXCEPTION_ONLY, FIXED, HAS_FUNCTION, IN_LOOP, PARSED, SHAPES, TWICE, N, case, plain, units
@@ -379,3 +379,27 @@ def a8_maintained(s, d):
     today = F.to_date(F.lit(v.AS_OF))
     spine = s.range(1).select(F.explode(F.sequence(F.date_sub(today, 13), today)).alias("day"))
     return spine.join(per, "day", "left").select("day", F.coalesce("error", F.lit(0)).alias("error"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def numbered_provider(keys):
+    """Answers from a table: sure ones for a third of the functions, doubtful ones for another."""
+    n = F.regexp_extract("function", r"(\d+)$", 1).cast("int")
+    said = keys.withColumn("n", n).where("n % 3 < 2").select("library", "function", F.lit("closes_input").alias("behavior"), F.lit("CONSUME").alias("ownership"), F.lit("GUARANTEED").alias("exception_safety"), F.when(F.col("n") % 3 == 0, "0.9").otherwise("0.5").alias("confidence"))
+    return said
+
+
+def spoken_provider(library, function):
+    """An answer for every second function, one function at a time."""
+    return {"behavior": "RETURNS_RESOURCE", "ownership": "RETURN", "confidence": 0.95} if int(function[1:]) % 2 == 0 else None
+
+
+@query("s23_provider_order", """with c as (select distinct 'lib' || p_partkey % 20 as library, p_partkey % 300 as n from part), u as (select * from c where n % 7 <> 0)
+select library, 'f' || n as function, case when n % 7 = 0 then 'known' when n % 3 = 0 then 'table' when n % 2 = 0 then 'spoken' end as provider,
+  case when n % 7 = 0 then 'UNKNOWN' when n % 3 = 0 then 'CLOSES_INPUT' else 'RETURNS_RESOURCE' end as behavior from c where n % 7 = 0 or n % 3 = 0 or n % 2 = 0""")
+def s23(s, d):
+    """Contracts after two providers were asked, in order, for the functions of all calls that had none."""
+    part = v.table(s, d, "part").select((F.col("p_partkey") % 20).alias("l"), (F.col("p_partkey") % 300).alias("n"))
+    calls = part.select(F.concat(F.lit("lib"), "l", F.lit(".f"), "n").alias("call_name"))
+    known = part.where("n % 7 = 0").distinct().select(F.concat(F.lit("lib"), "l").alias("library"), F.concat(F.lit("f"), "n").alias("function"), F.lit("known").alias("provider"), F.lit("UNKNOWN").alias("behavior"))
+    found, _ = resolver.answered(resolver.unknown(calls, known), {"table": numbered_provider, "spoken": resolver.by_call(spoken_provider)})
+    return resolver.kept(known, found.select("library", "function", "provider", "behavior"))

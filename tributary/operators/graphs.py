@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.operators import intervals
@@ -29,6 +29,30 @@ def paths(spark: SparkSession, edges: DataFrame, levels: int = 100) -> DataFrame
         spark.catalog.dropTempView(view)
 
 
+def first_paths(edges: DataFrame, cap: int = 200) -> DataFrame:
+    """(unit, path, truncated): of each unit the first ``cap`` paths from node 0 to nodes without successors, each node once
+    on a path, in the order of a depth-first walk that takes successors by number.
+
+    Paths grow a node a round. A path and all that grows out of it keep their place among the others, so after each round
+    the first cap + 1 of a unit, complete or not, are all that can still be among its first: the work is rounds times cap,
+    however many paths there are. Where cycles end paths without an exit, these may take places of others; ``truncated``
+    says that a unit had more. Units without node 0 have no path.
+    """
+    from tributary.operators.rounds import cut
+
+    steps = cut(edges.select("unit", F.col("src").cast("bigint").alias("node"), F.col("dst").cast("bigint").alias("dst")).distinct())
+    order = Window.partitionBy("unit").orderBy("path")
+    now = cut(steps.where("node = 0").select("unit", F.array("node").alias("path"), F.lit(True).alias("open")).distinct())
+    while not now.where("open").isEmpty():
+        grown = now.where("open").withColumn("node", F.element_at("path", -1)).join(steps, ["unit", "node"], "left")
+        grown = grown.where("dst is null or not array_contains(path, dst)")
+        grown = grown.select("unit", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"), F.col("dst").isNotNull().alias("open"))
+        both = now.where("not open").unionByName(grown).withColumn("n", F.row_number().over(order))
+        now = cut(both.where(F.col("n") <= cap + 1).drop("n"))
+    ranked = now.withColumn("n", F.row_number().over(order))
+    return ranked.withColumn("truncated", F.max("n").over(Window.partitionBy("unit")) > cap).where(F.col("n") <= cap).select("unit", "path", "truncated")
+
+
 def layers(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest distance (unit, node, layer) from node 0; nodes out of reach share one layer after the last.
 

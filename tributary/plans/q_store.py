@@ -408,6 +408,24 @@ def d1(s, d):
     return graphs.paths(s, edges(s, d))
 
 
+DIAMONDS = "edges as (select s_suppkey as unit, 3 * i + a as src, 3 * i + b as dst from supplier, range(10) r(i), (values (0, 1), (0, 2), (1, 3), (2, 3)) t(a, b) where i < 4 + s_suppkey % 7)"
+
+
+def diamonds(s, d):
+    """Branches and joins in a row, four to ten of them, so that a unit has 16 to 1,024 paths."""
+    links = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))])
+    e = v.table(s, d, "supplier").select(F.col("s_suppkey").alias("unit"), F.explode(F.sequence(F.lit(0).cast("bigint"), (3 + F.col("s_suppkey") % 7).cast("bigint"))).alias("i"))
+    return e.select("unit", "i", F.explode(links).alias("l")).select("unit", (3 * F.col("i") + F.col("l.a")).alias("src"), (3 * F.col("i") + F.col("l.b")).alias("dst"))
+
+
+@query("d1_first_paths", f"""with recursive {DIAMONDS},
+w as (select distinct unit, 0::bigint as node, [0::bigint] as path from edges union all select e.unit, e.dst, list_append(w.path, e.dst) from w join edges e on e.unit = w.unit and e.src = w.node),
+p as (select unit, path, row_number() over (partition by unit order by path) as n, count(*) over (partition by unit) as paths from w where not exists (select 1 from edges e where e.unit = w.unit and e.src = w.node))
+select unit, path, paths > 200 as truncated from p where n <= 200""")
+def d1_first(s, d):
+    return graphs.first_paths(diamonds(s, d))
+
+
 @query(
     "t19_graph_layers",
     f"with recursive {EDGES}, nodes as (select distinct unit, unnest(range(16)) as node from edges), walk(unit, node, layer) as (select distinct unit, cast(0 as bigint), cast(0 as bigint) from edges union select e.unit, e.dst, layer + 1 from walk w join edges e on e.unit = w.unit and e.src = w.node where layer < 20), near as (select unit, node, min(layer) as layer from walk group by 1, 2), far as (select unit, max(layer) + 1 as last from near group by 1) select n.unit, n.node, coalesce(layer, last) as layer from nodes n left join near using (unit, node) join far on far.unit = n.unit",

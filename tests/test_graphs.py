@@ -33,3 +33,18 @@ def test_first_paths_are_those_of_a_walk(spark):
     for u, e in units.items():
         want, more = plain(e, 20)
         assert sorted(got.get(u, [])) == [(p, more) for p in want], u
+
+
+def test_layers_of_a_deep_graph_leave_few_tables(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "FOLD", 3)
+    places = []
+    monkeypatch.setattr(graphs.rounds, "written", lambda df, place, f=graphs.rounds.written: (places.append(place), f(df, place))[1])
+    deep = 14
+    edges = [(1, i, i + 1) for i in range(deep)] + [(1, 5, 2), (1, 0, 3), (2, 0, 1), (2, 1, 0), (3, 4, 5)]
+    nodes = spark.createDataFrame([(1, i) for i in range(deep + 3)] + [(2, 0), (2, 1), (2, 2), (3, 4)], "unit int, node bigint")
+    got = {(r["unit"], r["node"]): r["layer"] for r in graphs.layers(spark, nodes, spark.createDataFrame(edges, "unit int, src bigint, dst bigint")).collect()}
+    want = {(1, i): i if i < 3 else i - 2 for i in range(deep + 1)}
+    assert got == want | {(1, deep + 1): deep - 1, (1, deep + 2): deep - 1, (2, 0): 0, (2, 1): 1, (2, 2): 2}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(places[0].rpartition("/")[0])
+    left = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    assert len(places) > deep and len(left) <= graphs.FOLD + 3

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.operators import intervals
+from tributary.operators import intervals, rounds
 
 
 def paths(spark: SparkSession, edges: DataFrame, levels: int = 100) -> DataFrame:
@@ -38,37 +39,50 @@ def first_paths(edges: DataFrame, cap: int = 200) -> DataFrame:
     however many paths there are. Where cycles end paths without an exit, these may take places of others; ``truncated``
     says that a unit had more. Units without node 0 have no path.
     """
-    from tributary.operators.rounds import cut
-
-    steps = cut(edges.select("unit", F.col("src").cast("bigint").alias("node"), F.col("dst").cast("bigint").alias("dst")).distinct())
+    steps = rounds.cut(edges.select("unit", F.col("src").cast("bigint").alias("node"), F.col("dst").cast("bigint").alias("dst")).distinct())
     order = Window.partitionBy("unit").orderBy("path")
-    now = cut(steps.where("node = 0").select("unit", F.array("node").alias("path"), F.lit(True).alias("open")).distinct())
+    now = rounds.cut(steps.where("node = 0").select("unit", F.array("node").alias("path"), F.lit(True).alias("open")).distinct())
     while not now.where("open").isEmpty():
         grown = now.where("open").withColumn("node", F.element_at("path", -1)).join(steps, ["unit", "node"], "left")
         grown = grown.where("dst is null or not array_contains(path, dst)")
         grown = grown.select("unit", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"), F.col("dst").isNotNull().alias("open"))
         both = now.where("not open").unionByName(grown).withColumn("n", F.row_number().over(order))
-        now = cut(both.where(F.col("n") <= cap + 1).drop("n"))
+        now = rounds.cut(both.where(F.col("n") <= cap + 1).drop("n"))
     ranked = now.withColumn("n", F.row_number().over(order))
     return ranked.withColumn("truncated", F.max("n").over(Window.partitionBy("unit")) > cap).where(F.col("n") <= cap).select("unit", "path", "truncated")
 
 
+#: Levels of a search after which what they found is folded into one table.
+FOLD = 8
+
+
 def layers(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest distance (unit, node, layer) from node 0; nodes out of reach share one layer after the last.
 
     Distances grow step by step over the frontier alone, until it is empty: a node that has a layer is not visited again,
-    so the work is the number of edges. Each round is a join on (unit, node).
+    so the work is the number of edges. What is known is one table by unit and at most FOLD levels beside it; every FOLD
+    levels they are folded into a new table and removed, so files and plans stay as they are however deep the graph is.
     """
-    from tributary.operators.rounds import cut
-
-    done = cut(nodes.where("node = 0").select("unit", "node", F.lit(0).cast("bigint").alias("layer")))
-    front, k = done, 0
-    steps = edges.select("unit", F.col("src").alias("node"), "dst")
-    while not front.isEmpty():
+    place = f"{rounds.folder(spark)}/layers-{uuid.uuid4().hex}"
+    steps = rounds.written(edges.select("unit", F.col("src").alias("node"), "dst").distinct().repartition("unit"), f"{place}/steps")
+    known = rounds.written(nodes.where("node = 0").select("unit", "node", F.lit(0).cast("bigint").alias("layer")), f"{place}/0")
+    front, levels, tables, k = known, [], [f"{place}/0"], 0
+    while True:
         k += 1
         step = front.select("unit", "node").join(steps, ["unit", "node"]).select("unit", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(done, ["unit", "node"], "left_anti").withColumn("layer", F.lit(k).cast("bigint")))
-        done = done.unionByName(front)
+        for table in (known, *levels):
+            step = step.join(table, ["unit", "node"], "left_anti")
+        front = rounds.written(step.withColumn("layer", F.lit(k).cast("bigint")), f"{place}/{k}")
+        if front.isEmpty():
+            break
+        levels.append(front)
+        tables.append(f"{place}/{k}")
+        if len(levels) == FOLD:
+            known = rounds.written(reduce(DataFrame.unionByName, levels, known).repartition("unit"), f"{place}/known-{k}")
+            for old in tables:
+                rounds.remove(spark, old)
+            front, levels, tables = known.where(F.col("layer") == k), [], [f"{place}/known-{k}"]
+    done = reduce(DataFrame.unionByName, levels, known)
     last = done.groupBy("unit").agg(F.max("layer").alias("last"))
     rest = nodes.join(done, ["unit", "node"], "left_anti").join(last, "unit").select("unit", "node", (F.col("last") + 1).alias("layer"))
     return done.unionByName(rest)

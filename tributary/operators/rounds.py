@@ -23,3 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, place: str) -> DataFrame:
+    """``df`` written as a table and read again; unlike a checkpoint it does not carry Spark's estimate of its size on."""
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a table of intermediate data that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -173,3 +173,15 @@ def test_empty_tables_and_clashing_names(spark):
     assert out.columns == ["doc_id", "a.b", "__key", "n", "form", "prefix_chars", "middle_chars", "output"] and out.count() == 4
     none = docs.where("false")
     assert odd_sketch.components(none).collect() == middle.digests(none).collect() == audit.interactions(none, labels).collect() == []
+
+
+def test_audit_broadcasts_no_salted_rows(spark, tmp_path):
+    # a small file of many labels, which the join with the documents repeats for each salt
+    spark.range(40_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels")
+    spark.createDataFrame([(i, f"word {i}", "en", "s", 6) for i in range(20)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/docs")
+    df = audit.interactions(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels"))
+    rows = df.where("filter_order = 'ABCDE' and step = 1").select("removed", "good_lost", "toxic_lost").collect()
+    assert [tuple(r) for r in rows] == [(20, 20, 0)]
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

@@ -4,6 +4,8 @@
    aggregates keep to the partitions of the texts, so words are never shuffled.
 2. The other flags (capitals, symbols, copies of texts with a smaller id) come from small rows without texts and are
    joined to the word counts by an outer join.
+   All joins are by a shuffle: Spark takes the size of a table's files for that of its rows, so a small file of many
+   labels, each of them salted, would be broadcast whole.
 3. A document's five flags are a number from 0 to 31. One aggregate with a conditional count for each number, for all,
    good and toxic documents, holds all that the 120 orders of the filters need.
 """
@@ -47,8 +49,8 @@ def flagged(docs: DataFrame, part: str = "lang") -> DataFrame:
     rows = middle.keyed(docs, [part])
     rows = rows.select(*document, F.coalesce(F.col("__0").cast("string"), F.lit("")).alias("__part"), "__doc", c.alias("c"), d.alias("d"), F.unhex(F.sha2("__text", 256)).alias("digest"))
     firsts = rows.groupBy("digest").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("digest", "first")
-    rows = common.salted(rows, firsts, "digest", 8, "left").withColumn("e", F.coalesce(F.col("__doc") > F.col("first"), F.lit(False)))
-    rows = rows.select(*document, "__part", "__doc", "c", "d", "e").join(word_counts(docs), document, "left")
+    rows = common.salted(rows, firsts.hint("merge"), "digest", 8, "left").withColumn("e", F.coalesce(F.col("__doc") > F.col("first"), F.lit(False)))
+    rows = rows.select(*document, "__part", "__doc", "c", "d", "e").join(word_counts(docs).hint("merge"), document, "left")
     n, kinds = F.coalesce("n_words", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
     fails = [n < LEAST_WORDS, 100 * kinds < LEAST_DISTINCT * n, F.col("c"), F.col("d"), F.col("e")]
     bits = [F.when(x, 1 << i).otherwise(0) for i, x in enumerate(fails)]
@@ -58,7 +60,7 @@ def flagged(docs: DataFrame, part: str = "lang") -> DataFrame:
 def conditional_counts(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, n, good, toxic): arrays of 32 counts of the documents that failed exactly the filters of each number."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    rows = common.salted(rows, marks, "doc_id", 8, "left")
+    rows = common.salted(rows, marks.hint("merge"), "doc_id", 8, "left")
     sets = {"n": F.lit(True), "good": F.coalesce("good", F.lit(False)), "toxic": F.coalesce("toxic", F.lit(False))}
     counts = rows.groupBy("part").agg(*[F.count_if((F.col("failed") == m) & x).alias(f"{name}_{m}") for name, x in sets.items() for m in range(32)])
     return counts.select("part", *[F.array(*[F.col(f"{name}_{m}") for m in range(32)]).alias(name) for name in sets])

@@ -48,3 +48,25 @@ def test_layers_of_a_deep_graph_leave_few_tables(spark, monkeypatch):
     folder = spark._jvm.org.apache.hadoop.fs.Path(places[0].rpartition("/")[0])
     left = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
     assert len(places) > deep and len(left) <= graphs.FOLD + 3
+
+
+def test_first_paths_broadcast_no_edges_and_leave_one_table(spark, tmp_path, monkeypatch):
+    # edges made from a small file of few columns, many from each of its rows
+    places, plans = [], []
+
+    def written(df, place, f=graphs.rounds.written):
+        places.append(place)
+        out = f(df, place)
+        plans.append(df._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(graphs.rounds, "written", written)
+    spark.range(50).write.parquet(f"{tmp_path}/units")
+    links = "explode(array(struct(0 as a, 1 as b), struct(0 as a, 2 as b), struct(1 as a, 3 as b), struct(2 as a, 3 as b))) as l"
+    edges = spark.read.parquet(f"{tmp_path}/units").selectExpr("id as unit", "explode(sequence(0, 5)) as i").selectExpr("unit", "i", links).selectExpr("unit", "3 * i + l.a as src", "3 * i + l.b as dst")
+    got = graphs.first_paths(edges, 20)
+    want, more = plain([(3 * i + a, 3 * i + b) for i in range(6) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))], 20)
+    assert sorted((r["unit"], r["path"], r["truncated"]) for r in got.collect()) == [(u, p, more) for u in range(50) for p in want]
+    assert len(plans) > 12 and not any("BroadcastHashJoin" in p for p in plans)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(places[0].rpartition("/")[0])
+    assert len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)) == 1

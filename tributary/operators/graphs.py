@@ -37,19 +37,25 @@ def first_paths(edges: DataFrame, cap: int = 200) -> DataFrame:
     Paths grow a node a round. A path and all that grows out of it keep their place among the others, so after each round
     the first cap + 1 of a unit, complete or not, are all that can still be among its first: the work is rounds times cap,
     however many paths there are. Where cycles end paths without an exit, these may take places of others; ``truncated``
-    says that a unit had more. Units without node 0 have no path.
+    says that a unit had more. Units without node 0 have no path. A round is a table; the one before it is removed.
     """
-    steps = rounds.cut(edges.select("unit", F.col("src").cast("bigint").alias("node"), F.col("dst").cast("bigint").alias("dst")).distinct())
-    order = Window.partitionBy("unit").orderBy("path")
-    now = rounds.cut(steps.where("node = 0").select("unit", F.array("node").alias("path"), F.lit(True).alias("open")).distinct())
+    spark = edges.sparkSession
+    place = f"{rounds.folder(spark)}/paths-{uuid.uuid4().hex}"
+    steps = rounds.written(edges.select("unit", F.col("src").cast("bigint").alias("node"), F.col("dst").cast("bigint").alias("dst")).distinct(), f"{place}/steps")
+    # the places of the paths that they grew out of, and the node that each took, order paths as whole paths do
+    order, k = Window.partitionBy("unit").orderBy("place", "dst"), 0
+    now = rounds.written(steps.where("node = 0").select("unit", F.array("node").alias("path"), F.lit(True).alias("open"), F.lit(1).alias("n")).distinct(), f"{place}/0")
     while not now.where("open").isEmpty():
-        grown = now.where("open").withColumn("node", F.element_at("path", -1)).join(steps, ["unit", "node"], "left")
+        # edges are small in files and many in rows, so their size says nothing and they are never broadcast
+        grown = now.where("open").withColumn("node", F.element_at("path", -1)).join(steps.hint("merge"), ["unit", "node"], "left")
         grown = grown.where("dst is null or not array_contains(path, dst)")
-        grown = grown.select("unit", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"), F.col("dst").isNotNull().alias("open"))
-        both = now.where("not open").unionByName(grown).withColumn("n", F.row_number().over(order))
-        now = rounds.cut(both.where(F.col("n") <= cap + 1).drop("n"))
-    ranked = now.withColumn("n", F.row_number().over(order))
-    return ranked.withColumn("truncated", F.max("n").over(Window.partitionBy("unit")) > cap).where(F.col("n") <= cap).select("unit", "path", "truncated")
+        grown = grown.select("unit", F.col("n").alias("place"), "dst", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"), F.col("dst").isNotNull().alias("open"))
+        done = now.where("not open").select("unit", F.col("n").alias("place"), F.lit(None).cast("bigint").alias("dst"), "path", "open")
+        both = done.unionByName(grown).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap + 1)
+        now, k = rounds.written(both.select("unit", "path", "open", "n"), f"{place}/{k + 1}"), k + 1
+        rounds.remove(spark, f"{place}/{k - 1}")
+    rounds.remove(spark, f"{place}/steps")
+    return now.withColumn("truncated", F.max("n").over(Window.partitionBy("unit")) > cap).where(F.col("n") <= cap).select("unit", "path", "truncated")
 
 
 #: Levels of a search after which what they found is folded into one table.

@@ -128,3 +128,15 @@ def test_guarded_acquisitions_in_a_loop_are_walked_fast():
     began = time.process_time()
     found = liveness.analyze(f"def f(q):\n    while q():\n{body}")
     assert len(found) == 40 and time.process_time() - began < 0.5
+
+
+def test_many_paths_look_into_a_statement_once(monkeypatch):
+    from tributary.functions import flow, liveness
+
+    looks = []
+    monkeypatch.setattr(flow, "own_nodes", lambda root, f=flow.own_nodes: (looks.append(root), f(root))[1])
+    n = 7  # 128 paths of 21 blocks
+    source = "def f(p, a):\n    h = open(p)\n" + "".join(f"    if a > {i}:\n        note({i})\n" for i in range(n)) + "    return a\n"
+    found = liveness.analyze(source)
+    assert [len(x["leaking_paths"]) for x in found] == [2**n] and not found[0]["truncated"]
+    assert len(looks) < 20 * n

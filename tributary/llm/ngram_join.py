@@ -5,8 +5,9 @@
 2. Representatives that agree in one of 32 bands of four values are candidates (a pair of similarity 0.8 shares no band
    with probability 5e-8). Within a band's bucket, MinHash values are compared sixteen at a time; a pair is dropped as
    soon as the posterior probability, under a uniform prior, that it reaches the threshold falls below the tolerance.
-   Of the pairs that are never dropped a bucket passes on a spanning forest only, so a bucket of n makes n - 1 edges
-   however many of its pairs agree.
+   Of the pairs that are never dropped a bucket passes on a spanning forest only, each tree hung on its smallest member,
+   so a bucket of n makes n - 1 edges however many of its pairs agree, many of them the same in several bands. Where two
+   blocks of a bucket meet, only the edges that join their trees are added.
 3. Candidates that hang together form a component. Block by block, the pairs of a component are pruned again in the same
    way, and those that are never dropped, and no others, are verified exactly on the shingle sets. Only sums (links of a
    text) and spanning forests leave a block.
@@ -116,30 +117,39 @@ def survivors(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return at
 
 
-def forest(ids: np.ndarray, low: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the surviving pairs of a group."""
-    a: list[int] = []
-    b: list[int] = []
-    rest = np.arange(len(ids))
+def trees(low: np.ndarray) -> np.ndarray:
+    """For each row of a group the first row that surviving pairs connect it with."""
+    root = np.arange(len(low))
+    rest = np.arange(len(low))
     while len(rest) > 1:
-        reach, rest = [int(rest[0])], rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        reach = [first]
         while reach and len(rest):
-            x = reach.pop()
-            hit = survivors(low[x], low[rest])
+            hit = survivors(low[reach.pop()], low[rest])
             if len(hit):
                 found = rest[hit]
-                a += [int(ids[x])] * len(found)
-                b += ids[found].tolist()
+                root[found] = first
                 reach += found.tolist()
                 rest = np.delete(rest, hit)
-    return a, b
+    return root
+
+
+def forest(low: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from rows to the first row of their tree. Where two blocks meet, only the first rows of the trees that each
+    of them has by itself: what hangs on these is told where the block meets itself."""
+    root, heads = trees(low), np.arange(len(low))
+    if (own != own[0]).any():
+        parts = [np.flatnonzero(own == x) for x in np.unique(own)]
+        heads = np.concatenate([at[trees(low[at]) == np.arange(len(at))] for at in parts])
+    heads = heads[root[heads] != heads]
+    return heads, root[heads]
 
 
 def bucket_kernel(batches):
-    """Edges from buckets; columns band, key, one block, other block, rid, low."""
+    """Edges from buckets; columns band, key, one block, other block, rid, own block, low."""
     for table, starts in common.runs(batches, 4):
-        ids = table.column(4).to_numpy()
-        low = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, VALUES)
+        ids, own = table.column(4).to_numpy(), table.column(5).to_numpy()
+        low = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)
         ends = np.append(starts[1:], len(ids))
         sizes = ends - starts
         a: list[int] = []
@@ -149,9 +159,9 @@ def bucket_kernel(batches):
         a += ids[two[hit]].tolist()
         b += ids[two[hit] + 1].tolist()
         for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
-            x, y = forest(ids[s:e], low[s:e])
-            a += x
-            b += y
+            x, y = forest(low[s:e], own[s:e])
+            a += ids[s:e][x].tolist()
+            b += ids[s:e][y].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -248,8 +258,8 @@ def set_kernel(texts: list) -> dict:
 
 
 def grouped(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of equal keys next to each other in one partition."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+    """Rows of equal keys next to each other in one partition, by rid: trees of several groups then hang on the same row."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, "rid")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +282,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mine = company.groupBy("rid").agg(F.collect_list(F.struct("band", "bucket", "members")).alias("where"))
     members = reps.select("rid", "low").join(mine, "rid").select("rid", "low", F.explode("where").alias("w")).select("w.*", "rid", "low")
     dealt = blocks(members, "members", BLOCK)
-    edges = grouped(dealt.select("band", "bucket", "one", "two", "rid", "low"), ["band", "bucket", "one", "two"]).mapInArrow(bucket_kernel, "a bigint, b bigint")
+    edges = grouped(dealt.select("band", "bucket", "one", "two", "rid", "own", "low"), ["band", "bucket", "one", "two"]).mapInArrow(bucket_kernel, "a bigint, b bigint")
     near = common.materialized(graph.components(edges))
     sizes = near.groupBy("root").agg(F.count("*").alias("members"))
     # texts of the representatives in components of two or more

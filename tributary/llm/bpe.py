@@ -78,8 +78,19 @@ class ByteBpe:
         self.base = np.array([vocab.get(c, -1) for c in letters], np.int32)
         if (self.base < 0).any():
             raise ValueError(f"{path} lacks a byte")
+        self.take_merges(vocab, model["merges"])
+        self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
+        self.split = regex.compile(SPLIT)
+        self.cache: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.decimal = [b"%d" % i for i in range(size)]
+        self.piece_of = dict(zip(self.decimal, self.pieces))
+
+    def take_merges(self, vocab: dict[str, int], merges: list) -> None:
+        """Sorted pair keys with their ranks and merged symbols."""
+        size = self.size
         pairs, ranks, made = [], [], []
-        for rank, m in enumerate(model["merges"]):
+        for rank, m in enumerate(merges):
             a, b = m if isinstance(m, list) else m.split(" ")
             if a in vocab and b in vocab and a + b in vocab:
                 pairs.append(vocab[a] * size + vocab[b])
@@ -91,12 +102,6 @@ class ByteBpe:
         keys, ranks, made = keys[order], np.array(ranks, np.int64)[order], np.array(made, np.int64)[order]
         last = np.append(keys[1:] != keys[:-1], True) if len(keys) else np.zeros(0, bool)
         self.keys, self.ranks, self.made = keys[last], ranks[last].astype(np.int32), made[last].astype(np.int32)
-        self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
-        self.split = regex.compile(SPLIT)
-        self.cache: dict[str, bytes] = {}
-        self.long: list[str] = []
-        self.decimal = [b"%d" % i for i in range(size)]
-        self.piece_of = dict(zip(self.decimal, self.pieces))
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, NONE where there is no merge; merged symbol) of adjacent pairs, by binary search over the pair keys."""
@@ -108,9 +113,11 @@ class ByteBpe:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all words one after the other, number of tokens of each word)."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        flat = self.base[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        return self.merged(self.base[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words], np.int64))
+
+    def merged(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are given by their first symbols, one word after the other, and their lengths."""
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         rank, new = np.full(len(flat), NONE), np.zeros(len(flat), np.int32)
         if len(flat) > 1:
             rank[:-1], new[:-1] = self.ranked(flat[:-1], flat[1:])
@@ -146,10 +153,10 @@ class ByteBpe:
             at = at[owner[at] == owner[at + 1]]
             rank[at], new[at] = self.ranked(flat[at], flat[at + 1])
         if not ended:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
         owner = np.concatenate([o for o, _ in ended])
         flat = np.concatenate([f for _, f in ended])
-        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
 
     def learn(self, units: set[str]) -> None:
         """Puts the tokens of new units into the cache, as decimal ids joined by commas; their words become units too."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -72,6 +73,16 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: a worker lives on for tasks of other operators, and what its
+    allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
@@ -101,8 +112,8 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def text_kernel(kernel: Callable[[list], dict], schema: str, raw: bool = True):
-    """A column function that runs ``kernel`` on slices of a text column.
+def text_kernel(kernel: Callable[[list], dict], schema: str, raw: bool = True, limit: int = SLICE_BYTES):
+    """A column function that runs ``kernel`` on slices of a text column, of about ``limit`` bytes.
 
     ``kernel`` takes a list of bytes (``raw``) or strings with None for null and returns a list or array for each
     field of ``schema``; the function yields a struct column, so all other columns stay in the JVM untouched.
@@ -113,9 +124,11 @@ def text_kernel(kernel: Callable[[list], dict], schema: str, raw: bool = True):
     def run(col: pa.Array) -> pa.Array:
         values = byte_lists(col) if raw else col.to_pylist()
         parts = []
-        for a, b in slices(values):
+        for a, b in slices(values, limit=limit):
             got = kernel(values[a:b])
             parts.append(pa.StructArray.from_arrays([pa.array(got[n], type=arrow_type(k)) for n, k in fields], names=[n for n, _ in fields]))
+        del values
+        give_back()
         if not parts:
             return pa.array([], type=pa.struct([(n, arrow_type(k)) for n, k in fields]))
         return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)

@@ -14,17 +14,18 @@ of such pieces in the partitions before. A look-up in the plan then gives its se
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
-from array import array
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import byte_letters
+from .bpe import WORDS, ByteBpe, byte_letters
 
 CAPACITY = 4096
 
@@ -41,8 +42,48 @@ MARKS = ".,;:!?"
 ODD = [chr(c) for c in range(0x1C, 0x20)]
 
 
+#: Kinds of bytes: letters, digits and other signs of ASCII; the rest is left to the library, as are apostrophes (which
+#: may begin a contraction) and bars (which may belong to a special token).
+LETTERS, DIGITS, SIGNS, REST = range(4)
+KINDS = np.array([REST if b > 127 or chr(b) in "'|" else LETTERS if chr(b).isalpha() else DIGITS if chr(b).isdigit() else SIGNS for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+#: Longer chunks are left to the library: a round of merges goes over the whole word.
+PLAIN_CHUNK = 64
+
+
+class WordBpe(ByteBpe):
+    """The merges of a vocabulary file of the tokenizers format whose words end with a suffix."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model["end_of_word_suffix"]
+        if model["type"] != "BPE" or not suffix or model["continuing_subword_prefix"] or model["ignore_merges"] or model["dropout"]:
+            raise ValueError(f"{path} is not a BPE file with a suffix of words")
+        vocab = model["vocab"]
+        self.size = max(vocab.values()) + 1
+        self.base, self.last = (np.array([vocab[c + end] for c in byte_letters()], np.int32) for end in ("", suffix))
+        self.take_merges(vocab, model["merges"])
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words of bytes, one after the other, that begin at ``starts``."""
+        flat, ends = self.base[data], np.append(starts[1:], len(data))
+        flat[ends - 1] = self.last[data[ends - 1]]
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(starts), WORDS):
+            s, e = starts[a : a + WORDS], ends[a : a + WORDS]
+            i, n = self.merged(flat[s[0] : e[-1]], e - s)
+            ids.append(i)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+
 class ChunkTokens:
-    """Token ids of texts by a tokenizer that drops white space and lets no token cross it: chunk by chunk, cached."""
+    """Token ids of texts by a tokenizer that drops white space and lets no token cross it: different chunks only.
+
+    Chunks of ASCII are cut into words and merged together as arrays of bytes; others go chunk by chunk and are cached.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,20 +91,24 @@ class ChunkTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words = WordBpe(path)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.long: list[str] = []
         self.marks = {"": b""} | {m: self.fresh([m])[0] for m in MARKS}
-        self.letters = dict(enumerate(byte_letters()))
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
     def fresh_words(self, words: list[str]) -> list[bytes]:
         """Ids of normalised words of letters only, each of which is one word to the tokenizer: its BPE model alone."""
-        tokenize = self.tokenizer.model.tokenize
-        spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words)
-        return [array("I", [t.id for t in tokenize(s)]).tobytes() for s in spelled]
+        if not words:
+            return []
+        data = [w.encode() for w in words]
+        size = np.array([len(d) for d in data], np.int64)
+        ids, counts = self.words.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum(size) - size)
+        joined, ends = ids.astype("<u4").tobytes(), np.cumsum(counts * 4).tolist()
+        return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
     def learn(self, chunks: set[str]) -> None:
         """Puts new chunks into the cache. A chunk of letters, with a mark behind it or not, is its word and its mark."""
@@ -83,6 +128,9 @@ class ChunkTokens:
             elif not (word := normal(word)).isalpha():
                 others.append(c)  # it gains a mark that would join the one behind it
                 continue
+            if len(word) > PLAIN_CHUNK:
+                others.append(c)
+                continue
             words.add(word)
             split.append((c, word, mark))
         todo = [*words.difference(cache)]
@@ -93,31 +141,59 @@ class ChunkTokens:
             cache[c] = cache[word] + self.marks[mark]
         self.long += [c for some in (chunks, words) for c in some if len(c) > LONG_CHUNK]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if any(o in t for o in ODD) else t.split() for t in texts]
-        seen: set[str] = set()
-        for chunks in split:
-            if chunks:
-                seen.update(chunks)
-        new = seen.difference(self.cache)
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks by way of the cache."""
+        new = set(chunks).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_CHUNKS:
             self.old, self.cache = self.cache, {}
-            new = seen
+            new = set(chunks)
         again = new & self.old.keys()
         self.cache.update((c, self.old[c]) for c in again)
-        new -= again
-        self.learn(new)
-        get = self.cache.__getitem__
-        out = [self.fresh([t])[0] if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split)]
+        self.learn(new - again - {""})
+        out = [self.cache[c] if c else b"" for c in chunks]
         for c in self.long:
             self.cache.pop(c, None)
         self.long.clear()
         return out
 
+    def plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk) of chunks of ASCII letters, digits and signs, none of them empty."""
+        at = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1, 8 * chunks.offset)
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)[at[0] : at[-1]]
+        kind = KINDS[data]
+        begins = np.append(True, kind[1:] != kind[:-1]) | (kind == DIGITS)
+        begins[at[:-1] - at[0]] = True
+        starts = np.flatnonzero(begins)
+        ids, counts = self.words.tokens(LOWER[data], starts)
+        return ids, np.add.reduceat(counts, np.searchsorted(starts, at[:-1] - at[0]))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        odd = {i: self.fresh([t])[0] for i, t in enumerate(texts) if any(o in t for o in ODD)}
+        split = pc.utf8_split_whitespace(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        at = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1, 8 * chunks.offset) if len(chunks) else np.zeros(1, np.int64)
+        size = np.diff(at)
+        rest = np.concatenate([[0], np.cumsum(KINDS[np.frombuffer(chunks.buffers()[2], np.uint8)[: at[-1]]] == REST)]) if at[-1] else np.zeros(1, np.int64)
+        plain = (size > 0) & (size <= PLAIN_CHUNK) & (rest[at[1:]] == rest[at[:-1]])
+        # the ids of plain chunks first, then those of the others; the empty chunk has none
+        flat, counts = self.plain(chunks.filter(pa.array(plain))) if plain.any() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        others = self.known(chunks.filter(pa.array(~plain)).to_pylist())
+        flat = np.concatenate([flat.astype("<u4"), np.frombuffer(b"".join(others), "<u4")])
+        counts = np.concatenate([counts, np.array([len(o) // 4 for o in others], np.int64)])
+        place = np.empty(len(chunks), np.int64)
+        place[plain], place[~plain] = np.arange(plain.sum()), np.arange(plain.sum(), len(chunks))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), pa.array(flat))
+        order = place[coded.indices.to_numpy()]
+        made = np.ascontiguousarray(lists.take(pa.array(order)).flatten().to_numpy(), "<u4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(counts[order])])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+        return [odd[i] if i in odd else made[a:b] for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))]
+
     def forget(self) -> None:
         """Gives the memory of the cache back: a worker lives on after a task, and other operators need the room."""
         self.cache, self.old = {}, {}
+        common.give_back()
 
 
 _LOADED: dict[str, ChunkTokens] = {}

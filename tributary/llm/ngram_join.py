@@ -251,6 +251,7 @@ def verify_kernel(batches):
             np.add.at(weight, both, docs[s:e][other])
             out[3].extend(weight[some].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["rid", "local", "texts", "documents"])
+    common.give_back()
 
 
 def set_kernel(texts: list) -> dict:

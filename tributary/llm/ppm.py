@@ -27,6 +27,9 @@ ORDER = 3
 #: Most labelled texts of each language that training takes.
 TEXTS = 600
 
+#: Bytes of text that are scored at once: each takes some 40 bytes of keys, slots and bits.
+SLICE_BYTES = 1 << 20
+
 #: What stands before the first byte of a text.
 START = b"\n" * ORDER
 
@@ -193,7 +196,7 @@ def train(docs: DataFrame, allowed: Column | None = None, bound: int = TEXTS) ->
 
 def predictor(spark, trees: Trees):
     shared = spark.sparkContext.broadcast(trees)
-    return common.text_kernel(lambda texts: shared.value.predict(texts), "lang_pred string, score double, bits_per_byte double")
+    return common.text_kernel(lambda texts: shared.value.predict(texts), "lang_pred string, score double, bits_per_byte double", limit=SLICE_BYTES)
 
 
 def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:

@@ -83,6 +83,14 @@ def give_back() -> None:
         pass
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """Rows of the driver as a DataFrame by way of Arrow: a list of rows that Spark takes as it is passes through Python
+    workers of its own on the executors, which live on beside those of the kernels."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = [pa.array([r[i] for r in rows], arrow_type(f.dataType)) for i, f in enumerate(struct.fields)]
+    return spark.createDataFrame(pa.table(columns, names=struct.names), struct)
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
@@ -185,7 +193,7 @@ def labelled_sample(docs: DataFrame, label: str, bound: int, key: str = "doc_id"
     for y, n in counts.items():
         share = min(1.0, (1.2 * bound + 200) / n)
         tops.append((y, int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-    shares = F.broadcast(spark.createDataFrame(tops, T.StructType([T.StructField("y", rows.schema["y"].dataType), T.StructField("top", T.LongType())])))
+    shares = F.broadcast(local_table(spark, tops, T.StructType([T.StructField("y", rows.schema["y"].dataType), T.StructField("top", T.LongType())])))
     spread = F.xxhash64(F.lit(20260517), F.col("k")).alias("h")
     got = rows.select("k", "y", spread).join(shares, "y").where("h <= top").select("y", "h", "k").distinct().toArrow()
     by: dict = {}

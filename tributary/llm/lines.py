@@ -30,6 +30,9 @@ BLOCK_WORDS = 10
 #: deletes the same lines.
 ROUNDS = 8
 
+#: Bytes of text whose windows are made at once: they take a multiple of the text.
+SLICE_BYTES = 1 << 20
+
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -65,7 +68,7 @@ def window_kernel(least: int):
     def run(batches):
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), common.byte_lists(batch.column(2))
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, limit=SLICE_BYTES):
                 source, h, at, words = [], [], [], []
                 for i, t in enumerate(texts[a:b], a):
                     if not t:
@@ -83,6 +86,8 @@ def window_kernel(least: int):
                         words.append(bytes([min(n, 255) for n in count[x : y + 1]]))
                 take = pa.array(source, pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(h, pa.binary()), pa.array(at, pa.binary()), pa.array(words, pa.binary())], names=["doc", "key", "h", "at", "words"])
+            del texts
+            common.give_back()
 
     return run
 
@@ -181,6 +186,12 @@ def places(packed: bytes) -> list[int]:
     return [*struct.unpack(f"<{len(packed) // 4}i", packed)]
 
 
+def once(kernel):
+    """The kernel, run once for each row: otherwise Spark moves a filter on its result below it and runs it there as well,
+    in further workers of the same task."""
+    return kernel.asNondeterministic()
+
+
 def align_udf():
     def run(col: pa.Array) -> pa.Array:
         removed, sources = [], []
@@ -191,10 +202,11 @@ def align_udf():
             cut, holders = gone(by)
             removed.append(cut)
             sources.append(holders)
+        common.give_back()
         return pa.StructArray.from_arrays([pa.array(removed, pa.list_(pa.int32())), pa.array(sources, pa.list_(pa.int64()))], names=["removed", "sources"])
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, returnType="removed array<int>, sources array<bigint>")
+    return once(F.arrow_udf(run, returnType="removed array<int>, sources array<bigint>"))
 
 
 def without(text: bytes, places: list[int]) -> bytes:
@@ -217,10 +229,12 @@ def cut_udf():
         for t, p in zip(raw, cut):
             lines.append(0 if not t else sum(1 for x in t.split(b"\n") if x.strip(SPACE)))
             made.append(t if t is None or not p else without(t, p))
+        del raw, cut
+        common.give_back()
         return pa.StructArray.from_arrays([pa.array(made, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64())], names=["text", "n_lines"])
 
     run.__annotations__ = {"text": pa.Array, "places": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, returnType="text string, n_lines bigint")
+    return once(F.arrow_udf(run, returnType="text string, n_lines bigint"))
 
 
 def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
@@ -251,7 +265,8 @@ def dedupe(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """
     common.bound_batches(docs.sparkSession)
     names = common.without(docs.columns, ["n_lines", "removed_lines", "sources"])
-    gone = removals(docs, least).withColumnRenamed("key", "__key").withColumnRenamed("doc", "__doc").withColumnRenamed("sources", "__sources")
+    # places are found before texts are cut: a stage with both kernels takes two workers for each of its tasks, which live on
+    gone = common.materialized(removals(docs, least)).withColumnRenamed("key", "__key").withColumnRenamed("doc", "__doc").withColumnRenamed("sources", "__sources")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__k"))
     joined = row.join(gone, (F.col("__row.doc_id") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
     cut = joined.withColumn("__cut", cut_udf()(F.col("__row.text"), F.col("removed")))

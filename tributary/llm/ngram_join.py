@@ -163,6 +163,7 @@ def bucket_kernel(batches):
             a += ids[s:e][x].tolist()
             b += ids[s:e][y].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    common.give_back()
 
 
 def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD) -> np.ndarray:

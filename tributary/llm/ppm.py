@@ -169,6 +169,7 @@ def count_kernel(batches):
         for lang, parts in by.items():
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+    common.give_back()
 
 
 def train(docs: DataFrame, allowed: Column | None = None, bound: int = TEXTS) -> Trees:
@@ -180,7 +181,7 @@ def train(docs: DataFrame, allowed: Column | None = None, bound: int = TEXTS) ->
     picked = common.labelled_sample(docs.where(allowed) if allowed is not None else docs, "lang", bound)
     if not picked:
         return Trees([], [])
-    wanted = F.broadcast(spark.createDataFrame(picked, "doc_id bigint, lang string"))
+    wanted = F.broadcast(common.local_table(spark, picked, "doc_id bigint, lang string"))
     rows = source.select("doc_id", "lang", "text").join(wanted, ["doc_id", "lang"], "left_semi").select("lang", "text")
     got = rows.mapInArrow(count_kernel, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(got.column("lang").to_pylist(), object)

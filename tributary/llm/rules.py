@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, precision: fl
         worst[k] = min(y, worst.get(k, y))  # of two labels of a document the worse counts
     if len(set(worst.values())) < 2:
         return DecisionList()
-    wanted = F.broadcast(spark.createDataFrame([(k, int(y)) for k, y in worst.items()], "doc_id bigint, __quality int"))
+    wanted = F.broadcast(common.local_table(spark, [(k, int(y)) for k, y in worst.items()], "doc_id bigint, __quality int"))
     rows = statistics(docs.select("doc_id", "text").join(wanted, "doc_id"), keep=["doc_id", "__quality"])
     got = rows.select("__quality", F.xxhash64("doc_id").alias("h"), *[F.expr(e).alias(c) for c, e in FEATURES.items()]).toPandas()
     got = got.sort_values(["h", *FEATURES], kind="stable")

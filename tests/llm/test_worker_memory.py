@@ -1,8 +1,11 @@
 """Workers live on from stage to stage of the pipeline: kernels see small slices and give freed memory back."""
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from tributary.llm import common, lines, ppm, rules
+from tributary.llm import common, lines, packing, ppm, rules
+from tributary.llm.queries import vocabulary
 
 
 def test_language_kernel_sees_slices_of_a_megabyte(spark, monkeypatch):
@@ -51,3 +54,21 @@ def test_local_tables_keep_types_and_nulls(spark):
     made = common.local_table(spark, rows, "n bigint, s string, i int")
     assert made.dtypes == [("n", "bigint"), ("s", "string"), ("i", "int")] and sorted(map(tuple, made.collect()), key=str) == sorted(rows, key=str)
     assert common.local_table(spark, [], "n bigint").count() == 0
+
+
+def test_packing_sees_slices_of_a_megabyte(monkeypatch):
+    class Task:
+        def partitionId(self):
+            return 0
+
+    path, seen = vocabulary("word_bpe_49k.json"), []
+    tokens = packing.loaded(path)
+    ids = tokens.ids
+    monkeypatch.setattr(TaskContext, "get", lambda: Task())
+    monkeypatch.setattr(tokens, "ids", lambda texts: (seen.append(sum(map(len, texts))), ids(texts))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 60_000] * 12), pa.array(range(12), pa.int64())], names=["text", "keep0"])
+    made = pa.Table.from_batches(packing.piece_kernel(path, 4096, 1)([batch])).to_pandas()
+    assert max(seen) <= 1 << 20 and sum(seen) == 12 * 300_000
+    assert made.groupby("keep0").length.sum().to_dict() == {i: 60_001 for i in range(12)}
+    for _, same in made.groupby("length"):  # ranks go on from slice to slice
+        assert sorted(same.place) == list(range(len(same)))

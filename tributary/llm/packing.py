@@ -35,6 +35,9 @@ CACHE_CHUNKS = 250_000
 #: Longer chunks leave the cache after their texts, so that its bytes are bounded too.
 LONG_CHUNK = 256
 
+#: Bytes of text that are cut and merged at once: 155 MB beside the vocabulary for 4 MB, 69 MB for 1 MB.
+SLICE_BYTES = 1 << 20
+
 #: Marks that are tokens of their own behind a word.
 MARKS = ".,;:!?"
 
@@ -219,7 +222,7 @@ def piece_kernel(path: str, capacity: int, end_id: int):
         try:
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                for a, b in common.slices(texts):
+                for a, b in common.slices(texts, limit=SLICE_BYTES):
                     source, piece, start, length, crc = [], [], [], [], []
                     for i, ids in enumerate(tokens.ids([t or "" for t in texts[a:b]]), a):
                         ids += end
